@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -13,5 +14,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE_RULES, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in BASE_RULES]
+
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    only_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return place(docs, [f"shard-{k:03d}" for k in range(128)])
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
