@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFra
     left = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
     # The level if exactly the sources before this one are full; this is right for the first that does not fill.
     x = x.withColumn("level", spare / left)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    x = x.withColumn("place", F.row_number().over(fill))
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(every)["level"]
     return x.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0)))).select("source", "source_size", "target")
 
 
