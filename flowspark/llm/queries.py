@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc32_of_id, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +44,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, [f"shard-{k:03d}" for k in range(128)])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op10_quality_rules)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = (crc32_of_id("doc_id") % 5 == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_plain", "n_near", "n_quoted")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op7_toxicity, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
