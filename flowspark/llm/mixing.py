@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, spread
+from .common import WORD, running_sum, settle, spread
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -45,18 +45,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFra
     return x.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0)))).select("source", "source_size", "target")
 
 
-def _running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` up to and with each row, by ``keys``, in the order of ``bucket`` and then ``order``."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_s"))
-    past = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(past), F.lit(0)).cast("long")).drop("_s")
-    sums = sums.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, bucket]], "_before")
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, bucket]]
-    both = df.join(sums, on, "inner").drop(*[f"_of_{k}" for k in [*keys, bucket]])
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.col("_before") + F.sum(value).over(inside)).drop("_before")
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -71,14 +59,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     goal = targets(sizes, weights, repeats)
     n = spread(rows.count(), 20_000, 16)
     rows = rows.withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(n)).cast("long"))
-    cum = _running(rows, ["source"], "b", ["h", "id", "size"], "size", "cum")
+    cum = running_sum(rows, ["source"], "b", ["h", "id", "size"], "size", "cum")
     goal = settle(goal).withColumnRenamed("source", "_src")
     cum = cum.join(F.broadcast(goal) if _few(goal) else goal, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     # Copies that could fit: a copy much later than time 1 never does, as every source is served until then.
     queue = cum.filter("size > 0 and target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     queue = queue.withColumn("v", (F.col("cum") + F.col("copy") * F.col("source_size")) / F.col("target"))
     queue = settle(queue.select("id", "h", "size", "copy", "v").withColumn("t", F.floor(F.col("v") * n * 4)))
-    run = _running(queue, [], "t", ["v", "h", "id", "copy"], "size", "upto")
+    run = running_sum(queue, [], "t", ["v", "h", "id", "copy"], "size", "upto")
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
     got = run.join(F.broadcast(budget)).filter("upto <= budget").groupBy("id", "h").agg(F.count(F.lit(1)).alias("got"))
     got = got.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "got")

@@ -53,5 +53,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_plain", "n_near", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op7_toxicity, op10_quality_rules)}
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers that are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op7_toxicity, op8_packing, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
