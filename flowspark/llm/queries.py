@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, table
+from .common import crc32_of_id, shared_dir, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers that are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -37,6 +46,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idfile import read_ids, write_ids
+
+    path = f"{shared_dir(spark)}/flowspark/{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read_ids(spark, path)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place
 
@@ -53,18 +70,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_plain", "n_near", "n_quoted")
 
 
-def tokenizer_path(name: str) -> str:
-    """A file of the public tokenizers that are installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op7_toxicity, op8_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_token_files, op5_sharding, op7_toxicity, op8_packing, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
