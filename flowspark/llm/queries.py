@@ -74,6 +74,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, [f"shard-{k:03d}" for k in range(128)])
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -89,7 +95,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op6_jaccard, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op9_top_k": """
         WITH v AS (
