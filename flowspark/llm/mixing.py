@@ -51,7 +51,7 @@ def word_count(text: Column) -> Column:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
     # Rows that are alike in id, source and text get a number, so that each has a place of its own.
     twin = F.row_number().over(Window.partitionBy("id", "source", "h", "size").orderBy("h"))
     rows = settle(rows.withColumn("h", F.xxhash64("h", "source", twin)))  # narrow: the texts are read once
@@ -71,9 +71,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     got = run.join(F.broadcast(budget)).filter("upto <= budget").groupBy("id", "h").agg(F.count(F.lit(1)).alias("got"))
     got = got.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "got")
     out = cum.join(got, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left").withColumn("copies", F.coalesce("got", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_hash")
 
 
 def _few(goal: DataFrame, most: int = 100_000) -> bool:
     """Whether so few sources exist that their targets may be broadcast."""
     return len(goal.limit(most + 1).select(F.lit(1)).collect()) <= most
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it; rows of size 0 go, and rows alike in id and text come out alike."""
+    plan = settle(mix_sources(docs, id_col=id_col, text_col=text_col, **options).filter("copies > 0"))
+    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).agg(F.sum("copies").cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    plan = settle(plan)
+    rows = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
+    if not plan.filter("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col, "_key"])
+    both = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
