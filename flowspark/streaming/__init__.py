@@ -1,0 +1,4 @@
+from .steps import Step, StepRunner
+from .windows import keyed_windows
+
+__all__ = ["Step", "StepRunner", "keyed_windows"]
