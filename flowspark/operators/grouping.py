@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled
 from ..policies import BatchPolicy, WindowSpec, micros
 
 _IN_PART = (1 << 33) - 1
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows in range partitions by ``order`` with ``_part``, and ``_place`` in it; kept, as the ranges are sampled."""
+    """Rows in range partitions by ``order`` with ``_part``, and ``_place`` in it; settled, as the ranges are sampled."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     number = F.monotonically_increasing_id()
-    return rows.withColumn("_part", F.shiftright(number, 33).cast("int")).withColumn("_place", number.bitwiseAND(F.lit(_IN_PART))).persist()
+    return settled(rows.withColumn("_part", F.shiftright(number, 33).cast("int")).withColumn("_place", number.bitwiseAND(F.lit(_IN_PART))))
 
 
 def _before(parts: DataFrame, name: str, value: Column, zero) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..operators.grouping import numbered
 from ..operators.stages import Stage
 from ..policies import BatchPolicy, ErrorPolicy, RetryPolicy, WindowPolicy
@@ -212,8 +213,6 @@ def buffer_noop(spark, d):
 
 
 def run_stats(spark, d):
-    from ..sinks import VecSink
-
     pipe = _parsed(spark, d, ErrorPolicy.DEAD_LETTER).dead_letter(NullSink())
     s = pipe.batch(BatchPolicy().max_items(1_000)).agg(_n()).sink(NullSink()).run()
     return spark.createDataFrame([(s.items_in, s.items_out, s.errors, s.dead_lettered, s.retries)], "items_in long, items_out long, errors long, dead_lettered long, retries long")
@@ -223,8 +222,7 @@ def reader_lines(spark, d):
     """Documents written as lines of text and read again."""
     from ..sources import ReaderSource
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/flowspark"
-    path = f"{base}/lines-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     _table(spark, d, "conversations").select(F.concat_ws("\t", "conv_id", "turn", F.regexp_replace("text", "[\r\n]", " ")).alias("value")).write.text(path)
     pipe = Pipe.from_source(ReaderSource(path), spark)
     parts = F.split("line", "\t", 3)

@@ -22,8 +22,15 @@ class Sink:
         self.flush()
 
 
-def in_order(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.orderBy(*order) if order else df
+def in_order(df: DataFrame, order: list[str], single: bool = True) -> DataFrame:
+    """``single``: one sorted partition, for sinks that take rows one by one anyway.
+
+    A global sort samples its input first, which would run it, and what it
+    observes, twice.
+    """
+    if not order:
+        return df
+    return df.repartition(1).sortWithinPartitions(*order) if single else df.orderBy(*order)
 
 
 class NullSink(Sink):
@@ -32,7 +39,7 @@ class NullSink(Sink):
 
 
 class FnSink(Sink):
-    """A function for each row on the driver, in order; only one partition at a time is held there."""
+    """A function for each row on the driver, in order."""
 
     def __init__(self, fn: Callable[[Row], None]):
         self.fn = fn
@@ -137,8 +144,8 @@ class WriterSink(Sink):
         self.path, self.column, self.single = path, column, single
 
     def write(self, df, order):
-        lines = in_order(df, order).select(F.col(self.column).cast("string").alias("value"))
-        (lines.coalesce(1) if self.single else lines).write.mode("overwrite").text(self.path, lineSep="\n")
+        lines = in_order(df, order, self.single).select(F.col(self.column).cast("string").alias("value"))
+        lines.write.mode("overwrite").text(self.path, lineSep="\n")
 
 
 class TableSink(Sink):
