@@ -51,39 +51,44 @@ _SMALL = _U(1 << 32)
 
 
 class _Model:
-    """State of all lanes: predicted ids with their confidence by context, and how often each order was right."""
+    """State of all lanes: predicted ids with their confidence by context, and the shares of orders 2 and 1 at each pair of confidences."""
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64) * SLOTS
         self.t1, self.t2 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)  # id << 2 | confidence
-        self.side = np.arange(lanes, dtype=np.int64) * 32
-        self.n = np.full(lanes * 32, 8, np.uint32)
-        self.h2, self.h1 = np.full(lanes * 32, 2, np.uint32), np.full(lanes * 32, 1, np.uint32)
+        self.side = np.arange(lanes, dtype=np.int64) * 16
+        self.q2, self.q1 = np.full(lanes * 16, 8192, np.int32), np.full(lanes * 16, 4096, np.int32)
         self.a = self.b = np.zeros(lanes, np.uint32)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids that orders 2 and 1 foresee, and their shares of 2^16."""
-        a, b = self.a, self.b
-        self.i1 = self.base + ((a * np.uint32(0x9E3779B1)) >> _SHIFT)
-        self.i2 = self.base + ((((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + np.uint32(0x5BD1))) * np.uint32(0xC2B2AE35)) >> _SHIFT)
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.p1, self.p2 = self.e1 >> np.uint32(2), self.e2 >> np.uint32(2)
-        self.c = self.side + (((self.e2 & np.uint32(3)) << np.uint32(2)) | (self.e1 & np.uint32(3)) | ((self.p1 == self.p2).astype(np.uint32) << np.uint32(4)))
-        n = self.n[self.c]
-        return self.p2, self.p1, (self.h2[self.c] << np.uint32(15)) // n * np.uint32(2), (self.h1[self.c] << np.uint32(15)) // n * np.uint32(2)
-
-    def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
-        n, h2, h1 = self.n[self.c] + np.uint32(1), self.h2[self.c] + right2, self.h1[self.c] + right1
-        old = n >= np.uint32(512)
-        self.n[self.c] = np.where(old, (n >> np.uint32(1)) + np.uint32(4), n)
-        self.h2[self.c] = np.where(old, (h2 >> np.uint32(1)) + np.uint32(1), h2)
-        self.h1[self.c] = np.where(old, (h1 >> np.uint32(1)) + np.uint32(1), h1)
-        for t, i, e, p in ((self.t1, self.i1, self.e1, self.p1), (self.t2, self.i2, self.e2, self.p2)):
-            c = e & np.uint32(3)
-            good = p == ids
-            up = np.where(good, np.minimum(c + np.uint32(1), np.uint32(3)), np.where(c > 0, c - np.uint32(1), c))
-            t[i] = np.where(good | (c > 0), p, ids) << np.uint32(2) | up
-        self.b, self.a = self.a, ids
+        self.i1 = (self.a >> _SHIFT) + self.base
+        self.i2 = (((self.a ^ self.b) * _K2) >> _SHIFT) + self.base
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = self.e1 & _C, self.e2 & _C
+        self.c = (self.c2 << _C2) + self.c1 + self.side
+        self.s2, self.s1 = self.q2.take(self.c), self.q1.take(self.c)
+        return self.e2 >> _C2, self.e1 >> _C2, self.s2, self.s1
+
+    def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, good1: np.ndarray) -> None:
+        """``good1``: order 1 was right, whether or not order 2 was, too."""
+        self.q2[self.c] = self.s2 + ((np.where(right2, _MOST, _LEAST) - self.s2) >> 5)
+        self.q1[self.c] = self.s1 + ((np.where(right1, _MOST, _LEAST) - self.s1) >> 5)
+        own = ids << _C2
+        for t, i, e, c, good in ((self.t1, self.i1, self.e1, self.c1, good1), (self.t2, self.i2, self.e2, self.c2, right2)):
+            k = (c << np.uint32(1)) + good
+            t[i] = np.where(_STAYS.take(k), e ^ c, own) | _NEXT.take(k)
+        self.b = (self.a >> np.uint32(5)) * _K3
+        self.a = ids * _K1
+
+
+#: Confidence 0 to 3, doubled, plus whether the id was right: the next confidence, and whether the id stays.
+_NEXT = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.uint32)
+_STAYS = np.array([False, True, True, True, True, True, True, True])
+_C, _C2 = np.uint32(3), np.uint32(2)
+_K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35), np.uint32(0x85EBCA6B)
+#: Between these the shares stay, so that order 0 always has one.
+_MOST, _LEAST = np.int32(TOP - 512), np.int32(64)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -108,23 +113,39 @@ class _Coder:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+        self.rows = np.arange(lanes)
         self.out, self.at = np.zeros((lanes, steps * 2 + 4), np.uint32), np.ones(lanes, np.int64)  # digit 0 takes a last carry
 
-    def put(self, rows: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range[rows] >> _BITS
-        low, rng = self.low[rows] + r * start, r * freq
-        over = low >= _FULL
-        if over.any():
+    def put(self, n: int, start: np.ndarray, freq: np.ndarray) -> None:
+        """One step of the first ``n`` lanes."""
+        low, rng = self.low[:n], self.range[:n]
+        rng >>= _BITS
+        low += rng * start
+        rng *= freq
+        self._settle(np.arange(n) if n != len(self.rows) else self.rows, low, rng)
+        self.low[:n], self.range[:n] = low, rng
+
+    def put_some(self, rows: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        low, rng = self.low.take(rows), self.range.take(rows)
+        rng >>= _BITS
+        low += rng * start
+        rng *= freq
+        self._settle(rows, low, rng)
+        self.low[rows], self.range[rows] = low, rng
+
+    def _settle(self, rows: np.ndarray, low: np.ndarray, rng: np.ndarray) -> None:
+        over = np.flatnonzero(low >= _FULL)
+        if len(over):
             low[over] &= _LOW48
-            self.out[rows[over], self.at[rows[over]] - 1] += np.uint32(1)
+            r = rows[over]
+            self.out[r, self.at[r] - 1] += np.uint32(1)
         small = np.flatnonzero(rng < _SMALL)
         if len(small):
-            s = rows[small]
-            self.out[s, self.at[s]] = (low[small] >> _U(32)).astype(np.uint32)
+            s, x = rows[small], low[small]
+            self.out[s, self.at[s]] = x >> _U(32)
             self.at[s] += 1
-            low[small] = (low[small] << _BITS) & _LOW48
+            low[small] = (x << _BITS) & _LOW48
             rng[small] <<= _BITS
-        self.low[rows], self.range[rows] = low, rng
 
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
@@ -162,20 +183,20 @@ def encode_segment(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None
     cum = (np.cumsum(freq) - freq).astype(np.uint64)
     freq = freq.astype(np.uint64)
     m, coder, steps = _Model(len(lanes)), _Coder(len(lanes), BLOCK), np.ascontiguousarray(lanes.T)
-    every = np.arange(len(lanes))
     for t in range(int(size.max()) if len(size) else 0):
         x = steps[t]
         p2, p1, s2, s1 = m.predict()
-        right2 = p2 == x
-        right1 = (p1 == x) & ~right2
-        start = np.where(right2, 0, np.where(right1, s2, s2 + s1)).astype(np.uint64)
-        width = np.where(right2, s2, np.where(right1, s1, np.uint32(TOP) - s2 - s1)).astype(np.uint64)
-        live = every if t < size[-1] else every[:-1]
-        coder.put(live, start[live], width[live])
-        rest = live[~(right2 | right1)[live]]
-        k = table[x[rest]]
-        coder.put(rest, cum[k], freq[k])
-        m.update(x, right2, right1)
+        right2, good1 = p2 == x, p1 == x
+        right1 = good1 & ~right2
+        both = s2 + s1
+        start = np.where(right2, 0, np.where(right1, s2, both))
+        width = np.where(right2, s2, np.where(right1, s1, TOP - both))
+        n = len(size) - (t >= size[-1])
+        coder.put(n, start[:n].astype(np.uint64), width[:n].astype(np.uint64))
+        rest = np.flatnonzero(~(right2 | right1)[:n])
+        k = table.take(x.take(rest))
+        coder.put_some(rest, cum.take(k), freq.take(k))
+        m.update(x, right2, right1, good1)
     bodies = coder.finish() if len(lanes) else []
     head = np.array([(n, len(b) // 2, zlib.crc32(lane[:n].astype("<u4").tobytes())) for n, b, lane in zip(size.tolist(), bodies, lanes)], "<u4").tobytes()
     body = struct.pack("<7I", len(doc_ids), len(ids), len(lanes), len(directory), len(symbols), len(model), BLOCK) + directory + model + head + b"".join(bodies)
@@ -203,41 +224,48 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
         at += 2 * int(head[k, 1])
     cum = np.cumsum(freq) - freq
     by_slot = np.repeat(np.arange(kinds), freq.astype(np.int64))
-    every, size = np.arange(n), head[:, 0]
+    size = head[:, 0]
     code, rng, pos = (digits[:, 0] << _U(32)) | (digits[:, 1] << _U(16)) | digits[:, 2], np.full(n, (1 << 48) - 1, np.uint64), np.full(n, 3, np.int64)
     m, out = _Model(n), np.zeros((block, n), np.uint32)
 
-    def take(rows, start, width, r):
-        c, w = code[rows] - r * start, r * width
+    def refill(c, w, rows=None):
         small = np.flatnonzero(w < _SMALL)
         if len(small):
-            s = rows[small]
+            s = small if rows is None else rows[small]
             c[small] = (c[small] << _BITS) | digits[s, pos[s]]
             pos[s] += 1
             w[small] <<= _BITS
-        code[rows], rng[rows] = c, w
 
     for t in range(int(size.max(initial=0))):
         p2, p1, s2, s1 = m.predict()
-        live = every if t < size[-1] else every[:-1]
-        r = rng >> _BITS
-        slot = np.minimum(code // r, _U(TOP - 1))
+        live = n - (t >= size[-1])
+        r = rng[:live] >> _BITS
+        slot = np.minimum(code[:live] // r, _U(TOP - 1)).astype(np.int32)
+        if live < n:  # the last lane is padded with 0
+            slot = np.append(slot, np.int32(0 if p2[-1] == 0 else s2[-1] if p1[-1] == 0 else TOP - 1))
+        both = s2 + s1
         right2 = slot < s2
-        right1 = ~right2 & (slot < s2 + s1)
-        start = np.where(right2, 0, np.where(right1, s2, s2 + s1)).astype(np.uint64)
-        width = np.where(right2, s2, np.where(right1, s1, np.uint32(TOP) - s2 - s1)).astype(np.uint64)
-        take(live, start[live], width[live], r[live])
+        right1 = ~right2 & (slot < both)
+        start = np.where(right2, 0, np.where(right1, s2, both))
+        width = np.where(right2, s2, np.where(right1, s1, TOP - both))
+        c = code[:live] - r * start[:live].astype(np.uint64)
+        r *= width[:live].astype(np.uint64)
+        refill(c, r)
         x = np.where(right2, p2, p1)
-        rest = live[~(right2 | right1)[live]]
-        r = rng[rest] >> _BITS
-        k = by_slot[np.minimum(code[rest] // r, _U(TOP - 1)).astype(np.int64)]
-        take(rest, cum[k], freq[k], r)
-        x[rest] = symbols[k]
-        if len(live) < n:
-            x[-1] = 0  # the last lane is padded with 0
-            right2[-1], right1[-1] = p2[-1] == 0, (p1[-1] == 0) & (p2[-1] != 0)
+        rest = np.flatnonzero(~(right2 | right1)[:live])
+        cr, r16 = c.take(rest), r.take(rest)
+        r16 >>= _BITS
+        k = by_slot.take(np.minimum(cr // r16, _U(TOP - 1)).astype(np.int64))
+        cr -= r16 * cum.take(k)
+        r16 *= freq.take(k)
+        refill(cr, r16, rest)
+        c[rest], r[rest] = cr, r16
+        code[:live], rng[:live] = c, r
+        x[rest] = symbols.take(k)
+        if live < n:
+            x[-1] = 0
         out[t] = x
-        m.update(x, right2, right1)
+        m.update(x, right2, right1, p1 == x)
     lanes = out.T
     for k in range(n):
         if zlib.crc32(np.ascontiguousarray(lanes[k, : size[k]]).astype("<u4").tobytes()) != head[k, 2]:

@@ -5,8 +5,8 @@ that the ids of the units, joined, are the ids of the text:
 
 * ``"word"``: at ASCII white space, which the tokenizer drops.
 * ``"byte"``: in front of a run of white space that begins with an ASCII space
-  or control and follows a character that is none; a unit is then such a run
-  and the characters after it.
+  or control and follows a character that is none; and between an ASCII letter
+  and ASCII punctuation after it.
 
 Units are looked up by a 64-bit hash in a cache of bounded size.
 """
@@ -14,6 +14,7 @@ Units are looked up by a 64-bit hash in a cache of bounded size.
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -21,23 +22,30 @@ import numpy as np
 from .words import WS, Words, span_hash
 
 
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_POINT = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum()])
 _EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class Encoder:
-    def __init__(self, path: str, cut: str, most_units: int = 3_000_000, most_ids: int = 16_000_000):
+    def __init__(self, path: str, cut: str, most_units: int = 1_500_000, most_ids: int = 8_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core for each task
         from tokenizers import Tokenizer
 
         if cut not in ("word", "byte"):
             raise ValueError(f"cut: {cut}")
         self.tokenizer, self.cut, self.most_units, self.most_ids = Tokenizer.from_file(path), cut, most_units, most_ids
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
         self.main = self.recent = _EMPTY  # hashes in order, places and sizes in the pool
         self.pool, self.used = np.zeros(0, np.int32), 0
 
+    def _special_spans(self, buf: np.ndarray) -> list[tuple[int, int]]:
+        raw = buf.tobytes()
+        return [(m.start(), m.end()) for s in self.special if s in raw for m in re.finditer(re.escape(s), raw)]
+
     def units(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of the units, which are in order and within one text each."""
         if self.cut == "word":
@@ -59,7 +67,12 @@ class Encoder:
             keep = np.ones(len(at), bool)
             keep[np.flatnonzero(wide)[odd]] = False
             at = at[keep]
-        start = np.union1d(at, offs[:-1][offs[1:] > offs[:-1]])
+        # Also in front of ASCII punctuation after an ASCII letter, where a run of letters always ends.
+        at = np.concatenate([at, 1 + np.flatnonzero(_LETTER[buf[:-1]] & _POINT[buf[1:]]), offs[:-1][offs[1:] > offs[:-1]]])
+        at.sort(kind="stable")  # three sorted runs
+        start = at[np.append(True, at[1:] != at[:-1])] if n else at
+        for a, b in self._special_spans(buf):  # a special token's string stays whole
+            start = start[(start <= a) | (start >= b)]
         return start, np.append(start[1:], n)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
