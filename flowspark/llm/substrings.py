@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, spread
-from .words import WS, Words, chunks, mix, text_buffer
+from .words import WS, Words, chunks, mix, release, text_buffer
 
 _U = np.uint64
 _Q = _U(0xD6E8FEB86659FD93)
@@ -97,7 +97,7 @@ def _seeds(buckets: int, n: int, k: int, subs: bool):
             start, size = _runs(row[repeat], first[repeat])
             r, f = row[repeat][start], first[repeat][start]
             if len(start):
-                out.append((int(r[0]) % buckets, 1, b"".join(x.tobytes() for x in (ids[r], sub[r], (f - w.lo[r]).astype("<u4"), size.astype("<u4"))), len(start)))
+                out.append((int(h[0] % _U(buckets)), 1, b"".join(x.tobytes() for x in (ids[r], sub[r], (f - w.lo[r]).astype("<u4"), size.astype("<u4"))), len(start)))
             keep = ~repeat
             row, first, place, anchor, h = row[keep], first[keep], place[keep], anchor[keep], h[keep]
             start, size = _runs(row, first, place)
@@ -128,6 +128,7 @@ def _spans(ids, sub, start, size) -> pa.RecordBatch:
 
 def _extend(batches):
     """Per hash range: which windows an id smaller than their own has."""
+    release()
     held: dict[int, list] = {}
     for b in batches:
         for bucket, kind, n, load in zip(*(c.to_pylist() for c in b.columns)):
@@ -161,7 +162,7 @@ def repeats(docs: DataFrame, n: int = 13, k: int = 5, docs_per_bucket: int = 1_0
     count, names = docs.count(), docs.filter("id is not null").select("id").distinct().count()
     buckets = spread(count, docs_per_bucket, 8)
     seeds = docs.select("id", "text").mapInArrow(_seeds(buckets, n, k, names < count), "bucket int, kind int, n int, load binary")
-    return seeds.repartition(spread(buckets, 4, 4), "bucket").mapInArrow(_extend, "id long, sub long, start int, size int")
+    return seeds.repartition(spread(buckets, 2, 4), "bucket").mapInArrow(_extend, "id long, sub long, start int, size int")
 
 
 def substring_dedup(docs: DataFrame, n: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = 1_000) -> DataFrame:

@@ -8,6 +8,8 @@ a mixing step.  They are the same in every process, batch and run.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,13 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 _U = np.uint64
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-8, 1)  # one heap for all threads
+    _libc.mallopt(-3, 4 << 20)  # arrays from 4 MB on go back to the system when they are freed
+    _trim = _libc.malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
 WS = np.zeros(256, bool)
 WS[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -65,8 +74,17 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system; Spark's Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of text each."""
+    release()  # what the task before has left
     for b in batches:
         if not b.num_rows:
             continue
@@ -77,6 +95,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield b.slice(at, to - at)
             at = to
+        del b, ends
+    release()
 
 
 class Words:
