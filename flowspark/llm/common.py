@@ -14,7 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = (1 << 63) - 1
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+    """Let this session send whole texts to Python in batches of bounded bytes; each is copied several times on its way."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder, for a session with small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, spread
 from .components import components
-from .words import Words, chunks, gram_hash, mix, text_buffer
+from .words import Words, chunks, gram_hash, mix, release, text_buffer
 
 _U = np.uint64
 _K = _U(0xA0761D6478BD642F)
@@ -156,6 +156,7 @@ def _count(set_buckets: int):
     """One fragment: exact frequencies; segments without the n-grams of one set only, by set bucket (in ``n``)."""
 
     def run(batches):
+        release()
         held: dict[int, list] = {}
         for b in batches:
             kind = b.column(0).to_numpy(zero_copy_only=False)
@@ -190,6 +191,7 @@ def _gather(num: int, den: int):
     """One bucket of sets: those that can reach the similarity, with their proposing and all their shared n-grams."""
 
     def run(batches):
+        release()
         held: dict[int, list] = {}
         for b in batches:
             for load, n in zip(b.column(0), b.column(1).to_pylist()):

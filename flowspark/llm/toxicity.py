@@ -88,7 +88,7 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """0: none, 1: a lexicon word or one with a lexicon stem, 2: within one edit of a lexicon word."""
-        if len(self.sets) > 50_000:
+        if len(self.sets) > 10_000:
             self.states, self.sets, self.step = {}, [], []
             self.start = self._state({(0, 0)})
         s, near = self.start, False
