@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import settle, table
+from flowspark.llm.common import settle, small_batches, table
 from flowspark.llm.jaccard import jaccard_join
 from flowspark.llm.mixing import mixed
 from flowspark.llm.packing import pack_documents
@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
+    small_batches(spark)
     found = jaccard_join(docs).select("doc_id", "component_id")
     gone = settle(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
@@ -34,6 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets give way to a mark; ``n_chars`` follows the text."""
+    small_batches(spark)
     clean = redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,11 +44,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares; a document comes as often as the mix takes it."""
+    small_batches(spark)
     return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 2048."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
