@@ -491,6 +491,30 @@ def test_forest_finds_outliers():
     assert rejected[good].mean() <= 0.003 and rejected[~good].mean() > 0.9
 
 
+def test_quality_rejects_junk_that_passes_the_base_rule(spark):
+    """Held-out junk of several densities goes, held-out clean texts of all lengths stay."""
+    from flowspark.llm.quality import quality_rules
+
+    rng = random.Random(13)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    rows = []
+    for i in range(1200):
+        w = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(int(60 * 20 ** rng.random()))]
+        kind = i % 12
+        if kind == 0:
+            w = [x + rng.choice(["%%%", "&&&", "***"]) if rng.random() < 0.6 else x for x in w]
+        elif kind == 1:
+            w = [y for k, x in enumerate(w) for y in ([x, "|"] if k % 3 == 0 else [x])]
+        rows.append((i, " ".join(w), int(kind > 1)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 5], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs, labels).collect() if not r.base_failed}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[0] in kept]
+    bad, good = [kept[i] for i, _, q in held if not q], [kept[i] for i, _, q in held if q]
+    assert len(bad) > 20 and len(good) > 100
+    assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 # -- queries ----------------------------------------------------------------
 
 
