@@ -26,11 +26,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies one row stays: that with the least id, nulls last.
+
+    Rows are judged one by one, by id and a 64-bit hash of id and text, not by
+    the id alone: a row with a null or repeated id goes only if it is itself in
+    a group.  Rows with one id and one text are a group, of which one stays
+    (the least by its other columns); rows without words are in no group.
+    """
     small_batches(spark)
-    found = jaccard_join(docs).select("doc_id", "component_id")
-    gone = settle(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = keyed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    found = jaccard_join(keyed, id_col="_key").filter("n_shingles > 0").select("_key", "component_id").distinct()
+    found = settle(found.join(rows, F.col("_key") == F.col("_of")).drop("_key"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("_first")
+    groups = found.groupBy(F.col("component_id").alias("_group")).agg(first, F.sum("_rows").alias("_all")).filter("_all > 1").select("_group", "_first._id", "_first._of")
+    stays = F.col("f._id").eqNullSafe(F.col("g._id")) & (F.col("f._of") == F.col("g._of"))
+    fate = found.alias("f").join(groups.alias("g"), F.col("component_id") == F.col("_group")).select("f._id", "f._of", "_rows", stays.alias("_stays"))
+    fate = settle(fate.filter("not _stays or _rows > 1"))
+    same = (F.col("_key") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = keyed.join(fate, same, "left_anti").select(*docs.columns)
+    often = keyed.join(fate.filter("_stays"), same, "left_semi")
+    once = often.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.unionByName(once)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

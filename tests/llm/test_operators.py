@@ -564,3 +564,39 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
         assert stage(spark, empty.select("doc_id", "text", "lang", "source", "n_chars"), sf).count() == 0
         stage(spark, odd, sf).count()
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_near_copies_keeps_one_row_a_group(spark, odd, odd_rows):
+    """Null and repeated ids are judged row by row."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, e, f = (" ".join(f"{p}{rng.randint(0, 999)}" for _ in range(40)) for p in "abcdef")
+    rows = [(5, a), (9, a), (None, a), (None, b), (None, c), (None, c), (None, d), (None, d + " end"), (7, e), (7, e), (7, e), (7, f), (8, f), (7, b + " else " + c), (3, f), (None, None), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _n long").repartition(3)
+    near = dict(corpus_pipeline.STAGES)["near_copies"]
+    out = near(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(out.collect(), key=lambda r: r._n)
+    want = [(5, a), (None, b), (None, c), (7, e), (7, b + " else " + c), (3, f), (None, None), (None, None), (2, ""), (2, "")]
+    rest = [(r.doc_id, r.text) for r in got if r.text not in (d, d + " end")]
+    assert Counter(rest) == Counter(want) and len(got) == len(want) + 1  # one of the null ids of d
+    assert [r._n for r in got if r.text in (c, e)] == [4, 8]  # the least of equal rows
+
+    # The odd rows, against components of rows by brute force.
+    sets, root = [shingles(t) for _, t, _ in odd_rows], list(range(len(odd_rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            i = len(sets[x] & sets[y])
+            if i and 100 * i >= 80 * (len(sets[x]) + len(sets[y]) - i):
+                root[find(x)] = find(y)
+    groups = defaultdict(list)
+    for k, (i, t, _) in enumerate(odd_rows):
+        groups[find(k)].append((i is None, i or 0, t))
+    assert Counter((r.doc_id, r.text) for r in near(spark, odd, "").collect()) == Counter((None if x else i, t) for x, i, t in map(min, groups.values()))
