@@ -14,6 +14,8 @@ predictions: the id last seen after the two ids before (order 2), the one last
 seen after the id before (order 1), and the order-0 counts.  The shares of the
 code range that orders 2 and 1 get adapt to how often they were right so far
 at their present confidence; an id that neither foresaw is coded by order 0.
+Order 0 holds up to 2^16 distinct ids.  In a segment with more it holds the
+most frequent 2^15 and an escape, after which an id follows as two plain digits.
 
 The segments are rows of a Parquet table, so that any store Spark can write
 holds them, and Spark's commit protocol covers lost executors.
@@ -44,6 +46,8 @@ BLOCK = 2048
 SLOTS_LOG = 10
 SLOTS = 1 << SLOTS_LOG
 TOP = 1 << 16
+#: Ends the symbols of a model that does not hold all ids of its segment; no id.
+ESCAPE = (1 << 32) - 1
 _SHIFT = np.uint32(32 - SLOTS_LOG)
 _U = np.uint64
 _BITS, _LOW48, _FULL = _U(16), _U((1 << 48) - 1), _U(1 << 48)
@@ -92,9 +96,7 @@ _MOST, _LEAST = np.int32(TOP - 512), np.int32(64)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to 2^16 in all, 1 at least where there are any."""
-    if len(counts) > TOP // 2:
-        raise ValueError("more distinct ids in a segment than the order-0 model holds")
+    """At most 2^16 counts scaled to 2^16 in all, 1 at least where there are any."""
     f = np.maximum(counts * TOP // counts.sum(), 1)
     over = int(f.sum()) - TOP
     order = np.argsort(-f, kind="stable")
@@ -158,6 +160,15 @@ class _Coder:
         return [self.out[k, 1 : self.at[k]].astype("<u2").tobytes() for k in range(len(lanes))]
 
 
+def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending symbols and their scaled counts."""
+    symbols, tally = np.unique(ids, return_counts=True)
+    if len(symbols) > TOP:
+        often = np.sort(np.argsort(-tally, kind="stable")[: TOP // 2])
+        symbols, tally = np.append(symbols[often], np.uint32(ESCAPE)), np.append(tally[often], len(ids) - tally[often].sum())
+    return symbols, _scaled(tally) if len(symbols) else tally
+
+
 def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids as lanes of ``BLOCK`` (the last padded), and the number in each."""
     n = -(-len(ids) // BLOCK)
@@ -174,15 +185,16 @@ def encode_segment(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None
     known = np.fromiter((d is not None for d in doc_ids), bool, len(doc_ids))
     names = np.fromiter((d or 0 for d in doc_ids), "<i8", len(doc_ids))
     directory = zlib.compress(known.tobytes() + np.diff(names, prepend=0).astype("<i8").tobytes() + counts.astype("<u4").tobytes(), 6)
-    symbols, tally = np.unique(ids, return_counts=True)
-    freq = _scaled(tally) if len(symbols) else tally
+    symbols, freq = _order0(ids)
+    escape = len(symbols) - 1 if len(symbols) and symbols[-1] == ESCAPE else -1
+    known_ids = symbols[:escape] if escape >= 0 else symbols
     model = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
     lanes, size = _blocks(ids)
-    table = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
-    table[symbols] = np.arange(len(symbols))
+    table = np.full(int(ids.max(initial=0)) + 1, max(escape, 0), np.int64)
+    table[known_ids] = np.arange(len(known_ids))
     cum = (np.cumsum(freq) - freq).astype(np.uint64)
     freq = freq.astype(np.uint64)
-    m, coder, steps = _Model(len(lanes)), _Coder(len(lanes), BLOCK), np.ascontiguousarray(lanes.T)
+    m, coder, steps = _Model(len(lanes)), _Coder(len(lanes), BLOCK * 2 if escape >= 0 else BLOCK), np.ascontiguousarray(lanes.T)
     for t in range(int(size.max()) if len(size) else 0):
         x = steps[t]
         p2, p1, s2, s1 = m.predict()
@@ -196,6 +208,10 @@ def encode_segment(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None
         rest = np.flatnonzero(~(right2 | right1)[:n])
         k = table.take(x.take(rest))
         coder.put_some(rest, cum.take(k), freq.take(k))
+        if escape >= 0 and len(rare := rest[k == escape]):
+            plain = x.take(rare).astype(np.uint64)
+            for digit in (plain >> _BITS, plain & _U(TOP - 1)):
+                coder.put_some(rare, digit, np.ones(len(rare), np.uint64))
         m.update(x, right2, right1, good1)
     bodies = coder.finish() if len(lanes) else []
     head = np.array([(n, len(b) // 2, zlib.crc32(lane[:n].astype("<u4").tobytes())) for n, b, lane in zip(size.tolist(), bodies, lanes)], "<u4").tobytes()
@@ -223,6 +239,7 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
         digits[k, : head[k, 1]] = np.frombuffer(body, "<u2", head[k, 1], at)
         at += 2 * int(head[k, 1])
     cum = np.cumsum(freq) - freq
+    escape = kinds - 1 if kinds and symbols[-1] == ESCAPE else -1
     by_slot = np.repeat(np.arange(kinds), freq.astype(np.int64))
     size = head[:, 0]
     code, rng, pos = (digits[:, 0] << _U(32)) | (digits[:, 1] << _U(16)) | digits[:, 2], np.full(n, (1 << 48) - 1, np.uint64), np.full(n, 3, np.int64)
@@ -260,8 +277,17 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
         r16 *= freq.take(k)
         refill(cr, r16, rest)
         c[rest], r[rest] = cr, r16
-        code[:live], rng[:live] = c, r
         x[rest] = symbols.take(k)
+        if escape >= 0 and len(rare := rest[k == escape]):
+            cr, r16, plain = c.take(rare), r.take(rare), np.zeros(len(rare), np.uint64)
+            for _ in range(2):
+                r16 >>= _BITS
+                digit = np.minimum(cr // r16, _U(TOP - 1))
+                cr -= r16 * digit
+                refill(cr, r16, rare)
+                plain = (plain << _BITS) | digit
+            c[rare], r[rare], x[rare] = cr, r16, plain
+        code[:live], rng[:live] = c, r
         if live < n:
             x[-1] = 0
         out[t] = x

@@ -171,6 +171,16 @@ def test_token_file_round_trip_and_damage():
             idfile.decode_segment(bytes(bad))
 
 
+@pytest.mark.parametrize("kinds", [32_769, 40_000, 65_536, 65_537, 70_000, 100_000])
+def test_token_file_with_many_kinds(kinds):
+    from flowspark.llm import idfile
+
+    rng = np.random.default_rng(kinds)
+    ids = np.concatenate([rng.permutation(kinds) * 7, rng.geometric(0.05, 20_001), np.zeros(300)]).astype(np.uint32)
+    back, c, names = idfile.decode_segment(idfile.encode_segment(ids, np.array([len(ids)]), [4]))
+    assert (back == ids).all() and c.tolist() == [len(ids)] and names == [4]
+
+
 def test_token_files(spark, odd, odd_rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
