@@ -4,13 +4,15 @@ The lexicon (whole words, and stems that take any ending) is learned from
 labelled rows: what occurs in toxic rows and next to never in others.  Words
 within one edit of a lexicon word are found by running the union of the
 words' Levenshtein automata, intersected with the trie, as one lazily built
-automaton.  Near words that clean labelled rows use are ordinary words and are
-left out.  A hit counts as quoted when quote marks or words of reporting stand
+automaton.  Words of four letters allow fewer edits: two neighbours changed
+places, or one character changed (the first only to a non-letter).  Near words
+that clean labelled rows use are ordinary words and are left out.  A hit counts as quoted when quote marks or words of reporting stand
 in its context window.  Counts of plain, near and quoted hits, and their rate,
 feed a logistic regression, fitted on the same rows.
 
 Only the text is scored.  The fit reads at most ``sample`` labelled rows (the
-smallest id hashes), a documented bound; every text is then scored in place.
+smallest id hashes), a documented bound, which bounds the lexicon and the list of
+ordinary words as well; every text is then scored in place.
 
 Defined results: null or empty texts have the score of a text without hits;
 null ids are scored, never learned from; repeated rows have repeated results;
@@ -40,10 +42,16 @@ STEM_SIZES = range(4, 9)
 
 
 class Lexicon:
-    """A trie of words and stems, run as an automaton that allows one edit on words of five letters or more."""
+    """A trie of words and stems, run as an automaton that allows one edit on words of five letters or more.
 
-    def __init__(self, words: list[str], stems: list[str], ordinary: set[str] = frozenset()):
+    ``guarded``: words of four letters allow some edits, too.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], ordinary: set[str] = frozenset(), guarded: bool = False):
         self.ordinary, self.stems = ordinary, frozenset(stems)
+        four = [t for t in words if guarded and len(t) == 4]
+        self.swapped = {t[:k] + t[k + 1] + t[k] + t[k + 2 :] for t in four for k in range(3)}
+        self.changed = {(t[:k], t[k + 1 :]) for t in four for k in range(4)}
         self.child: list[dict[str, int]] = [{}]
         self.word: set[int] = set()
         self.stem: set[int] = set()
@@ -88,6 +96,12 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """0: none, 1: a lexicon word or one with a lexicon stem, 2: within one edit of a lexicon word."""
+        return self._match(word) or (2 if self.changed and len(word) == 4 and word not in self.ordinary and self._guarded(word) else 0)
+
+    def _guarded(self, word: str) -> bool:
+        return word in self.swapped or any((word[:k], word[k + 1 :]) in self.changed for k in range(4) if k or not word[0].isalpha())
+
+    def _match(self, word: str) -> int:
         if len(self.sets) > 10_000:
             self.states, self.sets, self.step = {}, [], []
             self.start = self._state({(0, 0)})
@@ -164,9 +178,11 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(signals(h) @ self.weights, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 6, terms: int = 4_000, id_col: str = "doc_id", text_col: str = "text", held_out: bool = True) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 6, terms: int | None = None, id_col: str = "doc_id", text_col: str = "text", held_out: bool = True) -> Toxicity:
     """Learn from at most ``sample`` rows that ``labels`` (id, ``toxic``) marks.
 
+    ``terms``: keep so many entries of the lexicon (a word may have six), the most frequent; all by default.
+
     ``held_out``: leave out rows whose crc32 of the id as text is divisible by 5.
     """
     y = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
@@ -185,13 +201,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least
         yield pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "yes": pa.array([yes[k] for k in keys], pa.int64()), "no": pa.array([no[k] for k in keys], pa.int64())})
 
     by_term = rows.mapInArrow(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    found = by_term.filter((F.col("yes") >= least) & (F.col("no") * 50 <= F.col("yes"))).orderBy(F.desc("yes"), "term").limit(terms).collect()
+    found = by_term.filter((F.col("yes") >= least) & (F.col("no") * 50 <= F.col("yes"))).orderBy(F.desc("yes"), "term")
+    found = (found if terms is None else found.limit(terms)).collect()
     words = [r.term[1:] for r in found if r.term[0] == "="]
     stems: list[str] = []
     for s in sorted((r.term[:-1] for r in found if r.term[-1] == "*" and r.term[0] != "="), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in stems):
             stems.append(s)
-    lexicon = Lexicon(words, stems)
+    lexicon = Lexicon(words, stems, guarded=True)
 
     def measure(batches):
         ordinary: Counter = Counter()
@@ -201,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least
                     ordinary.update(w for w in {plain(t) for t in (text or "").split()} if lexicon.match(w) == 2)
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(ordinary), pa.string())})
 
-    lexicon.ordinary = {r.word for r in rows.mapInArrow(measure, "word string").distinct().orderBy("word").limit(terms).collect()}
+    lexicon.ordinary = {r.word for r in rows.mapInArrow(measure, "word string").distinct().collect()}
 
     def look(batches):
         for b in chunks(batches):

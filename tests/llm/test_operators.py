@@ -373,6 +373,22 @@ def test_quotation_and_scores(spark, odd, odd_rows, empty):
     assert {r.score for r in score_toxicity(odd, none).collect()} == {0.0}
 
 
+def test_short_lexicon_words_and_many_ordinary_ones(spark):
+    from flowspark.llm.toxicity import Lexicon, fit_toxicity
+
+    lex = Lexicon(["scum", "oaf"], [], {"slum"}, guarded=True)
+    want = {"scum": 1, "scun": 2, "sucm": 2, "5cum": 2, "s*um": 2, "slum": 0, "tcum": 0, "scu": 0, "scums": 0, "oat": 0, "": 0}
+    assert {w: lex.match(w) for w in want} == want
+    # All ordinary near words count, also past the lexicon's bound and late in the alphabet.
+    near = [f"{a}umbug" for a in "abcdefgijklmnopqrstvwxyz"]
+    clean = ["tree house river stone cloud"] * 76 + [f"tree house {w} stone" for w in near]
+    rows = [(2 * k, x, 0) for k, x in enumerate(clean)] + [(2 * k + 1, f"you humbug tree house {k}", 1) for k in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels, held_out=False, terms=10)
+    assert model.lexicon.match("humbug") == 1 and [w for w in near if model.lexicon.match(w)] == []
+
+
 # -- 8 ----------------------------------------------------------------------
 
 
