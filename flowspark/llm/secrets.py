@@ -44,15 +44,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Published token shapes, beyond the base.
+#: A line break, also as an escape.
+_BREAK = r"(?:\s|\\[nr])+"
+#: Published token shapes, beyond the base.  A private key goes to its END line, or without one to the end of its base64 lines.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|" rf"(?:{_BREAK}(?:Proc-Type|DEK-Info): [^\n]*)*(?:{_BREAK}[A-Za-z0-9+/=]{{20,}})*(?:{_BREAK}[A-Za-z0-9+/]{{1,19}}={{1,2}})?)"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("login_url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[A-Za-z0-9.-]+"),
+    Rule("login_url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]+@[A-Za-z0-9.-]+"),
 )
 #: A finite set of strings larger than this counts as unknown.
 SETS = 24

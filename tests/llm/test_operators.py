@@ -133,6 +133,23 @@ def test_secrets(spark, odd, odd_rows, empty):
     assert redact(odd).columns == odd.columns
 
 
+def test_whole_keys_and_long_logins_go(spark):
+    from flowspark.llm.secrets import redact
+
+    body = "\n".join("MIIE" + c * 60 for c in "abC9") + "\nQUJD+/=="
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    user, word = "u" * 90, "p" * 200
+    texts = {
+        1: (f"a {head}\n{body}\n{tail} z", "a [SECRET] z"),
+        2: (f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n\nthe rest stays", "a [SECRET]\n\nthe rest stays"),
+        3: ("a " + f"{head}\n{body}\n{tail}".replace("\n", "\\n") + " z", "a [SECRET] z"),
+        4: (f"a {head} alone, {head}\n{body}\n{tail} z", "a [SECRET] alone, [SECRET] z"),
+        5: (f"to db://{user}:{word}@host.example now", "to [SECRET] now"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in redact(df).collect()} == {i: w for i, (_, w) in texts.items()}
+
+
 def test_trigram_queries_never_lose_a_match():
     from flowspark.llm.secrets import Index, grams_of, trigram_query
     from flowspark.llm.words import text_buffer
