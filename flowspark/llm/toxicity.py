@@ -15,7 +15,8 @@ smallest id hashes), a documented bound, which bounds the lexicon and the list o
 ordinary words as well; every text is then scored in place.
 
 Defined results: null or empty texts have the score of a text without hits;
-null ids are scored, never learned from; repeated rows have repeated results;
+null ids are scored, never learned from; of rows with one id one is learned
+from; repeated rows have repeated results;
 without labels of both kinds every score is the share of toxic labels (0 when
 there are none); an empty table gives an empty result; other columns of
 ``docs`` are ignored.
@@ -190,7 +191,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least
         y = y.filter(crc32_of_id(id_col) % 5 != 0)
     y = y.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = settle(rows.join(F.broadcast(y), "id").select("text", "y"))  # at most ``sample`` rows are broadcast
+    rows = rows.join(F.broadcast(y), "id")  # at most ``sample`` rows are broadcast
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("s")
+    rows = settle(rows.groupBy("id").agg(first).select("s.text", "s.y"))  # one row an id: that with the least text hash
 
     def count(batches):
         yes, no = Counter(), Counter()

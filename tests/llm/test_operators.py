@@ -558,6 +558,32 @@ def test_quality_rejects_junk_that_passes_the_base_rule(spark):
     assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.98 * len(good)
 
 
+def test_fits_read_one_row_an_id(spark, monkeypatch):
+    """Repeats of a labelled id neither reach the driver nor weigh on the fits."""
+    from pyspark.sql import DataFrame
+
+    from flowspark.llm.quality import quality_rules
+    from flowspark.llm.toxicity import fit_toxicity
+
+    rows = [(k, f"tree house river {k} " + "moron you " * (k % 4 == 0)) for k in range(80)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [rows[3]] * 500 + [rows[4]] * 300, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), int(k % 4 > 0)) for k in range(80)], "doc_id long, toxic int, quality int")
+    sizes, whole = [], type(once).toPandas
+
+    def counted(self):
+        out = whole(self)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(once), "toPandas", counted)
+    assert isinstance(once, DataFrame)
+    a, b = (fit_toxicity(x, labels, held_out=False) for x in (once, often))
+    assert a.share == b.share and np.array_equal(a.weights, b.weights) and a.lexicon.stems == b.lexicon.stems
+    quality_rules(often, labels)
+    assert sizes == [80, 80, 80]
+
+
 # -- queries ----------------------------------------------------------------
 
 
