@@ -38,20 +38,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import spread
-from .tokens import Encoder, with_end
+from .tokens import Encoder, encoder, with_end
 from .words import chunks, text_buffer
 
-MAGIC = b"FTOK\x01"
-BLOCK = 2048
-SLOTS_LOG = 10
+MAGIC = b"FTOK\x02"
+BLOCK = 512
+SLOTS_LOG = 8
 SLOTS = 1 << SLOTS_LOG
 TOP = 1 << 16
 #: Ends the symbols of a model that does not hold all ids of its segment; no id.
 ESCAPE = (1 << 32) - 1
 _SHIFT = np.uint32(32 - SLOTS_LOG)
 _U = np.uint64
-_BITS, _LOW48, _FULL = _U(16), _U((1 << 48) - 1), _U(1 << 48)
-_SMALL = _U(1 << 32)
+_16, _32, _48 = _U(16), _U(32), _U(48)
+_SMALL, _LAST = _U(1 << 48), _U((1 << 32) - 1)
 
 
 class _Model:
@@ -93,6 +93,7 @@ _C, _C2 = np.uint32(3), np.uint32(2)
 _K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35), np.uint32(0x85EBCA6B)
 #: Between these the shares stay, so that order 0 always has one.
 _MOST, _LEAST = np.int32(TOP - 512), np.int32(64)
+_TOP = np.uint64(TOP)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -111,47 +112,49 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
 
 
 class _Coder:
-    """48-bit range coder, in lanes; carries are added to the digits and settled at the end."""
+    """64-bit range coder of shares of 2^32, in lanes; carries are added to the digits and settled at the end."""
 
     def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         self.rows = np.arange(lanes)
-        self.out, self.at = np.zeros((lanes, steps * 2 + 4), np.uint32), np.ones(lanes, np.int64)  # digit 0 takes a last carry
+        self.out, self.at = np.zeros((lanes, steps * 2 + 6), np.uint32), np.ones(lanes, np.int64)  # digit 0 takes a last carry
+        self.flat, self.first = self.out.reshape(-1), self.rows * self.out.shape[1]
 
-    def put(self, n: int, start: np.ndarray, freq: np.ndarray) -> None:
+    def put(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
         """One step of the first ``n`` lanes."""
-        low, rng = self.low[:n], self.range[:n]
-        rng >>= _BITS
-        low += rng * start
-        rng *= freq
-        self._settle(np.arange(n) if n != len(self.rows) else self.rows, low, rng)
-        self.low[:n], self.range[:n] = low, rng
-
-    def put_some(self, rows: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        low, rng = self.low[:n], self.range[:n]  # views
+        rng >>= _32
+        start *= rng
+        low += start
+        rng *= width
+        self._settle(self.rows[:n], low, rng, low < start)
+
+    def put_some(self, rows: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
         low, rng = self.low.take(rows), self.range.take(rows)
-        rng >>= _BITS
-        low += rng * start
-        rng *= freq
-        self._settle(rows, low, rng)
+        rng >>= _32
+        start = start * rng
+        low += start
+        rng *= width
+        self._settle(rows, low, rng, low < start)
         self.low[rows], self.range[rows] = low, rng
 
-    def _settle(self, rows: np.ndarray, low: np.ndarray, rng: np.ndarray) -> None:
-        over = np.flatnonzero(low >= _FULL)
-        if len(over):
-            low[over] &= _LOW48
-            r = rows[over]
-            self.out[r, self.at[r] - 1] += np.uint32(1)
+    def _settle(self, rows: np.ndarray, low: np.ndarray, rng: np.ndarray, over: np.ndarray) -> None:
+        if len(r := rows[over]):
+            self.flat[self.first[r] + self.at[r] - 1] += np.uint32(1)
         small = np.flatnonzero(rng < _SMALL)
-        if len(small):
-            s, x = rows[small], low[small]
-            self.out[s, self.at[s]] = x >> _U(32)
-            self.at[s] += 1
-            low[small] = (x << _BITS) & _LOW48
-            rng[small] <<= _BITS
+        while len(small):  # twice at most
+            s, x = rows.take(small), low.take(small)
+            at = self.at.take(s)
+            self.flat[self.first.take(s) + at] = x >> _48
+            self.at[s] = at + 1
+            low[small] = x << _16
+            r = rng.take(small) << _16
+            rng[small] = r
+            small = small[r < _SMALL]
 
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
-        for k in (32, 16, 0):
+        for k in (48, 32, 16, 0):
             self.out[lanes, self.at] = ((self.low >> _U(k)) & _U(0xFFFF)).astype(np.uint32)
             self.at += 1
         while (c := self.out[:, 1:] >> np.uint32(16)).any():
@@ -190,28 +193,34 @@ def encode_segment(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None
     known_ids = symbols[:escape] if escape >= 0 else symbols
     model = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
     lanes, size = _blocks(ids)
-    table = np.full(int(ids.max(initial=0)) + 1, max(escape, 0), np.int64)
+    table = np.full(int(ids.max(initial=0)) + 1, max(escape, 0), np.int32)
     table[known_ids] = np.arange(len(known_ids))
     cum = (np.cumsum(freq) - freq).astype(np.uint64)
     freq = freq.astype(np.uint64)
     m, coder, steps = _Model(len(lanes)), _Coder(len(lanes), BLOCK * 2 if escape >= 0 else BLOCK), np.ascontiguousarray(lanes.T)
     for t in range(int(size.max()) if len(size) else 0):
         x = steps[t]
+        k = table.take(x)
         p2, p1, s2, s1 = m.predict()
         right2, good1 = p2 == x, p1 == x
         right1 = good1 & ~right2
-        both = s2 + s1
-        start = np.where(right2, 0, np.where(right1, s2, both))
-        width = np.where(right2, s2, np.where(right1, s1, TOP - both))
+        both = (s2 + s1).astype(np.uint64)
+        left = _TOP - both
+        start, width = cum.take(k), freq.take(k)
+        start *= left
+        both <<= _16
+        start += both
+        width *= left
+        for right, before, own in ((right1, s2, s1), (right2, None, s2)):
+            hit = np.flatnonzero(right)
+            start[hit] = before.take(hit).astype(np.uint64) << _16 if before is not None else _U(0)
+            width[hit] = own.take(hit).astype(np.uint64) << _16
         n = len(size) - (t >= size[-1])
-        coder.put(n, start[:n].astype(np.uint64), width[:n].astype(np.uint64))
-        rest = np.flatnonzero(~(right2 | right1)[:n])
-        k = table.take(x.take(rest))
-        coder.put_some(rest, cum.take(k), freq.take(k))
-        if escape >= 0 and len(rare := rest[k == escape]):
+        coder.put(n, start[:n], width[:n])
+        if escape >= 0 and len(rare := np.flatnonzero((k == escape)[:n] & ~(right2 | right1)[:n])):
             plain = x.take(rare).astype(np.uint64)
-            for digit in (plain >> _BITS, plain & _U(TOP - 1)):
-                coder.put_some(rare, digit, np.ones(len(rare), np.uint64))
+            for digit in (plain >> _16, plain & _U(TOP - 1)):
+                coder.put_some(rare, digit << _16, np.full(len(rare), TOP, np.uint64))
         m.update(x, right2, right1, good1)
     bodies = coder.finish() if len(lanes) else []
     head = np.array([(n, len(b) // 2, zlib.crc32(lane[:n].astype("<u4").tobytes())) for n, b, lane in zip(size.tolist(), bodies, lanes)], "<u4").tobytes()
@@ -234,62 +243,73 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
     at += len_model
     head = np.frombuffer(body, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
     at += 12 * n
-    digits = np.zeros((n, int(head[:, 1].max(initial=0)) + 4), np.uint64)
+    digits = np.zeros((n, int(head[:, 1].max(initial=0)) + 6), np.uint16)
     for k in range(n):
         digits[k, : head[k, 1]] = np.frombuffer(body, "<u2", head[k, 1], at)
         at += 2 * int(head[k, 1])
     cum = np.cumsum(freq) - freq
     escape = kinds - 1 if kinds and symbols[-1] == ESCAPE else -1
-    by_slot = np.repeat(np.arange(kinds), freq.astype(np.int64))
+    by_slot = np.repeat(np.arange(kinds, dtype=np.int32), freq.astype(np.int64))
     size = head[:, 0]
-    code, rng, pos = (digits[:, 0] << _U(32)) | (digits[:, 1] << _U(16)) | digits[:, 2], np.full(n, (1 << 48) - 1, np.uint64), np.full(n, 3, np.int64)
+    code, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    for k in range(4):
+        code = (code << _16) | digits[:, k]
+    flat, pos = digits.reshape(-1), np.arange(n) * digits.shape[1] + 4
     m, out = _Model(n), np.zeros((block, n), np.uint32)
 
     def refill(c, w, rows=None):
         small = np.flatnonzero(w < _SMALL)
-        if len(small):
-            s = small if rows is None else rows[small]
-            c[small] = (c[small] << _BITS) | digits[s, pos[s]]
-            pos[s] += 1
-            w[small] <<= _BITS
+        while len(small):
+            s = small if rows is None else rows.take(small)
+            p = pos.take(s)
+            c[small] = (c.take(small) << _16) | flat.take(p)
+            pos[s] = p + 1
+            r = w.take(small) << _16
+            w[small] = r
+            small = small[r < _SMALL]
 
     for t in range(int(size.max(initial=0))):
         p2, p1, s2, s1 = m.predict()
         live = n - (t >= size[-1])
-        r = rng[:live] >> _BITS
-        slot = np.minimum(code[:live] // r, _U(TOP - 1)).astype(np.int32)
+        c, r = code[:live], rng[:live]  # views
+        r >>= _32
+        v = np.minimum(c // r, _LAST)
+        both = (s2 + s1)[:live].astype(np.uint64)
+        left = _TOP - both
+        both <<= _16
+        k = by_slot.take(((np.maximum(v, both) - both) // left).astype(np.int64))
+        start, width, x = cum.take(k), freq.take(k), np.zeros(n, np.uint32)
+        start *= left
+        start += both
+        width *= left
+        x[:live] = symbols.take(k)
+        a2 = s2[:live].astype(np.uint64) << _16
+        right2 = np.zeros(n, bool)
+        right1 = np.zeros(n, bool)
+        np.less(v, a2, out=right2[:live])
+        np.less(v, both, out=right1[:live])
+        right1 ^= right2
         if live < n:  # the last lane is padded with 0
-            slot = np.append(slot, np.int32(0 if p2[-1] == 0 else s2[-1] if p1[-1] == 0 else TOP - 1))
-        both = s2 + s1
-        right2 = slot < s2
-        right1 = ~right2 & (slot < both)
-        start = np.where(right2, 0, np.where(right1, s2, both))
-        width = np.where(right2, s2, np.where(right1, s1, TOP - both))
-        c = code[:live] - r * start[:live].astype(np.uint64)
-        r *= width[:live].astype(np.uint64)
+            right2[-1], right1[-1] = p2[-1] == 0, p2[-1] != 0 and p1[-1] == 0
+        for right, before, own, p in ((right1[:live], a2, s1, p1), (right2[:live], None, s2, p2)):
+            hit = np.flatnonzero(right)
+            start[hit] = before.take(hit) if before is not None else _U(0)
+            width[hit] = own.take(hit).astype(np.uint64) << _16
+            x[hit] = p.take(hit)
+        start *= r
+        c -= start
+        r *= width
         refill(c, r)
-        x = np.where(right2, p2, p1)
-        rest = np.flatnonzero(~(right2 | right1)[:live])
-        cr, r16 = c.take(rest), r.take(rest)
-        r16 >>= _BITS
-        k = by_slot.take(np.minimum(cr // r16, _U(TOP - 1)).astype(np.int64))
-        cr -= r16 * cum.take(k)
-        r16 *= freq.take(k)
-        refill(cr, r16, rest)
-        c[rest], r[rest] = cr, r16
-        x[rest] = symbols.take(k)
-        if escape >= 0 and len(rare := rest[k == escape]):
-            cr, r16, plain = c.take(rare), r.take(rare), np.zeros(len(rare), np.uint64)
+        if escape >= 0 and len(rare := np.flatnonzero((k == escape) & ~(right2 | right1)[:live])):
+            cr, rr, plain = c.take(rare), r.take(rare), np.zeros(len(rare), np.uint64)
             for _ in range(2):
-                r16 >>= _BITS
-                digit = np.minimum(cr // r16, _U(TOP - 1))
-                cr -= r16 * digit
-                refill(cr, r16, rare)
-                plain = (plain << _BITS) | digit
-            c[rare], r[rare], x[rare] = cr, r16, plain
-        code[:live], rng[:live] = c, r
-        if live < n:
-            x[-1] = 0
+                rr >>= _32
+                digit = np.minimum(cr // rr, _LAST) >> _16
+                cr -= rr * (digit << _16)
+                rr <<= _16
+                refill(cr, rr, rare)
+                plain = (plain << _16) | digit
+            c[rare], r[rare], x[rare] = cr, rr, plain
         out[t] = x
         m.update(x, right2, right1, p1 == x)
     lanes = out.T
@@ -299,10 +319,10 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
     return lanes.reshape(-1)[:total] if n else np.zeros(0, np.uint32), counts, [int(d) if ok else None for ok, d in zip(known, names)]
 
 
-def _segments(encoder: Encoder, end_id: int, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+def _segments(coder: Encoder, end_id: int, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     ids, counts, names, held = [], [], [], 0
-    for b in chunks(batches):
-        i, c = with_end(*encoder.encode(*text_buffer(b.column(1))), end_id)
+    for b in chunks(batches, keep=True):
+        i, c = with_end(*coder.encode(*text_buffer(b.column(1))), end_id)
         ids.append(i.astype(np.uint32))
         counts.append(c)
         names += b.column(0).to_pylist()
@@ -324,7 +344,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, cut: str
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, (ids, counts, names) in enumerate(_segments(Encoder(tokenizer, cut), end_id, batches, most)):
+        for k, (ids, counts, names) in enumerate(_segments(encoder(tokenizer, cut), end_id, batches, most)):
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([k], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "image": pa.array([encode_segment(ids, counts, names)], pa.binary())})
 
     rows.mapInArrow(write, "part int, number int, n_docs long, n_ids long, image binary").write.mode("overwrite").option("compression", "uncompressed").parquet(path)

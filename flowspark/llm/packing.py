@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_sum, settle, spread
-from .tokens import Encoder, with_end
+from .tokens import encoder, with_end
 from .words import chunks, text_buffer
 
 
@@ -83,9 +83,9 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut_up(batches):
-        encoder = Encoder(path, cut)
-        for b in chunks(batches):
-            ids, counts = with_end(*encoder.encode(*text_buffer(b.column(1))), end_id)
+        coder = encoder(path, cut)
+        for b in chunks(batches, keep=True):
+            ids, counts = with_end(*coder.encode(*text_buffer(b.column(1))), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             pieces = -(-counts // size)
             row = np.repeat(np.arange(len(counts)), pieces)

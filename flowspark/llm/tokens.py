@@ -8,7 +8,11 @@ that the ids of the units, joined, are the ids of the text:
   or control and follows a character that is none; and between an ASCII letter
   and ASCII punctuation after it.
 
-Units are looked up by a 64-bit hash in a cache of bounded size.
+Units are looked up by a 64-bit hash in a cache of bounded size, which lives on
+in its worker from task to task (:func:`encoder`) until another operator's task
+gives its memory back.  Unseen units of plain letters, one word for the
+tokenizer's pattern, go straight to the tokenizer's own model; all others take
+the tokenizer's whole way.
 """
 
 from __future__ import annotations
@@ -19,12 +23,72 @@ from itertools import chain
 
 import numpy as np
 
-from .words import WS, Words, span_hash
+from .words import KEPT, WS, Words, span_hash
 
 
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _POINT = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum()])
-_EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+#: Units that are one word to the tokenizer's pattern and that its normalizer leaves alone but for the case.
+_PLAIN = {"byte": re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+"), "word": re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class UnitTable:
+    """Places and sizes by 64-bit hash: open addressing, at most half full."""
+
+    def __init__(self, log: int = 16):
+        self.log, self.n = log, 0
+        self.key, self.place, self.size = np.zeros(1 << log, np.uint64), np.zeros(1 << log, np.int32), np.zeros(1 << log, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        at = self._slots(h)
+        key = self.key.take(at)
+        look = np.flatnonzero(key != h)
+        while len(look):
+            k, own = key.take(look), h.take(look)
+            at[look[(k == 0) & (own != 0)]] = -1
+            look = look[(k != 0) & (k != own)]
+            at[look] = (at.take(look) + 1) & (len(self.key) - 1)
+            key[look] = self.key.take(at.take(look))
+        return at
+
+    def add(self, h: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """New and distinct hashes."""
+        if 2 * (self.n + len(h)) > len(self.key):
+            old = np.flatnonzero(self.key)
+            more = UnitTable(max(self.log + 1, int(2 * (self.n + len(h))).bit_length()))
+            more.add(self.key[old], self.place[old], self.size[old])
+            self.__dict__ = more.__dict__
+        self.n += len(h)
+        at, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            a = at[left]
+            free = self.key[a] == 0
+            self.key[a[free]] = h[left[free]]  # of several, the last stays
+            won = self.key[a] == h[left]
+            a, i = a[won], left[won]
+            self.place[a], self.size[a] = place[i], size[i]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+
+
+def encoder(path: str, cut: str) -> "Encoder":
+    """The worker's encoder, with what it has learned so far."""
+    key = ("encoder", path, cut)
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Encoder(path, cut)
+    return KEPT[key]
 
 
 class Encoder:
@@ -35,11 +99,13 @@ class Encoder:
         if cut not in ("word", "byte"):
             raise ValueError(f"cut: {cut}")
         self.tokenizer, self.cut, self.most_units, self.most_ids = Tokenizer.from_file(path), cut, most_units, most_ids
+        self.model, self.plain = self.tokenizer.model, _PLAIN[cut]
+        self.letters = _byte_letters()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
-        self.main = self.recent = _EMPTY  # hashes in order, places and sizes in the pool
+        self.table = UnitTable()
         self.pool, self.used = np.zeros(0, np.int32), 0
 
     def _special_spans(self, buf: np.ndarray) -> list[tuple[int, int]]:
@@ -75,38 +141,36 @@ class Encoder:
             start = start[(start <= a) | (start >= b)]
         return start, np.append(start[1:], n)
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether sorted hashes are known, and their places and sizes in the pool."""
-        known, at, size = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for key, a, n in (self.main, self.recent):
-            if len(key):
-                k = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                hit = key[k] == h
-                known |= hit
-                at[hit], size[hit] = a[k[hit]], n[k[hit]]
-        return known, at, size
-
-    @staticmethod
-    def _merge(x: tuple, y: tuple) -> tuple:
-        key = np.concatenate([x[0], y[0]])
-        order = np.argsort(key, kind="stable")  # two sorted runs: a merge
-        return key[order], np.concatenate([x[1], y[1]])[order], np.concatenate([x[2], y[2]])[order]
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole units."""
+        out: list[list[int]] = [[]] * len(texts)
+        odd, plain = [], self.plain.fullmatch
+        words = [t if plain(t) else None for t in texts]
+        if self.cut == "word":
+            words = [None if t is None else t.lower() for t in words]
+        known = [k for k, t in enumerate(words) if t is not None]
+        letters = "\n".join(words[k] for k in known).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n")
+        tokenize = self.model.tokenize
+        for k, t in zip(known, letters):
+            out[k] = [x.id for x in tokenize(t)]
+        odd = [k for k, t in enumerate(words) if t is None]
+        for i in range(0, len(odd), 4096):
+            part = odd[i : i + 4096]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        if len(self.main[0]) > self.most_units or self.used > self.most_ids:
+        if self.table.n > self.most_units or self.used > self.most_ids:
             self._reset()
-        got: list[list[int]] = []
-        for i in range(0, len(texts), 4096):
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        got = self._ids_of(texts)
+        size = np.fromiter(map(len, got), np.int32, len(got))
         total = int(size.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used, 1 << 16), np.int32)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
-        self.recent = self._merge(self.recent, (h, self.used + np.cumsum(size) - size, size))
+        self.table.add(h, (self.used + np.cumsum(size) - size).astype(np.int32), size)
         self.used += total
-        if len(self.recent[0]) > 1 << 16:
-            self.main, self.recent = self._merge(self.main, self.recent), _EMPTY
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, joined, and the count for each text."""
@@ -114,19 +178,23 @@ class Encoder:
         start, end = self.units(buf, offs)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        h, first, back = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
-        known, at, size = self._find(h)
-        if not known.all():
-            new = ~known
-            raw, first = buf.tobytes(), first[new]
-            self._learn(h[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())])
-            known, at, size = self._find(h)
-            if not known.all():  # the cache was emptied on the way
+        h = span_hash(buf, start, end)
+        h |= np.uint64(1)  # never 0, which marks a free slot
+        slot = self.table.find(h)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            key, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            raw = buf.tobytes()
+            self._learn(key, [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())])
+            slot = self.table.find(h)
+            if (slot < 0).any():  # the cache was emptied on the way
                 return self.encode(buf, offs)
-        at, size = at[back], size[back]
+        at, size = self.table.place.take(slot), self.table.size.take(slot)
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
-        ids = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        shift = at - total[:-1]
+        ids = self.pool.take(np.repeat(shift, size) + np.arange(total[-1]))
         cuts = np.searchsorted(start, offs)
         return ids, total[cuts[1:]] - total[cuts[:-1]]
 

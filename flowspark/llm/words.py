@@ -74,17 +74,23 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def release() -> None:
-    """Give freed memory back to the system; Spark's Python workers live on from task to task."""
+#: What a worker keeps from task to task.
+KEPT: dict = {}
+
+
+def release(keep: bool = False) -> None:
+    """Give freed memory back to the system; Spark's Python workers live on from task to task.  ``keep``: but not what is kept from task to task."""
+    if not keep:
+        KEPT.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``limit`` bytes of text each."""
-    release()  # what the task before has left
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``limit`` bytes of text each; ``keep`` as for :func:`release`."""
+    release(keep)  # what the task before has left
     for b in batches:
         if not b.num_rows:
             continue
@@ -96,7 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield b.slice(at, to - at)
             at = to
         del b, ends
-    release()
+    release(keep)
 
 
 class Words:
