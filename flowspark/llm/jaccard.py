@@ -4,13 +4,20 @@ The global order of n-gram hashes is cut into fragments.  A document's set of
 n-grams falls into one segment a fragment; in each fragment all segments meet,
 the document frequencies of its n-grams are counted exactly, and n-grams that
 no other set has are dropped.  What is left of a set, gathered again, tells
-whether it can reach the similarity at all; if so, its rarest n-grams (as many
-as any similar partner must share one of) propose partners.  Proposals are kept
-as stars, never as pairs, and their components are blocks; within a block the
-partial overlaps of each fragment of columns are counted by matrix product,
-summed for each pair, and held against the exact threshold.  A large block is
-cut into tiles, and every pair of tiles is its own task that returns links of a
-spanning forest only.
+whether it can reach the similarity at all; if so, it offers its rarest n-grams
+(as many as any similar partner must share one of).
+
+Sets that offer one n-gram are a group.  A group of up to ``few`` sets proposes
+all its pairs; a larger one only the pairs with its centre, the set with the
+fewest n-grams of its own, so proposals grow with the offers.  Pairs whose
+sizes, or numbers of n-grams that others have, rule a link out are dropped.
+The rest are verified by fragments: each fragment counts the partial overlap of
+a pair for itself, and the counts are summed for each pair.
+
+A larger group whose sets the links so found all join has nothing left to find.
+The others, joined where they share sets, are blocks: in a block every set that
+is not of its main component meets all others, in tiles of bounded bytes, each
+pair of tiles a task of its own that returns links of a spanning forest only.
 
 Equal sets are one set from the start.  An n-gram that many documents of one
 input block share is not sent document by document: its fragment gets one
@@ -38,6 +45,10 @@ _U = np.uint64
 _K = _U(0xA0761D6478BD642F)
 HOT = 0xFFFF
 FRAGMENT, SETS, ROWS = 0, 1, 2
+#: Shuffle partitions at most; beyond it a partition holds several fragments, one after the other.
+MOST_PARTS = 10_000
+#: Fragments in which the overlaps of proposed pairs are counted.
+PIECES = 4
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -107,7 +118,7 @@ def _cut(n: int, fragments: int, set_buckets: int):
     """Texts to segments by fragment, rows of documents, and hot n-grams by set."""
 
     def run(batches):
-        for b in chunks(batches, limit=4 << 20):
+        for b in chunks(batches):
             buf, offs = text_buffer(b.column(1))
             g, bounds, handle = shingle_sets(buf, offs, n)
             size = np.diff(bounds)
@@ -152,52 +163,72 @@ def _joined(loads: list, extra: bool = False):
     return handle, size, np.repeat(np.arange(len(handle)), count), g, more
 
 
-def _count(set_buckets: int):
-    """One fragment: exact frequencies; segments without the n-grams of one set only, by set bucket (in ``n``)."""
+def _in_turn(batches, pick=None):
+    """The loads of each bucket (columns load, bucket; sorted by bucket), one bucket at a time; ``pick`` takes a batch first and may keep rows to itself."""
+    held, now = [], None
+    for b in batches:
+        if pick is not None:
+            rest, b = pick(b)
+            if rest.num_rows:
+                yield None, rest
+        for load, bucket in zip(b.column(0), b.column(1).to_pylist()):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(load.as_py())
+    if held:
+        yield now, held
+
+
+def _count(set_buckets: int, slices: int = 4):
+    """Fragment after fragment: exact frequencies; segments without the n-grams of one set only, by set bucket (in ``n``)."""
+
+    def pick(b):
+        kind = b.column(0).to_numpy(zero_copy_only=False)
+        return b.take(pa.array(np.flatnonzero(kind != FRAGMENT))), b.take(pa.array(np.flatnonzero(kind == FRAGMENT))).select(["load", "bucket"])
 
     def run(batches):
         release()
-        held: dict[int, list] = {}
-        for b in batches:
-            kind = b.column(0).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(kind == FRAGMENT).tolist():
-                held.setdefault(b.column(1)[i].as_py(), []).append(b.column(2)[i].as_py())
-            rest = np.flatnonzero(kind != FRAGMENT)
-            if len(rest):
-                yield b.take(pa.array(rest))
-        for f in list(held):
-            handle, size, row, g, notes = _joined(held.pop(f))
+        for f, loads in _in_turn(batches, pick):
+            if f is None:
+                yield loads
+                continue
+            handle, size, row, g, notes = _joined(loads)
+            loads.clear()
             _, first = np.unique(handle, return_index=True)
             mine = np.zeros(len(handle), bool)
             mine[first] = True
-            keep = mine[row]
-            row, g = row[keep], g[keep]
-            if not len(g):
-                continue
-            u, back, df = np.unique(g, return_inverse=True, return_counts=True)
-            df = np.minimum(df, HOT - 1)
-            df[np.isin(u, notes)] = HOT
-            df = df[back].astype("<u2")
-            keep = df > 1
-            row, g, df = row[keep], g[keep], df[keep]
-            parts = _grouped(_bucket(handle[row], set_buckets))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), SETS), pa.int32()), pa.array(np.full(len(parts), f), pa.int32()), pa.array([_segments_of(row[at], g[at], handle, size, df[at]) for _, at in parts], pa.binary()), pa.nulls(len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int64()), pa.nulls(len(parts), pa.int64())], ["kind", "bucket", "load", "id", "n", "handle"])
+            row = row.astype(np.int32)
+            part = (g & _U(slices - 1)).astype(np.uint8)
+            for k in range(slices):  # a slice of the fragment at a time, for less memory
+                at = np.flatnonzero((part == k) & mine[row])
+                if not len(at):
+                    continue
+                r, x = row[at], g[at]
+                u, back, df = np.unique(x, return_inverse=True, return_counts=True)
+                df = np.minimum(df, HOT - 1)
+                df[np.isin(u, notes)] = HOT
+                df = df.astype("<u2")[back]
+                del u, back, at
+                keep = df > 1
+                r, x, df = r[keep], x[keep], df[keep]
+                parts = _grouped(_bucket(handle[r], set_buckets))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), SETS), pa.int32()), pa.array(np.full(len(parts), f), pa.int32()), pa.array([_segments_of(r[at], x[at], handle, size, df[at]) for _, at in parts], pa.binary()), pa.nulls(len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int64()), pa.nulls(len(parts), pa.int64())], ["kind", "bucket", "load", "id", "n", "handle"])
+            release()
 
     return run
 
 
 def _gather(num: int, den: int):
-    """One bucket of sets: those that can reach the similarity, with their proposing and all their shared n-grams."""
+    """One bucket of sets after the other: those that can reach the similarity, with the n-grams they offer and all their shared n-grams, by fragment."""
 
     def run(batches):
         release()
-        held: dict[int, list] = {}
-        for b in batches:
-            for load, n in zip(b.column(0), b.column(1).to_pylist()):
-                held.setdefault(n, []).append(load.as_py())
-        for s in list(held):
-            handle, size, row, g, df = _joined(held.pop(s), True)
+        for _, loads in _in_turn(batches):
+            handle, size, row, g, df = _joined(loads, True)
+            loads.clear()
             key, of = np.unique(handle, return_inverse=True)
             size_of = np.zeros(len(key), np.int64)
             size_of[of] = size
@@ -212,12 +243,45 @@ def _gather(num: int, den: int):
             live = np.flatnonzero(shared >= must)
             rank = np.lexsort((g, df, row))
             lead = [g[rank[bounds[i] : bounds[i] + shared[i] - must[i] + 1]] for i in live.tolist()]
-            if len(live):
-                yield pa.RecordBatch.from_arrays([pa.array(key[live].view(np.int64)), pa.array(size_of[live]), pa.array([x.view(np.int64) for x in lead], pa.list_(pa.int64())), pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in live.tolist()], pa.binary())], ["handle", "n", "lead", "grams"])
+            for a in range(0, len(live), 500):
+                part = live[a : a + 500]
+                cuts = [(bounds[i] + np.searchsorted(g[bounds[i] : bounds[i + 1]], _EDGES)).tolist() for i in part.tolist()]
+                grams = [[g[x:y].tobytes() for x, y in zip([bounds[i], *c], [*c, bounds[i + 1]])] for i, c in zip(part.tolist(), cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(size_of[part]), pa.array(shared[part]), pa.array([x.view(np.int64) for x in lead[a : a + 500]], pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.binary()))], ["handle", "n", "shared", "lead", "grams"])
 
     return run
 
 
+#: Where the fragments of proposed pairs end.
+_EDGES = np.array([k * (1 << 64) // PIECES for k in range(1, PIECES)], np.uint64)
+
+
+def _partial(batches):
+    """Overlaps of the pairs of one centre within one fragment: rows (v, salt, piece, role, u, n, grams), the centre's first."""
+    key, centre = None, None
+    for b in batches:
+        keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+        role, u = b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(keys):
+            to = at + 1
+            while to < len(keys) and keys[to] == keys[at]:
+                to += 1
+            if keys[at] != key:
+                key, centre = keys[at], np.frombuffer(b.column(5)[at].as_py(), "<u8")
+                at += 1
+                assert role[at - 1] == 0
+            loads = [x.as_py() for x in b.column(5).slice(at, to - at)]
+            if loads and len(centre):
+                g = np.frombuffer(b"".join(loads), "<u8")
+                hit = np.append(0, np.cumsum(centre[np.minimum(np.searchsorted(centre, g), len(centre) - 1)] == g))
+                ends = np.cumsum([len(x) // 8 for x in loads])
+                both = np.diff(hit[np.append(0, ends)])
+                some = np.flatnonzero(both)
+                yield pa.RecordBatch.from_arrays([pa.array(u[at:to][some]), pa.array(np.full(len(some), key[0])), pa.array(both[some])], ["u", "v", "both"])
+            at = to
+
+
 def overlaps(sets: list[np.ndarray], fragment: int = 4096) -> np.ndarray:
     """Sizes of all intersections: partial counts for each fragment of columns, summed."""
     m = len(sets)
@@ -276,30 +340,75 @@ def _verify(num: int, den: int):
     return run
 
 
-def similar_sets(active: DataFrame, num: int, den: int, tile: int = 384) -> DataFrame:
-    """``(node, root)`` of linked sets, from (handle, n, lead, grams)."""
-    spark = active.sparkSession
-    offers = active.select("handle", F.explode("lead").alias("g"))
-    star = offers.groupBy("g").agg(F.min("handle").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    blocks = settle(components(offers.join(star, "g").select(F.col("handle").alias("u"), "v")))
-    sizes = blocks.groupBy(F.col("root").alias("block")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    rows = active.select("handle", "n", "grams").join(blocks, F.col("handle") == F.col("node")).join(sizes, F.col("root") == F.col("block"))
-    own = F.pmod(F.xxhash64("handle"), F.col("tiles")).cast("int")
-    rows = rows.select("block", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "handle", "n", "grams", "tiles")
-    rows = rows.filter("tiles = 1 or own <> other").select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "handle", "n", "grams")
+def _verified(active: DataFrame, pairs: DataFrame, num: int, den: int, each: int = 256) -> DataFrame:
+    """Of the proposed ``pairs`` (u, v) those that reach the similarity."""
+    parts = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("k"))
+    sets = active.select("handle", F.posexplode("grams").alias("piece", "grams"))
+    salt = F.pmod(F.xxhash64("u"), F.col("k")).cast("int").alias("salt")
+    partners = pairs.join(often, "v").select("v", salt, "u").join(sets, F.col("u") == F.col("handle")).select("v", "salt", "piece", F.lit(1).alias("role"), "u", "grams")
+    centres = often.join(sets, F.col("v") == F.col("handle")).select("v", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), "piece", F.lit(0).alias("role"), F.col("v").alias("u"), "grams")
+    rows = centres.union(partners).repartition(parts, "v", "salt", "piece").sortWithinPartitions("v", "salt", "piece", "role")
+    both = rows.mapInArrow(_partial, "u long, v long, both long").groupBy("u", "v").agg(F.sum("both").alias("both"))
+    size = active.select("handle", "n")
+    sized = both.join(size.select(F.col("handle").alias("u"), F.col("n").alias("n_u")), "u").join(size.select(F.col("handle").alias("v"), F.col("n").alias("n_v")), "v")
+    return sized.filter(den * F.col("both") >= num * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+
+
+def _within(rows: DataFrame, num: int, den: int, tile: int, tile_grams: int) -> DataFrame:
+    """Links in blocks, from (block, comp, handle, n, grams): of a block's main component with all its other sets, and of those among themselves."""
+    spark = rows.sparkSession
+    comps = rows.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("grams_in"))
+    main = comps.groupBy("block").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    tiles = F.greatest(F.ceil(F.sum("c") / tile), F.ceil(F.sum("grams_in") / tile_grams)).cast("int")
+    sides = comps.join(main, "block").groupBy("block", "main", (F.col("comp") == F.col("main")).alias("is_main")).agg(tiles.alias("t"))
+    counts = sides.groupBy(F.col("block").alias("_b"), "main").agg(F.sum(F.when(F.col("is_main"), F.col("t"))).cast("int").alias("t_main"), F.sum(F.when(~F.col("is_main"), F.col("t"))).cast("int").alias("t_rest"))
+    rows = rows.join(counts, F.col("block") == F.col("_b")).withColumn("is_main", F.col("comp") == F.col("main"))
+    own = F.when(F.col("is_main"), F.col("t_rest") + F.pmod(F.xxhash64("handle"), F.col("t_main"))).otherwise(F.pmod(F.xxhash64("handle"), F.col("t_rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("t_rest") - 1).otherwise(F.col("t_rest") + F.col("t_main") - 1))
+    rows = rows.select("block", own.alias("own"), F.explode(others).alias("other"), "handle", "n", "grams").filter("own <> other")
+    rows = rows.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "handle", "n", "grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b")
-    return components(rows.mapInArrow(_verify(num, den), "u long, v long"))
+    return rows.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(_verify(num, den), "u long, v long")
+
+
+def similar_sets(active: DataFrame, num: int, den: int, tile: int = 384, tile_grams: int = 200_000, few: int = 4) -> DataFrame:
+    """``(node, root)`` of linked sets, from (handle, n, shared, lead, grams)."""
+    offers = active.select("handle", "n", "shared", F.explode("lead").alias("g")).withColumn("x", F.struct((F.col("n") - F.col("shared")).alias("own"), "handle", "n", "shared"))
+    groups = offers.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("v")).filter("c > 1")
+    groups = settle(offers.join(groups, F.col("g") == F.col("_g")).select("g", "c", F.col("x").alias("u"), "v"))
+    star = groups.filter((F.col("c") > few) & (F.col("u.handle") != F.col("v.handle"))).select("u", "v")
+    small = groups.filter(F.col("c") <= few).groupBy("g").agg(F.sort_array(F.collect_list("u")).alias("m"))  # at most ``few``
+    each = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(few)), lambda y: F.struct(y.alias("u"), x.alias("v"))))
+    small = small.select(F.explode(F.flatten(each)).alias("p")).select("p.u", "p.v")
+    sum_n = F.col("u.n") + F.col("v.n")
+    can = ((den + num) * F.least("u.shared", "v.shared") >= num * sum_n) & (den * F.least("u.n", "v.n") >= num * F.greatest("u.n", "v.n"))
+    pairs = settle(star.union(small).filter(can).select(F.col("u.handle").alias("u"), F.col("v.handle").alias("v")).distinct())
+    links = settle(_verified(active, pairs, num, den))
+    root = settle(components(links))
+    # Larger groups that these links do not join.
+    large = groups.filter(F.col("c") > few).select("g", F.col("u.handle").alias("handle"), F.col("v.handle").alias("centre"))
+    large = large.join(root, F.col("handle") == F.col("node"), "left").select("g", "handle", "centre", F.coalesce("root", "handle").alias("comp"))
+    open_ = large.groupBy(F.col("g").alias("_g")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("_g")
+    rest = settle(large.join(open_, F.col("g") == F.col("_g"), "left_semi").select("handle", "centre", "comp").distinct())
+    if rest.isEmpty():
+        return root
+    blocks = components(rest.select(F.col("handle").alias("u"), F.col("centre").alias("v"))).select(F.col("node").alias("_n"), F.col("root").alias("block"))
+    rows = rest.select("handle", "comp").distinct().join(blocks, F.col("handle") == F.col("_n")).select("block", "comp", "handle")
+    whole = active.select(F.col("handle").alias("_h"), "n", F.aggregate("grams", F.lit(b""), lambda a, x: F.concat(a, x)).alias("grams"))
+    more = _within(rows.join(whole, F.col("handle") == F.col("_h")).drop("_h"), num, den, tile, tile_grams)
+    return components(links.union(more))
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", docs_per_fragment: int = 6_000) -> DataFrame:
     """Per row of ``docs``: the id, ``n_shingles``, ``set_hash`` and ``component_id``, the least id that links reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fragments = spread(rows.count(), docs_per_fragment, 6)
+    parts = min(fragments, MOST_PARTS)
     cut = rows.mapInArrow(_cut(words, fragments, fragments), _FLOW)
-    seen = settle(cut.repartition(fragments, "bucket").mapInArrow(_count(fragments), _FLOW))
-    sets = seen.filter(F.col("kind") == SETS).select("load", "n").repartition(fragments, "n")
-    active = settle(sets.mapInArrow(_gather(num, den), "handle long, n long, lead array<long>, grams binary"))
+    seen = settle(cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(fragments), _FLOW))
+    sets = seen.filter(F.col("kind") == SETS).select("load", "n").repartition(parts, "n").sortWithinPartitions("n")
+    active = settle(sets.mapInArrow(_gather(num, den), "handle long, n long, shared long, lead array<long>, grams array<binary>"))
     root = similar_sets(active, num, den)
     of = seen.filter(F.col("kind") == ROWS).select("id", "n", "handle")
     of = of.join(root, F.col("handle") == F.col("node"), "left").withColumn("root", F.coalesce("root", "handle")).drop("node")
