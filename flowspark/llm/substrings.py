@@ -3,17 +3,22 @@
 Seed: of the ``n - k + 1`` grams of ``k`` words in each window of ``n`` words,
 the least hash is its anchor (winnowing), so equal windows have equal anchors,
 and about one word in five is one.  Anchors are dealt out by hash range and
-joined there across documents.  Extend: an anchor carries fingerprints of the
+joined there across documents.  Extend: an anchor carries prints of the
 windows that reach from it to both sides; where they agree with those of a
 smaller id, the repeat goes on, and runs of agreeing windows are the maximal
 repeats of ``n`` words or more.  A last pass joins the runs with their texts.
 
+Windows are equal if both their anchors and their prints, 64 bits each, are; no
+pairs of documents are formed.
+
 Before the shuffle each block of texts keeps, of windows that several of its
 documents share, only those of the smallest id, and marks the others itself; a
-passage in a third of all documents thus costs one entry a block.
-
-Anchors have 64 bits and fingerprints 32 more, of which 64 are compared in a
-hash range; no pairs of documents are formed.
+passage in a third of all documents thus costs one entry a block.  A phrase
+that very many documents continue each in its own way is a hot anchor: its
+windows are dealt out by their prints, too, so that no task gets them all.
+Which anchors are hot is counted on the documents of one in ``every`` id
+hashes; at most ``most_hot`` are.  That decides only where windows meet, never
+which do.
 
 Defined results: a null or empty text has no words; null ids count as larger
 than all others and as equal to each other; equal ids do not remove each
@@ -30,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, spread
+from .common import NULL_ID, settle, spread
 from .words import WS, Words, chunks, mix, release, text_buffer
 
+#: Shuffle partitions at most; beyond it a partition holds several ranges, one after the other.
+MOST_PARTS = 10_000
 _U = np.uint64
 _Q = _U(0xD6E8FEB86659FD93)
 
@@ -75,102 +82,171 @@ def _runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarra
     return start, np.diff(start, append=len(at))
 
 
-def _seeds(buckets: int, n: int, k: int, subs: bool):
+def _range(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def _load(ids, sub, at, size, anchor=None, prints=None) -> bytes:
+    """Columns one after the other; ids and places by halves, of which the upper ones mostly are zeros and compress."""
+    ids, at = ids.astype("<i8").view("<u4").reshape(-1, 2), at.astype("<u4").view("<u2").reshape(-1, 2)
+    cols = [ids[:, 0], ids[:, 1], sub, at[:, 0], at[:, 1], size.astype("<u4" if anchor is None else "<u2")]
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in (*cols, *(() if anchor is None else (anchor, prints))))
+
+
+def _unload(raw: bytes, n: int, wide: bool):
+    """Ids, subs, starts and sizes of ``n`` runs, and without ``wide`` their anchors and the prints of their windows."""
+    at = 0
+
+    def take(kind, m):
+        nonlocal at
+        got = np.frombuffer(raw, kind, m, at)
+        at += got.nbytes
+        return got
+
+    low, high = take("<u4", n), take("<u4", n)
+    sub = take("<u4", n)
+    ids = (low.astype(np.uint64) | high.astype(np.uint64) << _U(32)).view(np.int64)
+    start = take("<u2", n).astype(np.int64)
+    start |= take("<u2", n).astype(np.int64) << 16
+    size = take("<u4" if wide else "<u2", n).astype(np.int64)
+    return (ids, sub, start, size) if wide else (ids, sub, start, size, take("<u8", n), take("<u8", int(size.sum())))
+
+
+def _marked(w: Words, ids: np.ndarray, n: int, k: int):
+    """Windows of a block (row, first word, anchor's place, anchor, print), and which of them a smaller id of the block has."""
+    first, place, anchor, h = windows(w, n, k)
+    row = w.doc_of()[first]
+    order = np.argsort(h, kind="stable")
+    hs, ds = h[order], ids[row[order]]
+    group = np.flatnonzero(np.append(True, hs[1:] != hs[:-1])) if len(h) else np.zeros(0, np.int64)
+    least = np.repeat(np.minimum.reduceat(ds, group), np.diff(group, append=len(hs))) if len(h) else ds
+    repeat = np.zeros(len(h), bool)
+    repeat[order] = ds > least
+    return row, first, place, anchor, h, repeat
+
+
+def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
     def run(batches):
-        for b in chunks(batches, limit=4 << 20):
+        for b in chunks(batches):
             buf, offs = text_buffer(b.column(1))
             w = Words(buf, offs)
-            first, place, anchor, h = windows(w, n, k)
+            ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            row, first, place, anchor, h, repeat = _marked(w, ids, n, k)
             if not len(first):
                 continue
-            ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            row = w.doc_of()[first]
             sub = np.fromiter((zlib.crc32(buf[x:y]) for x, y in zip(offs[:-1], offs[1:])), np.uint32, len(ids)) if subs else np.zeros(len(ids), np.uint32)
             # Of windows with one hash, those of the smallest id go out; the rest are known to be repeats.
-            order = np.argsort(h, kind="stable")
-            hs, ds = h[order], ids[row[order]]
-            group = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-            least = np.repeat(np.minimum.reduceat(ds, group), np.diff(group, append=len(hs)))
-            repeat = np.zeros(len(h), bool)
-            repeat[order] = ds > least
             out = []
             start, size = _runs(row[repeat], first[repeat])
             r, f = row[repeat][start], first[repeat][start]
             if len(start):
-                out.append((int(h[0] % _U(buckets)), 1, b"".join(x.tobytes() for x in (ids[r], sub[r], (f - w.lo[r]).astype("<u4"), size.astype("<u4"))), len(start)))
+                out.append((int(h[0] % _U(buckets)), 1, _load(ids[r], sub[r], f - w.lo[r], size), len(start)))
             keep = ~repeat
             row, first, place, anchor, h = row[keep], first[keep], place[keep], anchor[keep], h[keep]
-            start, size = _runs(row, first, place)
-            bucket = ((anchor[start] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            spread_out = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(anchor), bool)
+            start, size = _runs(row, first, place, np.where(spread_out, np.arange(len(place)), -1))
+            bucket = _range(np.where(spread_out[start], mix(anchor[start] ^ h[start]), anchor[start]), buckets)
             order = np.argsort(bucket, kind="stable")
             start, size, bucket = start[order], size[order], bucket[order]
             total = np.cumsum(size) - size
-            print32 = (h >> _U(32)).astype("<u4")[np.repeat(start - total, size) + np.arange(int(size.sum()))]
+            prints = h[np.repeat(start - total, size) + np.arange(int(size.sum()))]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            ends = np.append(total, len(print32))
+            ends = np.append(total, len(prints))
             for x, y in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
                 s = start[x:y]
                 r = row[s]
-                out.append((int(bucket[x]), 0, b"".join(v.tobytes() for v in (ids[r], sub[r], (first[s] - w.lo[r]).astype("<u4"), size[x:y].astype("<u4"), anchor[s], print32[ends[x] : ends[y]])), y - x))
+                out.append((int(bucket[x]), 0, _load(ids[r], sub[r], first[s] - w.lo[r], size[x:y], anchor[s], prints[ends[x] : ends[y]]), y - x))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "n", "load"])
 
     return run
 
 
-def _unpack(load: bytes, n: int):
-    ids, sub, start, size = np.frombuffer(load, "<i8", n), np.frombuffer(load, "<u4", n, 8 * n), np.frombuffer(load, "<u4", n, 12 * n), np.frombuffer(load, "<u4", n, 16 * n)
-    return ids, sub, start.astype(np.int64), size.astype(np.int64)
-
-
 def _spans(ids, sub, start, size) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(sub.astype(np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "sub", "start", "size"])
 
 
+def _grouped(anchor: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which windows with equal anchors and prints stand together, and where each such group begins."""
+    key = mix(anchor ^ (prints * _Q))
+    order = np.argsort(key)
+    a, p = anchor[order], prints[order]
+    other = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
+    if (other & (key[order[1:]] == key[order[:-1]])).any():  # two groups with one key
+        order = np.lexsort((prints, anchor))
+        a, p = anchor[order], prints[order]
+        other = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
+    return order, np.flatnonzero(np.append(True, other))
+
+
+def _joined(held: list) -> pa.RecordBatch | None:
+    """Of the windows of one hash range, runs of those that an id smaller than their own has."""
+    ids, sub, start, size, anchor, prints = (np.concatenate(x) for x in zip(*(_unload(load, n, False) for n, load in held)))
+    held.clear()
+    run = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+    order, group = _grouped(anchor[run], prints)
+    doc = ids[run[order]]
+    least = np.repeat(np.minimum.reduceat(doc, group), np.diff(group, append=len(doc)))
+    hit = np.sort(order[doc > least])
+    if not len(hit):
+        return None
+    r = run[hit]
+    at = start[r] + hit - (np.cumsum(size) - size)[r]
+    first, n = _runs(r, at)
+    return _spans(ids[r[first]], sub[r[first]], at[first], n)
+
+
 def _extend(batches):
-    """Per hash range: which windows an id smaller than their own has."""
+    """Hash range after hash range: which windows an id smaller than their own has."""
     release()
-    held: dict[int, list] = {}
+    held: list = []
+    now = None
     for b in batches:
-        for bucket, kind, n, load in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, kind, n, load in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
             if kind:
-                yield _spans(*_unpack(load, n))
-            else:
-                held.setdefault(bucket, []).append((n, load))
-    for bucket in list(held):
-        parts = []
-        for n, load in held.pop(bucket):
-            head = _unpack(load, n)
-            parts.append((*head, np.frombuffer(load, "<u8", n, 20 * n), np.frombuffer(load, "<u4", int(head[3].sum()), 28 * n)))
-        ids, sub, start, size, anchor, print32 = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        run = np.repeat(np.arange(len(ids)), size)
-        key = mix(anchor[run] ^ (print32.astype(np.uint64) * _Q))
-        order = np.argsort(key)
-        doc = ids[run[order]]
-        group = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc, group), np.diff(group, append=len(key)))
-        hit = np.sort(order[doc > least])
-        if len(hit):
-            r = run[hit]
-            at = start[r] + hit - (np.cumsum(size) - size)[r]
-            first, n = _runs(r, at)
-            yield _spans(ids[r[first]], sub[r[first]], at[first], n)
-
-
-def repeats(docs: DataFrame, n: int = 13, k: int = 5, docs_per_bucket: int = 1_000) -> DataFrame:
+                yield _spans(*_unload(load.as_py(), n, True))
+                continue
+            if bucket != now and held and (got := _joined(held)) is not None:
+                yield got
+            now = bucket
+            held.append((n, load.as_py()))
+    if held and (got := _joined(held)) is not None:
+        yield got
+
+
+def hot_anchors(docs: DataFrame, n: int, k: int, every: int = 64, least: int = 16, most_hot: int = 100_000) -> np.ndarray:
+    """Anchors with at least ``least`` runs, and the ``most_hot``-th part of all runs, in the documents of one in ``every`` id hashes; ascending."""
+
+    def count(batches):
+        for b in chunks(batches):
+            w = Words(*text_buffer(b.column(1)))
+            row, first, place, anchor, _, repeat = _marked(w, b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), n, k)
+            keep = ~repeat
+            start, _ = _runs(row[keep], first[keep], place[keep])
+            a, c = np.unique(anchor[keep][start], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c)], ["anchor", "n"])
+
+    rows = docs.select("id", "text").filter(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(every)) == 0)
+    seen = settle(rows.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = seen.filter((F.col("n") >= least) & (F.col("n") * most_hot >= total)).select("anchor").collect()  # at most ``most_hot`` rows
+    return np.sort(np.array([r.anchor for r in hot], np.int64).view(np.uint64))
+
+
+def repeats(docs: DataFrame, n: int = 13, k: int = 5, docs_per_bucket: int = 1_000, hot_every: int = 64) -> DataFrame:
     """Runs (id, sub, start, size) of windows, by their first words, that a smaller id has, too; ``docs`` has id (long), text and sub."""
     count, names = docs.count(), docs.filter("id is not null").select("id").distinct().count()
     buckets = spread(count, docs_per_bucket, 8)
-    seeds = docs.select("id", "text").mapInArrow(_seeds(buckets, n, k, names < count), "bucket int, kind int, n int, load binary")
-    return seeds.repartition(spread(buckets, 2, 4), "bucket").mapInArrow(_extend, "id long, sub long, start int, size int")
+    seeds = docs.select("id", "text").mapInArrow(_seeds(buckets, n, k, names < count, hot_anchors(docs, n, k, hot_every)), "bucket int, kind int, n int, load binary")
+    seeds = seeds.repartition(min(spread(buckets, 2, 4), MOST_PARTS), "bucket").sortWithinPartitions("bucket")
+    return seeds.mapInArrow(_extend, "id long, sub long, start int, size int")
 
 
-def substring_dedup(docs: DataFrame, n: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = 1_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = 1_000, hot_every: int = 64) -> DataFrame:
     """Id, ``n_words``, ``n_removed`` and the ``text`` of the words that are kept, joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     unique = rows.count() == rows.filter("id is not null").select("id").distinct().count()
     rows = rows.withColumn("sub", F.lit(0).cast("long") if unique else F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    found = repeats(rows, n, k, docs_per_bucket).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    found = repeats(rows, n, k, docs_per_bucket, hot_every).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     found = found.select(F.col("id").alias("_i"), F.col("sub").alias("_s"), "runs").hint("shuffle_hash")
     same = F.col("id").eqNullSafe(F.col("_i")) if not unique else F.col("id") == F.col("_i")
     both = rows.join(found, same & (F.col("sub") == F.col("_s")), "left").select("id", "text", "runs.start", "runs.size")

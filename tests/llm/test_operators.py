@@ -107,6 +107,33 @@ def test_substrings(spark, odd, odd_rows, empty, unique):
     assert substring_dedup(empty).count() == 0
 
 
+def test_a_phrase_in_every_document_is_no_repeat(spark):
+    """60,000 documents share five words only; all windows over them differ."""
+    from pyspark.sql import functions as F
+
+    from flowspark.llm.substrings import substring_dedup
+
+    own = lambda a, b: F.array_join(F.transform(F.sequence(F.lit(a), F.lit(b)), lambda k: F.concat(F.lit("u"), "doc_id", F.lit("-"), k)), " ")
+    df = spark.range(60_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", own(1, 9), F.lit("the same five words here"), own(10, 18)))
+    got = substring_dedup(df).agg(F.sum("n_words"), F.sum("n_removed")).first()
+    assert tuple(got) == (60_000 * 23, 0)
+
+
+def test_hot_anchors_change_nothing(spark):
+    from flowspark.llm import substrings
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        tail = [f"t{rng.randint(0, 20)}"] * 9  # some tails are shared, so some windows are repeats
+        rows.append((i, " ".join([f"u{i}-{k}" for k in range(9)] + "the same five words here".split() + tail), "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = df.selectExpr("doc_id as id", "text")
+    assert len(substrings.hot_anchors(ids, 13, 5, every=1)) and not len(substrings.hot_anchors(ids, 13, 5, every=1, least=10**6))
+    got = substrings.substring_dedup(df, docs_per_bucket=20, hot_every=1).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 13)) and sum(r.n_removed for r in got) > 0
+
+
 # -- 3 ----------------------------------------------------------------------
 
 
@@ -289,7 +316,7 @@ def test_jaccard(spark, odd, odd_rows, empty, tile, monkeypatch):
     from flowspark.llm import jaccard
 
     whole = jaccard.similar_sets
-    monkeypatch.setattr(jaccard, "similar_sets", lambda active, num, den: whole(active, num, den, tile))
+    monkeypatch.setattr(jaccard, "similar_sets", lambda active, num, den: whole(active, num, den, tile, few=4 if tile > 3 else 1))
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd, docs_per_fragment=20).collect())
     assert got == Counter(brute_components(odd_rows))
     if tile == 384:
@@ -314,6 +341,30 @@ def test_jaccard_with_hot_grams(spark):
     assert got == Counter(brute_components(rows))
 
 
+@pytest.mark.parametrize("few", [4, 1])
+def test_jaccard_of_chains_and_families(spark, few, monkeypatch):
+    """Texts that share half with the next one; families with a centre and without; texts that share a frame only."""
+    from flowspark.llm import jaccard
+
+    rng = random.Random(18)
+    rows = [(k, " ".join(f"c{j}" for j in range(20 * k, 20 * k + 40)), "") for k in range(120)]
+    for f in range(4):
+        base = [f"f{f}-{j}" for j in range(120)]
+        rows += [(1000 + 100 * f, " ".join(base), "")] if f % 2 else []
+        for i in range(25):
+            w = list(base)
+            for j in rng.sample(range(120), rng.randint(1, 4)):
+                w[j] = f"x{rng.randint(0, 9)}"
+            rows.append((1001 + 100 * f + i, " ".join(w), ""))
+    frame = [f"m{j}" for j in range(60)]
+    rows += [(5000 + i, " ".join(frame + [f"own{i}-{j}" for j in range(9)]), "") for i in range(40)]
+    whole = jaccard.similar_sets
+    monkeypatch.setattr(jaccard, "similar_sets", lambda active, num, den: whole(active, num, den, 8, few=few))
+    df = spark.createDataFrame(rows, "doc_id long, text string, s string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df, docs_per_fragment=60).collect())
+    assert got == Counter(brute_components(rows))
+
+
 def test_components(spark):
     from flowspark.llm.components import components
 
