@@ -16,6 +16,7 @@ class ConfigErrorKind(Enum):
     BYTES_REQUIRE_BYTE_SIZE = "a limit of bytes needs batch_bytes"
     DEAD_LETTER_SINK_MISSING = "dead letters need a sink"
     LIMIT_TOO_LARGE = "a limit is too large"
+    SHARED_DIR_MISSING = "a cluster needs spark.checkpoint.dir, a folder that all executors share"
 
 
 class FlowError(Exception):

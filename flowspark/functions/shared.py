@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ConfigError, ConfigErrorKind
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (one machine, tests), a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder, but only on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ConfigError(ConfigErrorKind.SHARED_DIR_MISSING)
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowspark-"))
         base = sc._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")

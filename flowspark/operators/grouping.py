@@ -1,25 +1,31 @@
 """Order numbers, batches and windows as columns.
 
 A group is a set of id columns next to each row: items are put into arrays
-only when asked for.  Numbers along the whole order come from range partitions
-and a prefix over their counts, so no task sees all rows; grids, sessions and
-item caps are window functions within keys.  What is sequential by nature
-(limits of bytes and age, evicting the least recent key) runs over the narrow
-columns it needs, in order, in one task.
+only when asked for.  Whatever runs along the whole order (numbers, running
+maxima, the keys in use) is worked out in range partitions, with a prefix over
+what each of them leaves behind; grids are arithmetic; sessions and item caps
+look at sums by group first, so that rows are only sorted where a cap is hit.
+Batches with limits of bytes or age depend on every batch before; they run
+over narrow columns, in order, in one task.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import StageError
 from ..functions.shared import settled
 from ..policies import BatchPolicy, WindowSpec, micros
 
 _IN_PART = (1 << 33) - 1
+#: Microseconds of the last instant that timestamps hold, and a span longer than any.
+_LAST_INSTANT, _EVER = 253_402_300_799_999_999, 1 << 62
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -36,6 +42,10 @@ def _before(parts: DataFrame, name: str, value: Column, zero) -> DataFrame:
     return F.broadcast(parts.withColumn(name, F.coalesce(value.over(past), zero)).select("_p", name))  # one row for each partition
 
 
+def _upto(*by: str):
+    return Window.partitionBy("_part", *by).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """``df`` with ``name``: the place of each row, from 0, along ``order``."""
     rows = _ranged(df, order)
@@ -49,8 +59,7 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     rows = _ranged(df, order)
     parts = rows.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_s"))
     base = _before(parts, "_base", F.sum("_s"), F.lit(0))
-    here = F.sum(value).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + here).drop("_part", "_place", "_p", "_base")
+    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.sum(value).over(_upto())).drop("_part", "_place", "_p", "_base")
 
 
 def clamped(df: DataFrame, order: list[str], clock: str, name: str = "at") -> DataFrame:
@@ -58,155 +67,246 @@ def clamped(df: DataFrame, order: list[str], clock: str, name: str = "at") -> Da
     rows = _ranged(df, order)
     parts = rows.groupBy(F.col("_part").alias("_p")).agg(F.max(clock).alias("_m"))
     base = _before(parts, "_base", F.max("_m"), F.lit(None))
-    here = F.max(clock).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.greatest(here, "_base")).drop("_part", "_place", "_p", "_base")
-
-
-def sequential(df: DataFrame, columns: list[str], order: list[str], fn, schema: str) -> DataFrame:
-    """Run ``fn`` (an iterator of tuples to an iterator of tuples) over rows in order, in one task."""
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.greatest(F.max(clock).over(_upto()), "_base")).drop("_part", "_place", "_p", "_base")
 
-    def run(batches):
-        def rows():
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
 
-        held = []
-        for row in fn(rows()):
-            held.append(row)
-            if len(held) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], out)
-                held = []
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], out)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-    return df.select(*columns).repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
+def steady(df: DataFrame, order: list[str], clock: str) -> bool:
+    """Whether ``clock`` is never null and never runs back along ``order``; reads those columns only."""
+    if order[0] == clock:
+        return True
+    rows = _ranged(df.select(*order, F.col(clock).alias("_c")), order)
+    back = F.col("_c") < F.lag("_c").over(Window.partitionBy("_part").orderBy("_place"))
+    rows = rows.withColumn("_back", F.coalesce(back, F.lit(False)) | F.col("_c").isNull())
+    parts = rows.groupBy("_part").agg(F.max("_back").alias("back"), F.min("_c").alias("lo"), F.max("_c").alias("hi"))
+    seen = sorted(parts.collect(), key=lambda r: r["_part"])  # a row for each range
+    return not any(r["back"] for r in seen) and all(a["hi"] <= b["lo"] for a, b in zip(seen, seen[1:]))
 
 
 def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Column | None = None, clock: str | None = None) -> DataFrame:
     """``df`` with ``batch_id``, from 0.
 
     Items alone: arithmetic on the row number.  Else a narrow table of places,
-    bytes and times goes through one task in order.
+    bytes and times goes through one task in order, a jump for each batch.
     """
     rows = numbered(df, order, "_no")
     if policy.bytes_limit is None and policy.age_limit is None:
         return rows.withColumn("batch_id", F.floor(F.col("_no") / policy.items_limit).cast("long")).drop("_no")
     most, most_bytes = policy.items_limit, policy.bytes_limit
-    most_age = None if policy.age_limit is None else micros(policy.age_limit)
-    thin = rows.select(F.col("_no"), (size if size is not None else F.lit(0)).cast("long").alias("_size"), (F.unix_micros(F.col(clock).cast("timestamp")) if most_age is not None else F.lit(0)).cast("long").alias("_us"))
-
-    def assign(items):
+    most_age = None if policy.age_limit is None else min(micros(policy.age_limit), _EVER)
+    us = F.unix_micros(F.col(clock).cast("timestamp")) if most_age is not None else F.lit(0)
+    thin = rows.select(F.col("_no"), F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long").alias("_size"), F.coalesce(us, F.lit(0)).cast("long").alias("_us"))
+
+    def old(us: np.ndarray, at: int, stop: int, opened: int) -> int:
+        """The first of ``at`` to ``stop`` that is too old, or ``stop``."""
+        step = 64
+        while at < stop:
+            hit = np.flatnonzero(us[at : min(at + step, stop)] - opened >= most_age)
+            if len(hit):
+                return at + int(hit[0])
+            at, step = at + step, 2 * step
+        return stop
+
+    def assign(batches):
         batch = n = total = opened = 0
-        for no, size, us in items:
-            if not n:
-                opened = us
-            n, total = n + 1, total + (size or 0)
-            yield no, batch
-            if most is not None and n >= most or most_bytes is not None and total >= most_bytes or most_age is not None and us - opened >= most_age:
-                batch, n, total = batch + 1, 0, 0
-
-    ids = sequential(thin, ["_no", "_size", "_us"], ["_no"], assign, "_of long, batch_id long")
+        for b in batches:
+            size, us = b.column(1).to_numpy(), b.column(2).to_numpy()
+            m, at = len(size), 0
+            upto, out = np.append(0, np.cumsum(size)), np.empty(len(size), np.int64)
+            while at < m:
+                opened = opened if n else int(us[at])
+                last = m  # the item that closes the batch
+                if most is not None:
+                    last = min(last, at + most - n - 1)
+                if most_bytes is not None:
+                    last = min(last, max(at, int(np.searchsorted(upto, upto[at] + most_bytes - total)) - 1))
+                if most_age is not None:
+                    last = old(us, at, last, opened)
+                out[at : last + 1] = batch
+                if last < m:
+                    batch, n, total = batch + 1, 0, 0
+                else:
+                    n, total = n + m - at, total + int(upto[m] - upto[at])
+                at = last + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["_of", "batch_id"])
+
+    ids = thin.repartition(1).sortWithinPartitions("_no").mapInArrow(assign, "_of long, batch_id long")
     return rows.join(ids, F.col("_no") == F.col("_of")).drop("_no", "_of")
 
 
-def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, name: str) -> DataFrame:
-    """``name`` counts up each time a key comes back after it was the least recent of more than ``most`` keys."""
-    rows = numbered(df, order, "_no")
-
-    def assign(items):
-        recent: OrderedDict = OrderedDict()
-        chunk: dict = {}
-        for no, *key in items:
-            k = tuple(key)
-            if k in recent:
-                recent.move_to_end(k)
-            else:
-                if len(recent) >= most:
-                    recent.popitem(last=False)
-                chunk[k] = chunk.get(k, -1) + 1
-                recent[k] = None
-            yield no, chunk[k]
-
-    ids = sequential(rows, ["_no", *keys], ["_no"], assign, f"_of long, {name} long")
-    return rows.join(ids, F.col("_no") == F.col("_of")).drop("_no", "_of")
+def _most_recent(lists: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Per ``_part`` the ``most`` keys that were last seen, with ``_seen`` (range, place) and their rank."""
+    one = lists.groupBy("_part", *keys).agg(F.max("_seen").alias("_seen"))
+    return one.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_seen")))).filter(F.col("_rank") <= most)
 
 
-def with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec, keys: list[str] = (), monotone: bool = False) -> DataFrame:
-    """A row for each item and window, with ``window_start``, ``window_end``, ``session`` (sessions only), ``lru`` and ``chunk``.
+def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, name: str) -> DataFrame:
+    """``name`` counts up each time a key comes back after it was the least recent of more than ``most`` keys.
 
-    ``monotone``: the clock is known never to run back, so it needs no clamping.
+    Each range partition replays its own rows, beginning with the ``most`` keys
+    last seen before it.  Those come from a scan over the ranges' own lists, in
+    steps that double, as long as lists are not full.
+    """
+    rows = _ranged(df, order)
+    n = (rows.agg(F.max("_part")).first()[0] or 0) + 1
+    own = rows.select("_part", *keys, F.struct(F.col("_part").alias("p"), F.col("_place").alias("i")).alias("_seen"))
+    recent, step = settled(_most_recent(own, keys, most)), 1
+    while step < n:
+        held = {r["_part"]: r["n"] for r in recent.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+        if all(held.get(p, 0) >= most for p in range(step, n)):
+            break
+        earlier = recent.withColumn("_part", F.col("_part") + step).filter(F.col("_part") < n)
+        recent, step = settled(_most_recent(recent.unionByName(earlier), keys, most)), 2 * step
+    before = recent.select((F.col("_part") + 1).alias("_part"), (-F.col("_rank")).cast("long").alias("_place"), *keys).filter(F.col("_part") < n)
+    both = before.unionByName(rows.select("_part", "_place", *keys)).repartition(n, "_part").sortWithinPartitions("_part", "_place")
+
+    def replay(batches):
+        used: OrderedDict = OrderedDict()
+        now = None
+        for b in batches:
+            parts, places = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = []
+            for p, i, *key in zip(parts, places, *(c.to_pylist() for c in b.columns[2:])):
+                if p != now:
+                    now, used = p, OrderedDict()
+                k = tuple(key)
+                new = k not in used
+                if not new:
+                    used.move_to_end(k)
+                else:
+                    if len(used) >= most:
+                        used.popitem(last=False)
+                    used[k] = None
+                if i >= 0:
+                    out.append((p, i, int(new)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32()))], ["_p", "_i", "_new"])
+
+    seen = both.mapInArrow(replay, "_p int, _i long, _new int")
+    rows = settled(rows.join(seen, (F.col("_part") == F.col("_p")) & (F.col("_place") == F.col("_i"))).drop("_p", "_i"))
+    sums = rows.groupBy(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.sum("_new").alias("_s"))
+    past = Window.partitionBy(*[f"_k{j}" for j in range(len(keys))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(past), F.lit(0))).drop("_s")
+    on = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]]
+    counted = rows.join(sums, on).withColumn(name, (F.col("_base") + F.sum("_new").over(_upto(*keys)) - 1).cast("long"))
+    return counted.drop("_part", "_place", "_p", "_base", "_new", *[f"_k{j}" for j in range(len(keys))])
+
+
+@dataclass(frozen=True)
+class Windowed:
+    """A row for each item and window; ``by`` names the group, ``bounds`` what only a whole group tells (starts and ends of sessions)."""
+
+    rows: DataFrame
+    by: list[str]
+    bounds: dict[str, Column] = field(default_factory=dict)
+    split: bool = False  # some groups were cut at the cap on items
+
+    def finished(self, out: DataFrame) -> DataFrame:
+        """After aggregation: a part of a session begins when the part before it was full."""
+        if not (self.split and "window_start" in self.bounds):
+            return out
+        past = Window.partitionBy(*[c for c in self.by if c != "chunk"]).orderBy("chunk")
+        return out.withColumn("window_start", F.coalesce(F.lag("window_end").over(past), "window_start"))
+
+
+def with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec, keys: list[str] = (), monotone: bool = False, anchor: int | None = None) -> Windowed:
+    """Windows of ``df``: columns ``at``, ``lru``, ``session``, ``chunk``, and for grids ``window_start`` and ``window_end``.
+
+    ``monotone``: the clock is known never to run back, so it is not looked at.
+    ``anchor``: microseconds of the instant that grids start at, if that is not
+    the first row's.
     """
     keys, policy = list(keys), spec.policy
-    rows = df.withColumn("at", F.col(clock)) if monotone else clamped(df, order, clock)
-    rows = _lru_chunks(rows, order, keys, spec.keys_limit, "lru") if keys and spec.keys_limit is not None and _may_evict(rows, keys, spec.keys_limit) else rows.withColumn("lru", F.lit(0).cast("long"))
+    rows = df.withColumn("at", F.col(clock)) if monotone or steady(df, order, clock) else clamped(df, order, clock)
+    evicts = bool(keys) and spec.keys_limit is not None and _may_evict(df, keys, spec.keys_limit)
+    rows = _lru_chunks(rows, order, keys, spec.keys_limit, "lru") if evicts else rows.withColumn("lru", F.lit(0).cast("long"))
     us = F.unix_micros(F.col("at").cast("timestamp"))
     kind = df.schema[clock].dataType
+    bounds: dict[str, Column] = {}
 
     def instant(col: Column) -> Column:
         return F.timestamp_micros(col).cast(kind)
 
-    group = [*keys, "lru", "window_start"]
     if policy.kind == "session":
-        rows = _keyed_sessions(rows, order, keys, us, micros(policy.size)) if keys else _sessions(rows, order, us, micros(policy.size))
-        group = [*keys, "lru", "session"]
+        rows = _sessions(rows, [*keys, "lru"] if keys else [], us, min(micros(policy.size), _EVER))
+        by, bounds = [*keys, "lru", "session"], {"window_start": F.min("at"), "window_end": F.max("at")}
     else:
-        anchor = F.broadcast(rows.agg(F.min_by(us, F.struct(*order)).alias("_anchor")))  # one row
-        rows = rows.join(anchor).withColumn("session", F.lit(0).cast("long"))
-        step = micros(policy.step or policy.size)
-        size = micros(policy.size)
-        past = us - F.col("_anchor")
-        last = ((past - F.pmod(past, F.lit(step))) / step).cast("long")
-        rows = rows.withColumn("_k", F.explode(F.sequence(last - (size - 1) // step, last))) if step < size else rows.withColumn("_k", last)
-        start = F.col("_anchor") + F.col("_k") * step
-        rows = rows.withColumn("_start", start).filter(us - F.col("_start") < size)
-        rows = rows.withColumn("window_start", instant(F.col("_start"))).withColumn("window_end", instant(F.col("_start") + size)).drop("_k", "_start", "_anchor")
-    inside = Window.partitionBy(*group)
-    if spec.items_limit is None:
-        rows = rows.withColumn("chunk", F.lit(0).cast("long"))
+        if anchor is None:
+            anchor = df.agg(F.min_by(F.unix_micros(F.col(clock).cast("timestamp")), F.struct(*order))).first()[0] or 0
+        by, step, size = [*keys, "lru", "session", "window_start", "window_end"], micros(policy.step or policy.size), micros(policy.size)
+        rows = rows.withColumn("session", F.lit(0).cast("long"))
+        if anchor + size > _LAST_INSTANT and policy.kind == "tumbling":  # never closes by time: one window, up to the last instant
+            end = rows.agg(F.max(us)).first()[0] or anchor
+            rows = rows.withColumns({"window_start": instant(F.lit(anchor)), "window_end": instant(F.lit(end))})
+        else:
+            past = us - F.lit(anchor)
+            last = ((past - F.pmod(past, F.lit(step))) / step).cast("long")
+            rows = rows.withColumn("_k", F.explode(F.sequence(last - (size - 1) // step, last)) if step < size else last)
+            rows = rows.withColumn("_start", F.lit(anchor) + F.col("_k") * step).filter(us - F.col("_start") < size)
+            rows = rows.withColumns({"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + size)}).drop("_k", "_start")
+    rows, split = _capped(rows, by, order, spec.items_limit, df)
+    if split and evicts and policy.kind == "sliding":
+        raise StageError("window", "sliding windows where both caps, on items and on keys, are hit")
+    return Windowed(rows, [*by, "chunk"], bounds, split)
+
+
+def _capped(rows: DataFrame, by: list[str], order: list[str], most: int | None, items: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with ``chunk``; only groups of more than ``most`` rows are numbered, in range partitions."""
+    whole = rows.withColumn("chunk", F.lit(0).cast("long"))
+    if most is None or items.count() <= most:  # no item is in a group twice
+        return whole, False
+    named = [f"_g{k}" for k in range(len(by))]
+    large = rows.groupBy(*[F.col(c).alias(g) for c, g in zip(by, named)]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
+    large = settled(large)
+    if large.isEmpty():
+        return whole, False
+    on = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, named)]
+    here = _ranged(rows.join(large, on, "left_semi"), [*by, *order])
+    counts = here.groupBy(F.col("_part").alias("_p"), *[F.col(c).alias(g) for c, g in zip(by, named)]).agg(F.count(F.lit(1)).alias("_n"))
+    past = Window.partitionBy(*named).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(past), F.lit(0))).drop("_n")
+    here = here.join(counts, [F.col("_part") == F.col("_p"), *on])
+    here = here.withColumn("chunk", F.floor((F.col("_base") + F.count(F.lit(1)).over(_upto(*by)) - 1) / most).cast("long")).drop("_part", "_place", "_p", "_base", *named)
+    return whole.join(large, on, "left_anti").unionByName(here), True
+
+
+def _sessions(rows: DataFrame, by: list[str], us: Column, idle: int) -> DataFrame:
+    """``rows`` with ``session``.
+
+    Instants less than ``idle`` apart are of one session, so each stretch of
+    that length is; the table of stretches, summed before it is sorted, tells
+    where sessions begin.
+    """
+    rows = rows.withColumn("_us", us)
+    rows = rows.withColumn("_k", ((F.col("_us") - F.pmod("_us", F.lit(idle))) / idle).cast("long"))
+    named = [f"_t{k}" for k in range(len(by))]
+    spans = rows.groupBy(*[F.col(c).alias(t) for c, t in zip(by, named)], F.col("_k").alias("_tk")).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    if by:
+        past = Window.partitionBy(*named).orderBy("_tk")
+        spans = spans.withColumn("_new", F.when(F.col("_lo") - F.lag("_hi").over(past) > idle, 1).otherwise(0))
+        spans = spans.withColumn("session", F.sum("_new").over(past.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     else:
-        rows = rows.withColumn("chunk", F.floor((F.row_number().over(inside.orderBy(*order)) - 1) / spec.items_limit).cast("long"))
-    if policy.kind == "session":
-        part = Window.partitionBy(*group, "chunk")
-        # After a full chunk the next one starts when that one was filled.
-        filled = F.lag("at").over(inside.orderBy(*order))
-        rows = rows.withColumn("_filled", filled)
-        first = F.min(F.struct(*order, F.when(F.col("chunk") > 0, F.col("_filled")).otherwise(F.col("at")).alias("_start"))).over(part)
-        rows = rows.withColumn("window_start", first["_start"]).withColumn("window_end", F.max("at").over(part)).drop("_filled")
-    return rows
-
-
-def _keyed_sessions(rows: DataFrame, order: list[str], keys: list[str], us: Column, idle: int) -> DataFrame:
-    mine = Window.partitionBy(*keys, "lru").orderBy(*order)
-    new = F.when(us - F.lag(us).over(mine) > idle, 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(mine.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
-
-
-def _sessions(rows: DataFrame, order: list[str], us: Column, idle: int) -> DataFrame:
-    """Sessions of all rows: gaps within range partitions, and towards the last instant of those before."""
-    rows = _ranged(rows.withColumn("_us", us), order)
-    parts = rows.groupBy(F.col("_part").alias("_p")).agg(F.max("_us").alias("_m"))
-    here = Window.partitionBy("_part").orderBy("_place")
-    rows = rows.join(_before(parts, "_last", F.max("_m"), F.lit(None)), F.col("_part") == F.col("_p")).drop("_p")
-    rows = rows.withColumn("_new", F.when(F.col("_us") - F.coalesce(F.lag("_us").over(here), "_last") > idle, 1).otherwise(0))
-    news = rows.groupBy(F.col("_part").alias("_p")).agg(F.sum("_new").alias("_n"))
-    rows = rows.join(_before(news, "_base", F.sum("_n"), F.lit(0).cast("long")), F.col("_part") == F.col("_p"))
-    session = F.col("_base") + F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("session", session).drop("_us", "_part", "_place", "_last", "_new", "_p", "_base")
+        spans = _ranged(spans, ["_tk"])
+        ends = spans.groupBy(F.col("_part").alias("_p")).agg(F.max("_hi").alias("_m"))
+        spans = spans.join(_before(ends, "_last", F.max("_m"), F.lit(None)), F.col("_part") == F.col("_p")).drop("_p")
+        past = F.lag("_hi").over(Window.partitionBy("_part").orderBy("_place"))
+        spans = settled(spans.withColumn("_new", F.when(F.col("_lo") - F.coalesce(past, "_last") > idle, 1).otherwise(0)))
+        news = spans.groupBy(F.col("_part").alias("_p")).agg(F.sum("_new").alias("_n"))
+        spans = spans.join(_before(news, "_base", F.sum("_n"), F.lit(0).cast("long")), F.col("_part") == F.col("_p"))
+        spans = spans.withColumn("session", (F.col("_base") + F.sum("_new").over(_upto())).cast("long"))
+    on = [*[F.col(c).eqNullSafe(F.col(t)) for c, t in zip(by, named)], F.col("_k").eqNullSafe(F.col("_tk"))]
+    rows = rows.join(spans.select(*named, "_tk", "session"), on).drop("_us", "_k", "_tk", *named)
+    return rows if "lru" in rows.columns else rows.withColumn("lru", F.lit(0).cast("long"))
 
 
 def _may_evict(rows: DataFrame, keys: list[str], most: int) -> bool:
     """Whether there are more keys than the cap; below it nothing is ever evicted."""
-    return len(rows.select(*keys).distinct().limit(most + 1).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()) > 0
+    return rows.select(*keys).distinct().count() > most
 
 
 def group_columns(keys: list[str]) -> list[str]:
     return [*keys, "lru", "session", "window_start", "window_end", "chunk"]
 
 
-def items(df: DataFrame, group: list[str], order: list[str], columns: list[str], name: str = "items") -> DataFrame:
-    """Groups with their items as an array in order, and their number ``n``."""
-    packed = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*columns).alias("item"))))
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.transform(packed, lambda x: x["item"]).alias(name))
+def packed(order: list[str], columns: list[str]) -> Column:
+    """All items of a group as an array in order."""
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*columns).alias("item"))))
+    return F.transform(rows, lambda x: x["item"])

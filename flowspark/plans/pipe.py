@@ -36,7 +36,11 @@ class RunStats:
 
 @dataclass(frozen=True)
 class Event:
-    """``kind``: started, stage_error, retry, dead_lettered, teardown_error or finished."""
+    """``kind``: started, stage_error, retry, dead_lettered, teardown_error or finished.
+
+    ``teardown_error``: closing a sink failed after the run had failed already;
+    the run raises its first error.
+    """
 
     kind: str
     stage: str | None = None
@@ -191,8 +195,9 @@ class Pipe:
         return self._to(both, order=("_src", *self.order), source_df=None if self.source_df is None else both)
 
     def stage(self, stage: Stage, schema: str) -> "Pipe":
-        """A stateful stage over all rows in order: one task, see :mod:`flowspark.operators.stages`."""
-        return self._to(run_stage(self.df, list(self.order), stage, schema), order=("out_no",), clock=None)
+        """A stateful stage over all rows in order: one task, see :mod:`flowspark.operators.stages`.  What it raises falls under the error policy."""
+        rows = run_stage(self.df, list(self.order), stage, schema, self.policy is ErrorPolicy.DEAD_LETTER)
+        return replace(self, order=("out_no",), clock=None)._split("stage", rows)
 
     # -- fallible -----------------------------------------------------------
 
@@ -238,7 +243,7 @@ class Pipe:
                 return ({**{o: row[o] for o in order}, **got, "_tries": tries, "_input": given},)
 
         rows = _by_rows(self, attempt, schema + ", _err string, _type string, _tries int, _input string")
-        return self._split(default, rows.persist())  # one run of ``fn`` for values and failures
+        return self._split(default, rows.persist())  # one run of ``fn`` for values and failures; a run lets go of it
 
     def try_map_retry(self, retry: RetryPolicy, fn: Callable[[dict], dict], schema: str) -> "Pipe":
         return self.try_map_py(fn, schema, retry)
@@ -295,7 +300,8 @@ class Pipe:
         group = grouping.group_columns(keys)
         if pipe.error:
             return Grouped(pipe, pipe.df.withColumns({c: F.lit(0) for c in group if c not in keys}), group)
-        return Grouped(pipe, grouping.with_windows(self.df, list(self.order), clock or self.clock, spec, keys, monotone), group)
+        got = grouping.with_windows(self.df, list(self.order), clock or self.clock, spec, keys, monotone)
+        return Grouped(pipe, got.rows, got.by, got)
 
     window_by_key_with = window_by_key
 
@@ -320,18 +326,18 @@ class Grouped:
     pipe: Pipe
     df: DataFrame
     by: list[str]
+    windowed: grouping.Windowed | None = None
 
     def agg(self, *aggregates: Column) -> Pipe:
+        bounds = self.windowed.bounds if self.windowed else {}
         first = F.min(F.struct(*self.pipe.order)).alias("first_at")
-        return self.pipe._to(self.df.groupBy(*self.by).agg(*aggregates, first), order=("first_at",), clock=None)
+        out = self.df.groupBy(*self.by).agg(*aggregates, *[c.alias(n) for n, c in bounds.items()], first)
+        return self.pipe._to(self.windowed.finished(out) if self.windowed else out, order=("first_at",), clock=None)
 
     def items(self, *columns: str) -> Pipe:
         """An array of structs in order, as ``items``, and ``n``."""
         wanted = list(columns) or [c for c in self.pipe.df.columns if c not in self.pipe.order]
-        out = grouping.items(self.df, self.by, list(self.pipe.order), wanted)
-        first = self.df.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(self.by)]).agg(F.min(F.struct(*self.pipe.order)).alias("first_at"))
-        on = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(self.by)]
-        return self.pipe._to(out.join(first, on).drop(*[f"_g{k}" for k in range(len(self.by))]), order=("first_at",), clock=None)
+        return self.agg(F.count(F.lit(1)).alias("n"), grouping.packed(list(self.pipe.order), wanted).alias("items"))
 
 
 class Pipeline:
@@ -385,18 +391,41 @@ class Pipeline:
         spark, handle = self.pipe.df.sparkSession, self._cancel
         if handle:
             spark.addTag(handle._tag)
+        error: BaseException | None = None
         try:
             if handle and handle.is_cancelled:
                 raise Cancelled()
-            return self._run()
+            self._stats = self._run()
         except BaseException as e:
-            self._failed = True
-            if handle and handle.is_cancelled and not isinstance(e, Cancelled):
-                raise Cancelled(cause=e) from e
-            raise
+            error = Cancelled(cause=e) if handle and handle.is_cancelled and not isinstance(e, Cancelled) else e
+            if error is not e:
+                error.__cause__ = e
         finally:
             if handle:
                 spark.removeTag(handle._tag)
+            for f in self.pipe.fallible:
+                f.rows.unpersist()
+        error = self._torn_down(error)
+        if error is not None:
+            self._failed = True
+            self._tell(Event("finished", error=str(error)))
+            raise error
+        self._done = True
+        self._tell(Event("finished", stats=self._stats))
+        return self._stats
+
+    def _torn_down(self, error: BaseException | None) -> BaseException | None:
+        """Both sinks are closed, whatever happened; the first error stays, later ones become events."""
+        for sink, stage in ((self._sink, "sink"), (self.pipe.dead_sink, "dead_letter")):
+            for end in (sink.flush, sink.close) if sink is not None else ():
+                try:
+                    end()
+                except Exception as e:
+                    if error is None:
+                        error = e if isinstance(e, FlowError) else SinkError(stage, e)
+                    else:
+                        self._tell(Event("teardown_error", stage, 1, str(e)))
+        return error
 
     def _run(self) -> RunStats:
         began = time.monotonic()
@@ -418,9 +447,7 @@ class Pipeline:
             if set(f.order) <= set(out.columns):  # what came before the failure is kept
                 at = F.struct(*[F.col(c) for c in f.order])
                 self._write(self._sink, out.filter(at < F.struct(*[F.lit(first[c]).cast(f.rows.schema[c].dataType) for c in f.order])), pipe.order, "sink")
-            error = StageError(f.stage, first["_err"])
-            self._tell(Event("finished", error=str(error)))
-            raise error
+            raise StageError(f.stage, first["_err"])
         seen = Observation()
         count = self._write(self._sink, out.observe(seen, F.count(F.lit(1)).alias("n")), pipe.order, "sink")
         n = count if count is not None else seen.get["n"]
@@ -430,10 +457,7 @@ class Pipeline:
             self._write(pipe.dead_sink, letters, (), "dead_letter")
             self._tell(Event("dead_lettered", count=dead))
         items_in = pipe.source_df.count() if pipe.source_df is not None else n
-        self._stats = RunStats(items_in, n, errors, dead, retries, timedelta(seconds=time.monotonic() - began))
-        self._done = True
-        self._tell(Event("finished", stats=self._stats))
-        return self._stats
+        return RunStats(items_in, n, errors, dead, retries, timedelta(seconds=time.monotonic() - began))
 
     @staticmethod
     def _write(sink: Sink, df: DataFrame, order: tuple[str, ...], stage: str) -> int | None:
@@ -443,8 +467,6 @@ class Pipeline:
             raise
         except Exception as e:
             raise SinkError(stage, e) from e
-        finally:
-            sink.close()
 
 
 class SyncDriver:

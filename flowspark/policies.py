@@ -17,6 +17,8 @@ MAX_SLIDING_OVERLAP = 1024
 MAX_BUFFER = 1 << 20
 DEFAULT_MAX_LINE = 1 << 20
 LONGEST = (1 << 63) - 1
+#: Microseconds of about a thousand years; grids of longer sliding windows leave the calendar.
+LONGEST_SLIDING = 1 << 55
 
 
 def micros(d: timedelta) -> int:
@@ -110,6 +112,8 @@ class WindowPolicy:
         if self.step is not None:
             if self.step > self.size:
                 raise ConfigError(Kind.SLIDE_EXCEEDS_SIZE, stage)
+            if micros(self.size) > LONGEST_SLIDING:
+                raise ConfigError(Kind.LIMIT_TOO_LARGE, stage)
             if -(-micros(self.size) // micros(self.step)) > MAX_SLIDING_OVERLAP:
                 raise ConfigError(Kind.TOO_MANY_OVERLAPPING_WINDOWS, stage)
 

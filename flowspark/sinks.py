@@ -19,7 +19,7 @@ class Sink:
         pass
 
     def close(self) -> None:
-        self.flush()
+        pass
 
 
 def in_order(df: DataFrame, order: list[str], single: bool = True) -> DataFrame:
@@ -98,6 +98,19 @@ class VecSink(Sink):
         return len(rows)
 
 
+def _both(one: Callable[[], None], two: Callable[[], None]) -> None:
+    """Both are called; of two errors the second is a note to the first."""
+    try:
+        one()
+    except Exception as e:
+        try:
+            two()
+        except Exception as other:
+            e.add_note(f"and then: {other}")
+        raise
+    two()
+
+
 class TeeSink(Sink):
     """Both sinks get all rows, computed once; if the first fails, the second is not written, and both are closed."""
 
@@ -116,11 +129,11 @@ class TeeSink(Sink):
         finally:
             kept.unpersist()
 
+    def flush(self):
+        _both(self.first.flush, self.second.flush)
+
     def close(self):
-        try:
-            self.first.close()
-        finally:
-            self.second.close()
+        _both(self.first.close, self.second.close)
 
 
 class ChannelSink(Sink):

@@ -1,4 +1,4 @@
 from .steps import Step, StepRunner
-from .windows import keyed_windows
+from .windows import StreamWindows, idle_for
 
-__all__ = ["Step", "StepRunner", "keyed_windows"]
+__all__ = ["Step", "StepRunner", "StreamWindows", "idle_for"]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import Cancelled, Closed, StageError
+from .windows import StreamWindows, idle_for
 
 
 class Step(Enum):
@@ -22,7 +23,9 @@ class StepRunner:
 
     Each step is an ``availableNow`` run over one more file with a checkpoint,
     so a runner that is made again with the same checkpoint goes on where the
-    last one ended.  ``finish`` takes what is left and ends.
+    last one ended.  ``finish`` takes what is left, lets the body finish and
+    ends.  A body with ``tick`` and ``finish``, such as ``StreamWindows``, gets
+    those calls; with ``idle``, a step that finds nothing is an idle tick.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema, checkpoint: str, body: Callable[[DataFrame, int], None], format: str = "parquet", idle: timedelta | None = None):
@@ -77,18 +80,29 @@ class StepRunner:
         before = self.rows_in
         self._run(1, 1)
         self.steps += 1
-        return Step.ITEM if self.rows_in > before else Step.IDLE
-
-    def tick(self) -> None:
-        """Let the body see that time has passed: an empty batch."""
+        if self.rows_in > before:
+            return Step.ITEM
+        if self.idle is not None:
+            self.tick()
+        return Step.IDLE
+
+    def tick(self, instant: datetime | None = None) -> None:
+        """Let the body see that time has passed: to ``instant``, or by the idle time."""
         self._open()
-        self.body(self.spark.createDataFrame([], self.schema), -1)
+        if isinstance(self.body, StreamWindows):
+            self.body.tick(instant) if instant is not None else idle_for(self.body, self.idle or timedelta(0))
+        elif hasattr(self.body, "tick"):
+            self.body.tick(instant)
+        else:
+            self.body(self.spark.createDataFrame([], self.schema), -1)
 
     def finish(self) -> int:
         """All that is left; returns the rows read in all."""
         self._open()
         if not self.done:
             self._run(None, None)
+            if hasattr(self.body, "finish"):
+                self.body.finish()
             self.done = True
         return self.rows_in
 

@@ -1,81 +1,143 @@
-"""Keyed windows over a live stream, in arrival order, by ``transformWithState``.
-
-Late rows join the current window, as time is clamped to its running maximum
-for each key; nothing is dropped by a watermark.  With ``idle`` a quiet key's
-open window is closed by a processing-time timer.
+"""Windows over a live stream, micro-batch after micro-batch, as over a table.
+
+The grid starts at the stream's first row and is shared by all keys; time is
+clamped to the running maximum of all rows, so late rows join the current
+window and nothing is dropped by a watermark.  Rows of windows that are still
+open are kept in a table under ``state``, one for each micro-batch, with the
+anchor and the instant reached; a micro-batch that Spark runs again starts from
+the same table as before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..errors import StageError
+from ..operators import grouping
 from ..policies import WindowPolicy, WindowSpec, micros
 
-OUT = "key string, window_start long, window_end long, n long, total double"
-
-
-class _Windows(StatefulProcessor):
-    """State for each key: anchor, last instant, and the open window's start, count and sum; all in microseconds."""
-
-    def __init__(self, kind: str, size: int, most: int | None, idle: int | None):
-        self.kind, self.size, self.most, self.idle = kind, size, most, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "anchor long, last long, start long, n long, total double")
-
-    def _close(self, key, s) -> pd.DataFrame:
-        end = s[1] if self.kind == "session" else s[2] + self.size
-        return pd.DataFrame({"key": [key[0]], "window_start": [s[2]], "window_end": [end], "n": [s[3]], "total": [s[4]]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = list(self.state.get()) if self.state.exists() else None
-        frames = pd.concat(list(rows)).sort_values("seq")
-        for us, value in zip(frames["us"].tolist(), frames["value"].tolist()):
-            if s is None:
-                s = [us, us, us, 0, 0.0]
-            now = max(us, s[1])
-            if s[3] and (now - s[1] > self.size if self.kind == "session" else now >= s[2] + self.size):
-                yield self._close(key, s)
-                s[3], s[4] = 0, 0.0
-            if not s[3]:
-                s[2] = now if self.kind == "session" else s[0] + (now - s[0]) // self.size * self.size
-            s[1], s[3], s[4] = now, s[3] + 1, s[4] + value
-            if self.most and s[3] >= self.most:
-                yield self._close(key, s)
-                s[3], s[4] = 0, 0.0
-        self.state.update(tuple(s))
-        if self.idle:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            s = list(self.state.get())
-            if s[3]:
-                yield self._close(key, s)
-                s[3], s[4] = 0, 0.0
-                self.state.update(tuple(s))
-
-    def close(self) -> None:
-        pass
-
-
-def keyed_windows(stream: DataFrame, spec: WindowPolicy | WindowSpec, idle: timedelta | None = None) -> DataFrame:
-    """Closed windows of a stream with ``key`` (string), ``seq``, ``us`` (microseconds) and ``value`` (double); tumbling or session.
-
-    The session needs the RocksDB state store:
-    ``spark.sql.streaming.stateStore.providerClass``.
+_META = "no long, anchor long, now long"
+_EPOCH = datetime(1970, 1, 1)
+
+
+class StreamWindows:
+    """A body for ``foreachBatch`` or :class:`StepRunner`; ``emit`` gets the windows that each call closes.
+
+    ``aggregates`` are those of a group, as for a pipe's ``agg``.  A window
+    closes when a row or :meth:`tick` brings time to its end, or, for sessions,
+    further than the idle time past its last row; :meth:`finish` closes the
+    rest.  Caps on keys need all rows and are refused once there are more keys.
     """
-    spec = WindowSpec.of(spec)
-    spec.validate("window")
-    if spec.policy.kind == "sliding":
-        raise ValueError("sliding windows run in batches; see operators.grouping")
-    every = None if idle is None else max(1, micros(idle) // 1000)
-    return stream.groupBy("key").transformWithStateInPandas(_Windows(spec.policy.kind, micros(spec.policy.size), spec.items_limit, every), outputStructType=OUT, outputMode="Append", timeMode="None" if idle is None else "ProcessingTime")
+
+    def __init__(self, spark: SparkSession, state: str, schema, order: list[str], clock: str, spec: WindowPolicy | WindowSpec, keys: list[str] = (), aggregates: tuple[Column, ...] = (), emit: Callable[[DataFrame, int], None] = lambda df, no: None):
+        self.spark, self.state, self.order, self.clock, self.keys = spark, state.rstrip("/"), list(order), clock, list(keys)
+        self.spec, self.aggregates, self.emit = WindowSpec.of(spec), aggregates, emit
+        self.spec.validate("window")
+        self.schema = spark.createDataFrame([], schema).schema
+        self.columns = [f.name for f in self.schema.fields]
+
+    # -- state ----------------------------------------------------------------
+
+    def _meta(self, before: int | None = None):
+        """The newest record, or the newest before a micro-batch; None at the start."""
+        rows = self._read("meta", _META)
+        if rows is None:
+            return None
+        rows = rows if before is None else rows.filter(F.col("no") < before)
+        return rows.orderBy(F.desc("no")).first()
+
+    def _read(self, name: str, schema) -> DataFrame | None:
+        """A table under ``state``, or None if it is not there yet."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.state}/{name}")
+
+    def _open_rows(self, meta) -> DataFrame:
+        kept = [*self.schema.fields, type(self.schema.fields[0])("at", self.schema[self.clock].dataType)]
+        empty = self.spark.createDataFrame([], type(self.schema)(kept))
+        return empty if meta is None else self._read(f"rows-{meta['no']}", empty.schema)
+
+    # -- running ---------------------------------------------------------------
+
+    def __call__(self, df: DataFrame, no: int) -> None:
+        meta = self._meta(no)
+        us = F.unix_micros(F.col(self.clock).cast("timestamp"))
+        first = df.agg(F.min_by(us, F.struct(*self.order))).first()[0]
+        if first is None:
+            return
+        rows = grouping.clamped(df.select(*self.columns), self.order, self.clock)
+        if meta is not None:
+            rows = rows.withColumn("at", F.greatest("at", self._instant(F.lit(meta["now"]))))
+        now = rows.agg(F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()[0]
+        self._step(self._open_rows(meta).unionByName(rows.select(*self.columns, "at")), meta, meta["anchor"] if meta is not None else first, now, no)
+
+    def tick(self, instant: datetime) -> None:
+        """Time has come to ``instant`` without rows."""
+        meta = self._meta()
+        if meta is not None and (now := micros(instant - _EPOCH)) > meta["now"]:
+            closed, left = self._parted(self._open_rows(meta), meta["anchor"], meta["now"], now)
+            self.emit(closed, meta["no"])
+            self._keep(left, meta["anchor"], now, meta["no"])
+
+    def finish(self) -> None:
+        """Close what is open."""
+        meta = self._meta()
+        if meta is not None:
+            closed, left = self._parted(self._open_rows(meta), meta["anchor"], meta["now"], None)
+            self.emit(closed, meta["no"])
+            self._keep(left, meta["anchor"], meta["now"], meta["no"])
+
+    def _step(self, rows: DataFrame, meta, anchor: int, now: int, no: int) -> None:
+        closed, left = self._parted(rows, anchor, None if meta is None else meta["now"], now)
+        self._keep(left, anchor, now, no)
+        self.emit(closed, no)
+
+    def _keep(self, rows: DataFrame, anchor: int, now: int, no: int) -> None:
+        rows = grouping.settled(rows)  # it may be read from the table that it replaces
+        rows.write.mode("overwrite").parquet(f"{self.state}/rows-{no}")
+        old = self._read("meta", _META)
+        meta = self.spark.createDataFrame([(no, anchor, now)], _META)
+        if old is not None:
+            meta = meta.union(grouping.settled(old.filter(F.col("no") != no)))
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{self.state}/meta")
+
+    def _instant(self, us: Column) -> Column:
+        return F.timestamp_micros(us).cast(self.schema[self.clock].dataType)
+
+    def _parted(self, rows: DataFrame, anchor: int, before: int | None, now: int | None) -> tuple[DataFrame, DataFrame]:
+        """The windows that close between two instants (all, if ``now`` is None), and the rows of those that stay open."""
+        rows = grouping.settled(rows)
+        policy = self.spec.policy
+        if self.keys and self.spec.keys_limit is not None and grouping._may_evict(rows, self.keys, self.spec.keys_limit):
+            raise StageError("window", "more keys than the cap: evicting needs all rows, so run a pipe over a table")
+        got = grouping.with_windows(rows, self.order, "at", self.spec, self.keys, True, anchor)
+        out = got.finished(got.rows.groupBy(*got.by).agg(*self.aggregates, *[c.alias(n) for n, c in got.bounds.items()]))
+        if now is None and policy.kind == "session":
+            return out, rows.limit(0)
+        us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        if policy.kind == "session":
+            group = [c for c in got.by if c != "chunk"]
+            ends = got.rows.groupBy(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(group)]).agg((F.lit(now) - F.max(us("at")) > micros(policy.size)).alias("_shut"))
+            on = [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(group)]
+            shut = ends.filter("_shut").drop("_shut")
+            return out.join(shut, on, "left_semi"), got.rows.join(shut, on, "left_anti").select(*rows.columns)
+        end = us("window_end")
+        closed = out if now is None else out.filter(end <= now)
+        closed = closed if before is None else closed.filter(end > before)  # the others closed earlier
+        if now is None:
+            return closed, rows.limit(0)
+        step, past = micros(policy.step or policy.size), us("at") - F.lit(anchor)
+        last = F.lit(anchor) + past - F.pmod(past, F.lit(step)) + F.lit(micros(policy.size))  # the end of a row's last window
+        return closed, rows.filter(last > now)
+
+
+def idle_for(windows: StreamWindows, wait: timedelta) -> None:
+    """One idle tick: time goes on by ``wait`` past the last row."""
+    meta = windows._meta()
+    if meta is not None:
+        windows.tick(_EPOCH + timedelta(microseconds=meta["now"]) + wait)
