@@ -127,7 +127,7 @@ def _marked(w: Words, ids: np.ndarray, n: int, k: int):
 
 def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
     def run(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, limit=4 << 20):  # the larger a block, the more of its repeats stay in it
             buf, offs = text_buffer(b.column(1))
             w = Words(buf, offs)
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
@@ -145,7 +145,8 @@ def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
             row, first, place, anchor, h = row[keep], first[keep], place[keep], anchor[keep], h[keep]
             spread_out = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(anchor), bool)
             start, size = _runs(row, first, place, np.where(spread_out, np.arange(len(place)), -1))
-            bucket = _range(np.where(spread_out[start], mix(anchor[start] ^ h[start]), anchor[start]), buckets)
+            # Anchors are least hashes and crowd near 0: hashed again before they are dealt out.
+            bucket = _range(mix(np.where(spread_out[start], anchor[start] ^ h[start], anchor[start]) + _Q), buckets)
             order = np.argsort(bucket, kind="stable")
             start, size, bucket = start[order], size[order], bucket[order]
             total = np.cumsum(size) - size
