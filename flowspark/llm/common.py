@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled, shared_dir  # noqa: F401
+
 #: A word, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id inside numpy arrays; larger than any id in use.
@@ -27,27 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset (tests on one machine), a temporary folder of this
-    machine is set instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowspark-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner real sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df)
 
 
 def crc32_of_id(col) -> "F.Column":

@@ -532,18 +532,20 @@ def test_top_k(spark):
 
     rng = random.Random(12)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], "x", 1) for k in range(160)]
-    rows += [(200 + k, rows[3][1], "x", 1) for k in range(30)] + [(150, [0.5] * 6, "tie", 1), (400, None, "", 1), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], "", 1), (402, [float("nan")] * 6, "", 1), (403, [float("inf")] * 6, "", 1), (None, [1.0] * 6, "", 1), (450, [1.0, 2.0], "", 1), (451, [2.0, 2.0], "", 1), (500, [], "", 1)]
+    rows += [(200 + k, rows[3][1], "x", 1) for k in range(30)] + [(150, [0.5] * 6, "tie", 1), (400, None, "", 1), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], "", 1), (402, [float("nan")] * 6, "", 1), (403, [float("inf")] * 6, "", 1), (None, [1.0] * 6, "", 1), (450, [1.0, 2.0], "", 1), (451, [2.0, 2.0], "", 1), (500, [], "", 1), (501, [], "", 1), (600, [600_000.0, -1.0, 0.5, 0.25, 3.0, 0.0], "", 1), (601, [3e7, 1.0, 0.0, 0.0, 0.0, -7.0], "", 1), (700, [5e5, -5e5, 0.0, 0.0, 1.0, 1.0], "", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int").repartition(3)
-    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = Counter()
-    for i, q in ok:
+    for at, (i, q) in enumerate(ok):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:5]
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for n, (j, v) in enumerate(ok) if n != at and len(v) == len(q))[:5]
             want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
     for block, query_block in ((2048, 512), (7, 2)):
         got = top_k(df, block=block, query_block=query_block)
         assert Counter(tuple(r) for r in got.collect()) == want
     assert top_k(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_k(spark.createDataFrame([(0, [1e14]), (1, [1e14])], "vec_id long, embedding array<double>")).collect()
 
 
 # -- 10 ---------------------------------------------------------------------
