@@ -62,9 +62,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     cum = running_sum(rows, ["source"], "b", ["h", "id", "size"], "size", "cum")
     goal = settle(goal).withColumnRenamed("source", "_src")
     cum = cum.join(F.broadcast(goal) if _few(goal) else goal, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    # Copies that could fit: a copy much later than time 1 never does, as every source is served until then.
     queue = cum.filter("size > 0 and target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     queue = queue.withColumn("v", (F.col("cum") + F.col("copy") * F.col("source_size")) / F.col("target"))
+    # At time v a source has had v * target words, less one document at most; sources at their cap have none
+    # left at time 1.  So the budget is spent by ``latest``, and copies beyond it never fit.
+    largest = rows.groupBy(F.col("source").alias("_largest")).agg(F.max("size").alias("most"))
+    open_ = goal.filter("target < source_size * %d" % repeats).join(largest, F.col("_src").eqNullSafe(F.col("_largest")))
+    latest = open_.agg((1 + F.coalesce(F.sum("most") / F.sum("target"), F.lit(0.0))).alias("latest")).first()[0]
+    queue = queue.filter(F.col("v") <= (latest * (1 + 1e-9)))
     queue = settle(queue.select("id", "h", "size", "copy", "v").withColumn("t", F.floor(F.col("v") * n * 4)))
     run = running_sum(queue, [], "t", ["v", "h", "id", "copy"], "size", "upto")
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
@@ -79,13 +84,17 @@ def _few(goal: DataFrame, most: int = 100_000) -> bool:
     return len(goal.limit(most + 1).select(F.lit(1)).collect()) <= most
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it; rows of size 0 go, and rows alike in id and text come out alike."""
-    plan = settle(mix_sources(docs, id_col=id_col, text_col=text_col, **options).filter("copies > 0"))
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).agg(F.sum("copies").cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    plan = settle(plan)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it, with all its columns; rows of size 0 go.
+
+    Rows alike in id, text and source share what is taken of them evenly.
+    """
+    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col(source_col).alias("_so")).agg(F.sum("copies").cast("int").alias("_n"), F.count(F.lit(1)).cast("int").alias("_rows"))
+    plan = settle(plan.filter("_n > 0"))
     rows = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    if not plan.filter("_rows > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col, "_key"])
-    both = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")))
+    both = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")) & F.col(source_col).eqNullSafe(F.col("_so")))
+    if not plan.filter("_rows > 1").isEmpty():  # a sort less where there are none
+        place = F.row_number().over(Window.partitionBy("_id", "_th", "_so").orderBy(*[c for c in docs.columns if c not in (id_col, text_col, source_col)] or ["_id"]))
+        both = both.withColumn("_place", place).withColumn("_n", F.floor(F.col("_n") / F.col("_rows")).cast("int") + (F.col("_place") <= F.col("_n") % F.col("_rows")).cast("int")).filter("_n > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
