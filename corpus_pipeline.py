@@ -20,9 +20,14 @@ from flowspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.5 or more go; null and empty texts and null ids are judged like all others.
+
+    Columns keep their values whatever their names (``score``, say).
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("score < 0.5").select(*docs.columns)
+    held = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    scored = score_toxicity(held, model, text_col=f"_{docs.columns.index('text')}").filter("score < 0.5")
+    return scored.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets give way to a mark; ``n_chars`` follows the text."""
+    """Spans of secrets give way to a mark; ``n_chars`` follows the text.  Every row stays, those with null or empty texts as they are."""
     small_batches(spark)
     clean = redact(docs)
     if "n_chars" in docs.columns:
@@ -60,13 +65,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares; a document comes as often as the mix takes it."""
+    """Sources in their target shares; a row comes as often as the mix takes it, up to three times.
+
+    Rows without words go, as their size is 0; null sources are one source;
+    rows alike in id, text and source are rows of their own.
+    """
     small_batches(spark)
     return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
+    """Token pieces with their places in sequences of 2048; a null or empty text has its end id only, and equal rows each their own pieces."""
     small_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
