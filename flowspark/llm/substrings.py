@@ -8,8 +8,8 @@ windows that reach from it to both sides; where they agree with those of a
 smaller id, the repeat goes on, and runs of agreeing windows are the maximal
 repeats of ``n`` words or more.  A last pass joins the runs with their texts.
 
-Windows are equal if both their anchors and their prints, 64 bits each, are; no
-pairs of documents are formed.
+Windows are equal if both their anchors (64 bits) and their prints (56 bits)
+are; no pairs of documents are formed.
 
 Before the shuffle each block of texts keeps, of windows that several of its
 documents share, only those of the smallest id, and marks the others itself; a
@@ -86,16 +86,27 @@ def _range(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
+#: Bytes of a print that are sent.
+PRINT = 7
+
+
+def _narrow(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Non-negative numbers in the fewest bytes that hold them all, and a byte that tells how many."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
+    return kind[2].encode(), x.astype(kind).tobytes()
+
+
 def _load(ids, sub, at, size, anchor=None, prints=None) -> bytes:
-    """Columns one after the other; ids and places by halves, of which the upper ones mostly are zeros and compress."""
-    ids, at = ids.astype("<i8").view("<u4").reshape(-1, 2), at.astype("<u4").view("<u2").reshape(-1, 2)
-    cols = [ids[:, 0], ids[:, 1], sub, at[:, 0], at[:, 1], size.astype("<u4" if anchor is None else "<u2")]
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in (*cols, *(() if anchor is None else (anchor, prints))))
+    """Columns one after the other; ids as steps from one to the next where they ascend."""
+    up = len(ids) > 0 and int(ids[0]) >= 0 and bool((ids[1:] >= ids[:-1]).all())
+    cols = [_narrow(np.append(0, np.diff(ids))) if up else (b"r", ids.astype("<i8").tobytes()), _narrow(sub), _narrow(at), _narrow(size)]
+    rest = () if anchor is None else (anchor.tobytes(), np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]).tobytes())
+    return b"".join((int(ids[0] if len(ids) else 0).to_bytes(8, "little", signed=True), *(k for k, _ in cols), *(c for _, c in cols), *rest))
 
 
 def _unload(raw: bytes, n: int, wide: bool):
     """Ids, subs, starts and sizes of ``n`` runs, and without ``wide`` their anchors and the prints of their windows."""
-    at = 0
+    first, kinds, at = int.from_bytes(raw[:8], "little", signed=True), raw[8:12].decode(), 12
 
     def take(kind, m):
         nonlocal at
@@ -103,13 +114,14 @@ def _unload(raw: bytes, n: int, wide: bool):
         at += got.nbytes
         return got
 
-    low, high = take("<u4", n), take("<u4", n)
-    sub = take("<u4", n)
-    ids = (low.astype(np.uint64) | high.astype(np.uint64) << _U(32)).view(np.int64)
-    start = take("<u2", n).astype(np.int64)
-    start |= take("<u2", n).astype(np.int64) << 16
-    size = take("<u4" if wide else "<u2", n).astype(np.int64)
-    return (ids, sub, start, size) if wide else (ids, sub, start, size, take("<u8", n), take("<u8", int(size.sum())))
+    ids = take("<i8", n) if kinds[0] == "r" else first + np.cumsum(take("<u" + kinds[0], n).astype(np.int64))
+    sub, start, size = take("<u" + kinds[1], n).astype(np.uint32), take("<u" + kinds[2], n).astype(np.int64), take("<u" + kinds[3], n).astype(np.int64)
+    if wide:
+        return ids, sub, start, size
+    anchor = take("<u8", n)
+    prints = np.zeros((int(size.sum()), 8), np.uint8)
+    prints[:, :PRINT] = take(np.uint8, PRINT * len(prints)).reshape(-1, PRINT)
+    return ids, sub, start, size, anchor, prints.view("<u8").reshape(-1)
 
 
 def _marked(w: Words, ids: np.ndarray, n: int, k: int):
@@ -147,7 +159,7 @@ def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
             start, size = _runs(row, first, place, np.where(spread_out, np.arange(len(place)), -1))
             # Anchors are least hashes and crowd near 0: hashed again before they are dealt out.
             bucket = _range(mix(np.where(spread_out[start], anchor[start] ^ h[start], anchor[start]) + _Q), buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((ids[row[start]], bucket))
             start, size, bucket = start[order], size[order], bucket[order]
             total = np.cumsum(size) - size
             prints = h[np.repeat(start - total, size) + np.arange(int(size.sum()))]
