@@ -1,9 +1,11 @@
 import oracle
 import pytest
 
-from flowspark.plans.queries import ORACLE_SQL, QUERIES
+from flowspark.plans import queries, run_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {**queries.QUERIES, **run_queries.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **run_queries.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
