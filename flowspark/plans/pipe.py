@@ -55,7 +55,7 @@ class CancelHandle:
 
     def cancel(self) -> None:
         self._set.set()
-        self._spark.interruptTag(self._tag)
+        self._spark.sparkContext.cancelJobsWithTag(self._tag)  # a session's own tags are known to the thread that set them only
 
     @property
     def is_cancelled(self) -> bool:
@@ -390,11 +390,9 @@ class Pipeline:
             raise self.config_error
         spark, handle = self.pipe.df.sparkSession, self._cancel
         if handle:
-            spark.addTag(handle._tag)
+            spark.sparkContext.addJobTag(handle._tag)
         error: BaseException | None = None
         try:
-            if handle and handle.is_cancelled:
-                raise Cancelled()
             self._stats = self._run()
         except BaseException as e:
             error = Cancelled(cause=e) if handle and handle.is_cancelled and not isinstance(e, Cancelled) else e
@@ -402,7 +400,7 @@ class Pipeline:
                 error.__cause__ = e
         finally:
             if handle:
-                spark.removeTag(handle._tag)
+                spark.sparkContext.removeJobTag(handle._tag)
             for f in self.pipe.fallible:
                 f.rows.unpersist()
         error = self._torn_down(error)
@@ -427,13 +425,20 @@ class Pipeline:
                         self._tell(Event("teardown_error", stage, 1, str(e)))
         return error
 
+    def _go_on(self) -> None:
+        """Between jobs, as cancelling ends only those that run."""
+        if self._cancel and self._cancel.is_cancelled:
+            raise Cancelled()
+
     def _run(self) -> RunStats:
+        self._go_on()
         began = time.monotonic()
         self._tell(Event("started"))
         pipe, out = self.pipe, self.pipe.df
         errors = retries = dead = 0
         fatal: tuple[_Fallible, Any] | None = None
         for f in pipe.fallible:
+            self._go_on()
             row = f.rows.agg(F.count("_err").alias("errors"), F.coalesce(F.sum(F.col("_tries") - 1), F.lit(0)).alias("retries")).first()
             errors, retries = errors + row["errors"], retries + row["retries"]
             if row["retries"]:
@@ -448,6 +453,7 @@ class Pipeline:
                 at = F.struct(*[F.col(c) for c in f.order])
                 self._write(self._sink, out.filter(at < F.struct(*[F.lit(first[c]).cast(f.rows.schema[c].dataType) for c in f.order])), pipe.order, "sink")
             raise StageError(f.stage, first["_err"])
+        self._go_on()
         seen = Observation()
         count = self._write(self._sink, out.observe(seen, F.count(F.lit(1)).alias("n")), pipe.order, "sink")
         n = count if count is not None else seen.get["n"]

@@ -137,7 +137,11 @@ class TeeSink(Sink):
 
 
 class ChannelSink(Sink):
-    """Rows into a bounded queue, in order; waits while it is full."""
+    """Rows into a bounded queue, in order; waits while it is full.
+
+    A reader that goes shuts the queue down, which ends the run with a
+    ``SinkError``, also while it waits; so does ``timeout`` on a full queue.
+    """
 
     def __init__(self, to: queue.Queue, timeout: float | None = None):
         self.to, self.timeout = to, timeout

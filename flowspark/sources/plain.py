@@ -52,7 +52,7 @@ class FnSource:
 
 
 class ChannelSource:
-    """What a queue holds until its end mark (None) or until nothing came for ``timeout`` seconds."""
+    """What a queue holds until its end mark (None), until it is shut down, or until nothing came for ``timeout`` seconds."""
 
     order = ("seq",)
 
@@ -64,7 +64,7 @@ class ChannelSource:
         while True:
             try:
                 item = self.items.get(timeout=self.timeout)
-            except queue.Empty:
+            except (queue.Empty, getattr(queue, "ShutDown", queue.Empty)):  # the latter from Python 3.13
                 break
             if item is None:
                 break

@@ -1,7 +1,11 @@
 """The engine against plain sequential models and rules worked out by hand; inputs are drawn or made here."""
 
+import os
 import queue
 import random
+import subprocess
+import sys
+import threading
 from datetime import datetime, timedelta
 
 import pytest
@@ -142,6 +146,26 @@ MIXED = ["12", "dozen", "-3", "4 4", "900", "", "5"]
 GOOD, BAD = [12, -3, 900, 5], ["", "4 4", "dozen"]
 
 
+def test_queues_that_the_other_side_left(spark):
+    q = queue.Queue()
+    q.put((7,))
+    q.shutdown()
+    out = queue.Queue(3)
+    pipe = Pipe.from_source(ChannelSource(q, "n int", 60), spark)
+    assert pipe.df.count() == 1
+
+    numbers = Pipe.from_iter(spark, range(10), "n int")
+    leave = threading.Timer(3, out.shutdown)  # the run then waits at the fourth row
+    leave.start()
+    with pytest.raises(SinkError) as e:
+        numbers.sink(ChannelSink(out)).run()
+    assert isinstance(e.value.cause, queue.ShutDown)
+    assert [out.get()["n"] for _ in range(3)] == [0, 1, 2]
+    with pytest.raises(SinkError) as e:
+        numbers.sink(ChannelSink(queue.Queue(3), 0.1)).run()
+    assert isinstance(e.value.cause, queue.Full)
+
+
 def test_dead_letters(spark):
     for ref in (False, True):
         dead, out = VecSink(), VecSink()
@@ -486,6 +510,12 @@ def test_events_and_cancel(spark):
     assert not pipeline.is_finished
 
 
+def test_cancel_within_a_backoff():
+    script = os.path.join(os.path.dirname(__file__), "cancelled_run.py")
+    done = subprocess.run([sys.executable, script], capture_output=True, text=True, timeout=200)
+    assert done.stdout.split() == ["Cancelled", "True", "Closed", "True"], done.stderr[-2000:]
+
+
 def test_sinks_are_closed_on_every_path(spark):
     log = []
 
