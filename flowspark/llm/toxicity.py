@@ -71,6 +71,8 @@ class Lexicon:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
+        self.stemmed: list[bool] = []  # by state: a stem has been read
+        self.ending: list[int] = []  # by state: what a word that ends here is, but for ordinary words
         self.start = self._state({(0, 0)})
 
     def _state(self, items: set[tuple[int, int]]) -> int:
@@ -80,6 +82,9 @@ class Lexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.step.append({})
+            self.stemmed.append(any(not e and at in self.stem for at, e in key))
+            ends = [(at, e) for at, e in key if at in self.word]
+            self.ending.append(1 if any(not e for _, e in ends) else 2 if any(at in self.loose for at, _ in ends) else 0)
         return self.states[key]
 
     def _next(self, s: int, c: str) -> int:
@@ -104,22 +109,18 @@ class Lexicon:
 
     def _match(self, word: str) -> int:
         if len(self.sets) > 10_000:
-            self.states, self.sets, self.step = {}, [], []
+            self.states, self.sets, self.step, self.stemmed, self.ending = {}, [], [], [], []
             self.start = self._state({(0, 0)})
-        s, near = self.start, False
+        s = self.start
         for c in word:
             n = self.step[s].get(c)
             s = self._next(s, c) if n is None else n
             if s < 0:
                 return 0
-            if self.stem and any(not e and at in self.stem for at, e in self.sets[s]):
+            if self.stemmed[s]:
                 return 1
-        for at, e in self.sets[s]:
-            if at in self.word:
-                if not e:
-                    return 1
-                near = at in self.loose or near
-        return 2 if near and word not in self.ordinary else 0
+        end = self.ending[s]
+        return 0 if end == 2 and word in self.ordinary else end
 
 
 def plain(word: str) -> str:
