@@ -95,7 +95,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op6_jaccard, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules)}
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_decode, bpe_encode
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op6_jaccard, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules, op13_bpe)}
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {

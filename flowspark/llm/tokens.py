@@ -32,7 +32,7 @@ _POINT = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnu
 _PLAIN = {"byte": re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+"), "word": re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -100,7 +100,7 @@ class Encoder:
             raise ValueError(f"cut: {cut}")
         self.tokenizer, self.cut, self.most_units, self.most_ids = Tokenizer.from_file(path), cut, most_units, most_ids
         self.model, self.plain = self.tokenizer.model, _PLAIN[cut]
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
@@ -141,7 +141,7 @@ class Encoder:
             start = start[(start <= a) | (start >= b)]
         return start, np.append(start[1:], n)
 
-    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole units."""
         out: list[list[int]] = [[]] * len(texts)
         odd, plain = [], self.plain.fullmatch
@@ -163,7 +163,7 @@ class Encoder:
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
         if self.table.n > self.most_units or self.used > self.most_ids:
             self._reset()
-        got = self._ids_of(texts)
+        got = self.ids_of(texts)
         size = np.fromiter(map(len, got), np.int32, len(got))
         total = int(size.sum())
         if self.used + total > len(self.pool):
