@@ -113,18 +113,24 @@ def word_table(docs: DataFrame, path: str, cut: str = "byte", text_col: str = "t
 
 
 class Hot:
-    """The frequent units, as flat arrays; the lookup table is built by the worker that uses it."""
+    """The frequent units, as flat arrays; the lookup table is built by the worker that uses it.
 
-    def __init__(self, units: pa.Array, ids: pa.Array):
+    Their ids are held as ranks by frequency, most of which fit in a byte.
+    """
+
+    def __init__(self, units: pa.Array, ids: pa.Array, n: np.ndarray):
         buf, offs = text_buffer(units)
         at, self.lo, self.hi, self.h = unit_keys(buf, offs[:-1], offs[1:])
         keep = np.unique(self.h, return_index=True)[1]  # of two units with one hash, the second is not frequent
         self.lo, self.hi, self.h = self.lo[keep], self.hi[keep], self.h[keep]
         got = [np.frombuffer(x, "<u4") for x in ids.take(pa.array(at[keep])).to_pylist()]
         self.size = np.fromiter(map(len, got), np.int32, len(got))
-        self.tag = uuid.uuid4().hex
-        pool = np.concatenate([np.zeros(0, np.uint32), *got])
-        self.pool = pool.astype("<u2" if not len(pool) or pool.max() < 1 << 16 else "<u4")
+        pool = np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)
+        often = np.bincount(pool, weights=np.repeat(n[at[keep]], self.size))
+        self.id_of = np.argsort(-often, kind="stable").astype(np.uint32)
+        rank = np.empty(len(often), np.uint32)
+        rank[self.id_of] = np.arange(len(often))
+        self.pool, self.tag = rank[pool], uuid.uuid4().hex
 
     def table(self) -> UnitTable:
         t = UnitTable()
@@ -132,6 +138,19 @@ class Hot:
         return t
 
 
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """A byte for each rank, 255 for those of 255 and more, whose rests follow byte by byte."""
+    rest = ranks[ranks >= 255] - np.uint32(255)
+    return np.minimum(ranks, 255).astype(np.uint8).tobytes() + np.ascontiguousarray(rest.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_ranks(raw: bytes, n: int) -> np.ndarray:
+    ranks = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
+    rest = np.frombuffer(raw, np.uint8, len(raw) - n, n).reshape(4, -1).T
+    ranks[ranks == 255] += np.ascontiguousarray(rest).view("<u4").reshape(-1)
+    return ranks
+
+
 def hot_units(table: DataFrame, most: int) -> Hot:
     """The most frequent units: as many classes of like counts, from the top, as hold at most ``most`` units together."""
     class_ = F.floor(F.log2("n") * 16)
@@ -143,8 +162,8 @@ def hot_units(table: DataFrame, most: int) -> Hot:
         if total > most:
             break
         least = r["class"]
-    got = able.filter(class_ >= least).select("unit", "ids").toArrow()  # at most ``most`` rows of at most 75 bytes
-    return Hot(got.column("unit").combine_chunks(), got.column("ids").combine_chunks())
+    got = able.filter(class_ >= least).select("unit", "ids", "n").toArrow()  # at most ``most`` rows of at most 75 bytes
+    return Hot(got.column("unit").combine_chunks(), got.column("ids").combine_chunks(), got.column("n").to_numpy())
 
 
 def _looked_up(hot, path: str, cut: str, batches: Iterator[pa.RecordBatch]):
@@ -171,56 +190,60 @@ def _key(raw: memoryview, salt: bytes = b"") -> bytes:
     return hashlib.blake2b(raw, digest_size=16, salt=salt).digest()
 
 
+def _gaps(cuts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units that are not in the table, their rows, and their numbers within their rows."""
+    rare = np.flatnonzero(place < 0)
+    bounds = np.searchsorted(rare, cuts)
+    size = np.diff(bounds)
+    return rare, np.repeat(np.arange(len(size)), size), np.arange(len(rare)) - np.repeat(bounds[:-1], size)
+
+
 def _asked(hot, path: str, cut: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of the text, unit) for the units of each text that are not in ``hot``, once a text."""
+    """(key of the text, number of the gap, unit) for the units that are not in ``hot``."""
     for _, buf, start, end, offs, cuts, place in _looked_up(hot, path, cut, batches):
-        raw, keys, units = memoryview(buf.tobytes()), [], []
-        rare = np.flatnonzero(place < 0)
-        row = np.searchsorted(cuts, rare, "right") - 1
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(rare)]):
-            k = row[a]
-            mine = {bytes(raw[start[u] : end[u]]) for u in rare[a:z].tolist()}
-            keys += [_key(raw[offs[k] : offs[k + 1]])] * len(mine)
-            units += mine
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(units, pa.binary()).cast(pa.string())], ["key", "unit"])
+        raw = memoryview(buf.tobytes())
+        rare, row, number = _gaps(cuts, place)
+        keys = {k: _key(raw[offs[k] : offs[k + 1]]) for k in np.unique(row).tolist()}
+        units = pa.array([bytes(raw[a:z]) for a, z in zip(start[rare].tolist(), end[rare].tolist())], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in row.tolist()], pa.binary()), pa.array(number, pa.int32()), units], ["key", "number", "unit"])
 
 
 def _partly(hot, path: str, cut: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: its ids but for gaps (packed), and the place and unit of each gap.  The key of a row without gaps is its own, so that no key is hot."""
+    """Per row: the ranks of its ids but for gaps (packed), their count, and after how many ids each gap is.  The key of a row without gaps is its own, so that no key is hot."""
     known, codec, rows = hot.value, pa.Codec("zstd", 3), 0
+    begins = np.append(np.cumsum(known.size) - known.size, 0)
+    sizes = np.append(known.size, 0).astype(np.int64)
     for b, buf, start, end, offs, cuts, place in _looked_up(hot, path, cut, batches):
         raw = memoryview(buf.tobytes())
-        size = np.append(known.size, np.int32(0)).take(place).astype(np.int64)  # a gap is empty
+        size = sizes.take(place)  # a gap, at the end of ``sizes``, is empty
         upto = np.concatenate([[0], np.cumsum(size)])
-        begin = np.append(np.cumsum(known.size) - known.size, 0).take(place) - upto[:-1]
-        ids = known.pool.take(np.repeat(begin, size) + np.arange(upto[-1])) if upto[-1] else np.zeros(0, known.pool.dtype)
-        rare = np.flatnonzero(place < 0)
-        at = upto[rare]
-        bounds = np.searchsorted(rare, cuts)
+        ranks = known.pool[np.repeat(begins.take(place) - upto[:-1], size) + np.arange(upto[-1])]
         ends = upto[cuts]
-        keys, packed = [], []
+        rare, row, _ = _gaps(cuts, place)
+        gaps, bounds = (upto[rare] - ends[row]).astype("<u4"), np.searchsorted(row, np.arange(b.num_rows + 1))
+        out = [], [], [], []
         for k in range(b.num_rows):
             rows += 1
-            gap = bounds[k] < bounds[k + 1]
-            keys.append(_key(raw[offs[k] : offs[k + 1]]) if gap else _key(raw[offs[k] : offs[k + 1]], rows.to_bytes(16, "little")))
-            packed.append(codec.compress(ids[ends[k] : ends[k + 1]].tobytes(), asbytes=True))
-        n = np.diff(ends)
-        gaps = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at - np.repeat(ends[:-1], np.diff(bounds)), pa.int64()))
-        units = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([bytes(raw[start[u] : end[u]]) for u in rare.tolist()], pa.binary()).cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(n, pa.int64()), gaps, units], ["id", "key", "packed", "n", "gaps", "units"])
+            own, gap = ranks[ends[k] : ends[k + 1]], gaps[bounds[k] : bounds[k + 1]]
+            packed = pack_ranks(own)
+            salt = b"" if len(gap) else rows.to_bytes(16, "little")
+            for column, x in zip(out, (_key(raw[offs[k] : offs[k + 1]], salt), codec.compress(packed, asbytes=True), (len(own), len(packed)), gap.tobytes())):
+                column.append(x)
+        keys, packed, n, gap = out
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array([x for x, _ in n], pa.int64()), pa.array([x for _, x in n], pa.int64()), pa.array(gap, pa.binary())], ["id", "key", "packed", "n", "bytes", "gaps"])
 
 
 def _filled(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec, kind = pa.Codec("zstd", 3), hot.value.pool.dtype
+    codec, id_of = pa.Codec("zstd", 3), hot.value.id_of
     for b in batches:
         out = []
-        for packed, n, gaps, units, got in zip(*[b.column(k) for k in range(1, 6)]):
-            ids = np.frombuffer(codec.decompress(packed.as_buffer(), n.as_py() * kind.itemsize, asbytes=True), kind).astype(np.uint32)
+        for packed, n, size, gaps, got in zip(*[b.column(k) for k in range(1, 6)]):
+            ids = id_of[unpack_ranks(codec.decompress(packed.as_buffer(), size.as_py(), asbytes=True), n.as_py())]
+            gaps = np.frombuffer(gaps.as_buffer(), "<u4").astype(np.int64)
             if len(gaps):
-                known = dict(zip(got.values.field(0).to_pylist(), got.values.field(1).to_pylist())) if got.is_valid else {}
-                parts = [np.frombuffer(known[u], "<u4") for u in units.values.to_pylist()]
-                ids = np.insert(ids, np.repeat(gaps.values.to_numpy(), [len(p) for p in parts]), np.concatenate(parts))
+                told = dict(zip(got.values.field(0).to_pylist(), got.values.field(1).to_pylist()))
+                parts = [np.frombuffer(told[k], "<u4") for k in range(len(gaps))]
+                ids = np.insert(ids, np.repeat(gaps, [len(p) for p in parts]), np.concatenate(parts))
             out.append(ids.astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "ids"])
 
@@ -231,10 +254,10 @@ def bpe_encode(docs: DataFrame, path: str, cut: str = "byte", most_hot: int = 1
     hot = docs.sparkSession.sparkContext.broadcast(hot_units(table, most_hot))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    asked = rows.select("text").mapInArrow(lambda batches: _asked(hot, path, cut, batches), "key binary, unit string")
-    told = asked.join(table.select("unit", "ids"), "unit").groupBy(F.col("key").alias("asker")).agg(F.collect_set(F.struct("unit", "ids")).alias("got"))
-    partly = rows.mapInArrow(lambda batches: _partly(hot, path, cut, batches), f"id {kind}, key binary, packed binary, n long, gaps array<long>, units array<string>")
-    both = partly.join(told, F.col("key") == F.col("asker"), "left").select("id", "packed", "n", "gaps", "units", "got")
+    asked = rows.select("text").mapInArrow(lambda batches: _asked(hot, path, cut, batches), "key binary, number int, unit string")
+    told = asked.join(table.select("unit", "ids"), "unit").groupBy(F.col("key").alias("asker")).agg(F.collect_set(F.struct("number", "ids")).alias("got"))
+    partly = rows.mapInArrow(lambda batches: _partly(hot, path, cut, batches), f"id {kind}, key binary, packed binary, n long, bytes long, gaps binary")
+    both = partly.join(told, F.col("key") == F.col("asker"), "left").select("id", "packed", "n", "bytes", "gaps", "got")
     return both.mapInArrow(lambda batches: _filled(hot, batches), f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
