@@ -151,17 +151,17 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
                           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
         p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
-        g AS (SELECT lang, k, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k)),
-        f AS (SELECT lang, k, w, count(*) AS f FROM g GROUP BY ALL),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k)),
+        f AS MATERIALIZED (SELECT lang, k, w, count(*) AS f FROM g GROUP BY ALL),
         t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-        c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
-        cut AS (SELECT lang, w, f, unnest(range(1, k)) AS cut_at FROM c),
+        c AS (SELECT *, string_split(w, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+        cut AS (SELECT lang, w, f, cut_at, array_to_string(words[:cut_at], ' ') AS x, array_to_string(words[cut_at + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut_at FROM c)),
         s AS (SELECT cut.lang, cut.w, cut.f AS a, cut_at, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * cut.f * cut.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-              FROM cut JOIN f x ON x.lang = cut.lang AND x.w = cut.w[:cut_at] JOIN f y ON y.lang = cut.lang AND y.w = cut.w[cut_at + 1:]),
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.w = cut.x JOIN f y ON y.lang = cut.lang AND y.w = cut.y),
         low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut_at) = 1),
-        inner_ AS (SELECT lang, w[:2] AS w, f FROM c WHERE k = 3 UNION ALL SELECT lang, w[2:] AS w, f FROM c WHERE k = 3),
-        most AS (SELECT lang, w, max(f) AS most FROM inner_ GROUP BY ALL),
-        o AS (SELECT low.lang, array_to_string(low.w, ' ') AS phrase, a, l, r, n, score FROM low JOIN t USING (lang) LEFT JOIN most ON most.lang = low.lang AND most.w = low.w
+        inside AS (SELECT lang, array_to_string(words[:2], ' ') AS w, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(words[2:], ' ') AS w, f FROM c WHERE k = 3),
+        longer AS (SELECT lang, w, max(f) AS most FROM inside GROUP BY ALL),
+        o AS (SELECT low.lang, low.w AS phrase, a, l, r, n, score FROM low JOIN t USING (lang) LEFT JOIN longer ON longer.lang = low.lang AND longer.w = low.w
               WHERE most IS NULL OR 100 * most < 50 * a)
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o) WHERE rank <= 2000""",
 }
