@@ -40,11 +40,11 @@ def spread(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str, kind: str = "long") -> DataFrame:
     """``out``: the sum of ``value`` up to and with each row, by ``keys``, in the order of ``bucket`` and then ``order``."""
     sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_s"))
     past = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(past), F.lit(0)).cast("long")).drop("_s")
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(past), F.lit(0)).cast(kind)).drop("_s")
     sums = sums.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, bucket]], "_before")
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, bucket]]
     both = df.join(sums, on, "inner").drop(*[f"_of_{k}" for k in [*keys, bucket]])

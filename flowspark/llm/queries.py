@@ -101,6 +101,12 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixes import prefix_trie, shared_heads, turns_of
+
+    return prefix_trie(*shared_heads(turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_decode, bpe_encode
 
@@ -110,7 +116,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op6_jaccard, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules, op11_phrases, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_secrets, op4_token_files, op5_sharding, op6_jaccard, op7_toxicity, op8_packing, op9_top_k, op10_quality_rules, op11_phrases, op12_prefix_trie, op13_bpe)}
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +170,19 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT low.lang, low.w AS phrase, a, l, r, n, score FROM low JOIN t USING (lang) LEFT JOIN longer ON longer.lang = low.lang AND longer.w = low.w
               WHERE most IS NULL OR 100 * most < 50 * a)
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o) WHERE rank <= 2000""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        b AS (SELECT DISTINCT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM t),
+        h AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295], steps), lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 9 AS h FROM b),
+        r AS (SELECT h.conv_id, 0 AS own, pos, turn FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND pos <= h
+              UNION ALL SELECT h.conv_id, 1, pos, turn FROM h JOIN t ON t.conv_id = h.conv_id AND pos > h),
+        s AS (SELECT h.conv_id, coalesce(list(turn ORDER BY own, pos) FILTER (WHERE pos IS NOT NULL), []) AS seq FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id),
+        m AS (SELECT conv_id, d, seq[:d] AS key, len(seq) = d AS ends FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+        n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM m GROUP BY key, d),
+        k AS (SELECT key[:d - 1] AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * octet_length(encode(n.key[-1].text)) END AS saved FROM n LEFT JOIN k ON k.key = n.key AND k.d = n.d),
+        u AS (SELECT key[:upto] AS key, upto AS d, sum(saved) AS saved, sum(CAST(n_children = 0 AS INT)) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS upto FROM v) GROUP BY ALL)
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, CAST(v.n_children AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM v JOIN u ON u.key = v.key AND u.d = v.d LEFT JOIN n p ON v.d > 0 AND p.d = v.d - 1 AND p.key = v.key[:v.d - 1]""",
 }
