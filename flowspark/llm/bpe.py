@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle_lean
 from .tokens import UnitTable, byte_letters, encoder
 from .words import KEPT, chunks, mix, text_buffer
 
@@ -109,7 +109,7 @@ def word_table(docs: DataFrame, path: str, cut: str = "byte", text_col: str = "t
             ids = [np.array(x, "<u4").tobytes() for x in coder.ids_of(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["unit", "n", "ids"])
 
-    return settle(rows.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(encode, "unit string, n long, ids binary"))
+    return settle_lean(rows.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(encode, "unit string, n long, ids binary"))
 
 
 class Hot:

@@ -31,6 +31,17 @@ def settle(df: DataFrame) -> DataFrame:
     return settled(df)
 
 
+def settle_lean(df: DataFrame) -> DataFrame:
+    """The same, and the shuffle files behind ``df`` go as soon as it is written; nothing reads them again."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return settled(df)
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_of_id(col) -> "F.Column":
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
