@@ -26,6 +26,7 @@ result; columns other than language and text are ignored, whatever their names.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import settle, settle_lean, shared_dir
 from .tokens import UnitTable
-from .words import chunks, mix, span_hash, text_buffer
+from .words import KEPT, chunks, mix, span_hash, text_buffer
 
 _CUT = np.zeros(256, bool)
 _CUT[[*map(ord, ".,;:!?"), 10, 11, 12, 13]] = True
@@ -83,8 +84,8 @@ def _cell(h: np.ndarray, cells: int) -> np.ndarray:
 
 def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, length, start, n): the phrases of a shard that are active in ``step``; length 0 for the words of a language."""
-    since = reached.value
-    for b in chunks(batches, limit=_CHUNK):
+    since = _unpacked(reached)
+    for b in chunks(batches, limit=_CHUNK, keep=True):
         g = Grams(b, longest)
         out = []
         if step < shards:
@@ -106,6 +107,19 @@ def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int8)), pa.array(np.full(len(h), s, np.int16)), pa.array(n.astype(np.int64))], ["h", "length", "begin", "n"])
 
 
+def _packed(cells: np.ndarray) -> tuple[str, bytes, str]:
+    """For a broadcast: most cells are alike, so little is sent."""
+    return uuid.uuid4().hex, zlib.compress(cells.tobytes(), 1), cells.dtype.str
+
+
+def _unpacked(sent) -> np.ndarray:
+    """The cells, which a worker unpacks once for all its tasks."""
+    tag, raw, kind = sent.value
+    if KEPT.get("cells", ("",))[0] != tag:
+        KEPT["cells"] = (tag, np.frombuffer(zlib.decompress(raw), kind))
+    return KEPT["cells"][1]
+
+
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.sort(h)
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -138,12 +152,12 @@ def frequent_phrases(dealt: DataFrame, least: int, longest: int, shards: int, ce
     since = np.full(cells, _NEVER, np.uint8)
     open_, done = None, []
     for step in range(longest * shards):
-        reached = sc.broadcast(since)
+        reached = sc.broadcast(_packed(since))
         rows = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
         found = rows.mapInArrow(lambda batches, r=reached, s=step: _scan(r, s, shards, longest, batches), "h long, length byte, begin short, n long")
         if open_ is not None:
             found = found.unionByName(open_)
-        found = settle(found.groupBy("h", "length", "begin").agg(F.sum("n").alias("n")))
+        found = settle_lean(found.groupBy("h", "length", "begin").agg(F.sum("n").alias("n")))
         over = F.col("begin") + shards - 1 <= step
         done.append(found.filter(over & ((F.col("n") >= least) | (F.col("length") == 0))))
         open_ = found.filter(~over)
@@ -159,9 +173,9 @@ def frequent_phrases(dealt: DataFrame, least: int, longest: int, shards: int, ce
 
 def _name(wanted, longest: int, batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Names of the phrases whose cells are in ``wanted``, once a task (or once for each ``most`` of them): language, words, and the hashes of their parts."""
-    cells = wanted.value
+    cells = _unpacked(wanted)
     seen = UnitTable()
-    for b in chunks(batches, limit=_CHUNK):
+    for b in chunks(batches, limit=_CHUNK, keep=True):
         g = Grams(b, longest)
         langs = b.column(0).to_pylist()
         raw = g.buf.tobytes()
@@ -207,7 +221,7 @@ def phrases(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000,
         raise ValueError("longest, shards or cells")
     dealt = _dealt(docs, shards, lang_col, text_col)
     known = frequent_phrases(dealt, least, longest, shards, cells)
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(known.filter("length > 1"), cells))
+    wanted = docs.sparkSession.sparkContext.broadcast(_packed(_bits(known.filter("length > 1"), cells)))
     names = dealt.select("lang", "text").mapInArrow(lambda batches: _name(wanted, longest, batches), "h long, lang string, phrase string, left array<long>, right array<long>, inner array<long>")
     named = settle(names.distinct().join(known.filter("length <> 1"), "h"))
     found = named.filter("length > 1")
