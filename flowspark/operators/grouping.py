@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import StageError
 from ..functions.shared import settled
 from ..policies import BatchPolicy, WindowSpec, micros
+from .batching import Limits, batch_starts
 
 _IN_PART = (1 << 33) - 1
 #: Microseconds of the last instant that timestamps hold, and a span longer than any.
@@ -85,52 +86,24 @@ def steady(df: DataFrame, order: list[str], clock: str) -> bool:
 def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Column | None = None, clock: str | None = None) -> DataFrame:
     """``df`` with ``batch_id``, from 0.
 
-    Items alone: arithmetic on the row number.  Else a narrow table of places,
-    bytes and times goes through one task in order, a jump for each batch.
+    Items alone: arithmetic on the row number.  Else each range of rows finds
+    where batches begin, see :mod:`flowspark.operators.batching`.  A null clock
+    is the instant before it; a null size is 0.
     """
-    rows = numbered(df, order, "_no")
     if policy.bytes_limit is None and policy.age_limit is None:
+        rows = numbered(df, order, "_no")
         return rows.withColumn("batch_id", F.floor(F.col("_no") / policy.items_limit).cast("long")).drop("_no")
-    most, most_bytes = policy.items_limit, policy.bytes_limit
-    most_age = None if policy.age_limit is None else min(micros(policy.age_limit), _EVER)
-    us = F.unix_micros(F.col(clock).cast("timestamp")) if most_age is not None else F.lit(0)
-    thin = rows.select(F.col("_no"), F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long").alias("_size"), F.coalesce(us, F.lit(0)).cast("long").alias("_us"))
-
-    def old(us: np.ndarray, at: int, stop: int, opened: int) -> int:
-        """The first of ``at`` to ``stop`` that is too old, or ``stop``."""
-        step = 64
-        while at < stop:
-            hit = np.flatnonzero(us[at : min(at + step, stop)] - opened >= most_age)
-            if len(hit):
-                return at + int(hit[0])
-            at, step = at + step, 2 * step
-        return stop
-
-    def assign(batches):
-        batch = n = total = opened = 0
-        for b in batches:
-            size, us = b.column(1).to_numpy(), b.column(2).to_numpy()
-            m, at = len(size), 0
-            upto, out = np.append(0, np.cumsum(size)), np.empty(len(size), np.int64)
-            while at < m:
-                opened = opened if n else int(us[at])
-                last = m  # the item that closes the batch
-                if most is not None:
-                    last = min(last, at + most - n - 1)
-                if most_bytes is not None:
-                    last = min(last, max(at, int(np.searchsorted(upto, upto[at] + most_bytes - total)) - 1))
-                if most_age is not None:
-                    last = old(us, at, last, opened)
-                out[at : last + 1] = batch
-                if last < m:
-                    batch, n, total = batch + 1, 0, 0
-                else:
-                    n, total = n + m - at, total + int(upto[m] - upto[at])
-                at = last + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["_of", "batch_id"])
-
-    ids = thin.repartition(1).sortWithinPartitions("_no").mapInArrow(assign, "_of long, batch_id long")
-    return rows.join(ids, F.col("_no") == F.col("_of")).drop("_no", "_of")
+    age = None if policy.age_limit is None else min(micros(policy.age_limit), _EVER)
+    us = F.unix_micros(F.col(clock).cast("timestamp")) if age is not None else F.lit(None)
+    bytes_ = F.greatest(F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long"), F.lit(0))
+    rows = _ranged(df.withColumns({"_size": bytes_, "_us": us.cast("long")}), order)
+    starts = settled(batch_starts(rows, Limits(policy.items_limit, policy.bytes_limit, age)))
+    parts = starts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_p", "_q")
+    every = rows.select(F.col("_part").alias("_p")).distinct().join(parts, F.col("_p") == F.col("_q"), "left").drop("_q")
+    base = _before(every, "_base", F.sum("_n"), F.lit(0).cast("long")).withColumnRenamed("_p", "_q")
+    flagged = rows.join(starts, (F.col("_part") == F.col("_p")) & (F.col("_place") == F.col("_i")), "left")
+    counted = flagged.join(base, F.col("_part") == F.col("_q"))
+    return counted.withColumn("batch_id", (F.col("_base") + F.count("_i").over(_upto()) - 1).cast("long")).drop("_part", "_place", "_size", "_us", "_p", "_i", "_q", "_base")
 
 
 def _most_recent(lists: DataFrame, keys: list[str], most: int) -> DataFrame:
