@@ -27,11 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,22 +121,33 @@ class Hot:
     """
 
     def __init__(self, units: pa.Array, ids: pa.Array, n: np.ndarray):
-        buf, offs = text_buffer(units)
-        at, self.lo, self.hi, self.h = unit_keys(buf, offs[:-1], offs[1:])
-        keep = np.unique(self.h, return_index=True)[1]  # of two units with one hash, the second is not frequent
-        self.lo, self.hi, self.h = self.lo[keep], self.hi[keep], self.h[keep]
-        got = [np.frombuffer(x, "<u4") for x in ids.take(pa.array(at[keep])).to_pylist()]
-        self.size = np.fromiter(map(len, got), np.int32, len(got))
+        order = pc.sort_indices(units)  # like units stand together, which packs well
+        got = [np.frombuffer(x, "<u4") for x in ids.take(order).to_pylist()]
+        size = np.fromiter(map(len, got), np.uint8, len(got))
         pool = np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)
-        often = np.bincount(pool, weights=np.repeat(n[at[keep]], self.size))
-        self.id_of = np.argsort(-often, kind="stable").astype(np.uint32)
+        often = np.bincount(pool, weights=np.repeat(n[order.to_numpy()], size))
+        self.tag, self.id_of = uuid.uuid4().hex, np.argsort(-often, kind="stable").astype(np.uint32)
         rank = np.empty(len(often), np.uint32)
         rank[self.id_of] = np.arange(len(often))
-        self.pool, self.tag = rank[pool], uuid.uuid4().hex
+        self._set(*text_buffer(units.take(order)), size, rank[pool])
+
+    def _set(self, buf: np.ndarray, offs: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        self.units, self.size, self.pool = (buf, offs), size.astype(np.int32), pool
+        _, self.lo, self.hi, self.h = unit_keys(buf, offs[:-1], offs[1:])
+
+    def __getstate__(self):
+        buf, offs = self.units
+        columns = [buf, np.diff(offs).astype(np.uint8), self.size.astype(np.uint8), self.pool, self.id_of]
+        return self.tag, [(zlib.compress(c.tobytes()), c.dtype.str) for c in columns]
+
+    def __setstate__(self, state):
+        self.tag, columns = state
+        buf, lengths, size, pool, self.id_of = (np.frombuffer(zlib.decompress(raw), kind) for raw, kind in columns)
+        self._set(buf, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), size, pool)
 
     def table(self) -> UnitTable:
-        t = UnitTable()
-        t.add(self.h, np.arange(len(self.h), dtype=np.int32), self.size)
+        t, first = UnitTable(), np.unique(self.h, return_index=True)[1]  # of two units with one hash, the second counts as not frequent
+        t.add(self.h[first], first.astype(np.int32), self.size[first])
         return t
 
 
@@ -151,19 +164,20 @@ def unpack_ranks(raw: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def hot_units(table: DataFrame, most: int) -> Hot:
-    """The most frequent units: as many classes of like counts, from the top, as hold at most ``most`` units together."""
+def hot_units(table: DataFrame, most: int) -> tuple[Hot, DataFrame]:
+    """The most frequent units, as many classes of like counts, from the top, as hold at most ``most`` units together; and the rest of the table."""
     class_ = F.floor(F.log2("n") * 16)
-    able = table.filter((F.octet_length("unit") <= SHORT) & (F.col("n") > 1) & (F.octet_length("ids") <= 4 * SHORT))
-    sizes = able.groupBy(class_.alias("class")).agg(F.count(F.lit(1)).alias("units")).collect()  # at most 16 for each bit of a count
+    fits = (F.octet_length("unit") <= SHORT) & (F.col("n") > 1) & (F.octet_length("ids") <= 4 * SHORT)
+    sizes = table.filter(fits).groupBy(class_.alias("class")).agg(F.count(F.lit(1)).alias("units")).collect()  # at most 16 for each bit of a count
     least, total = 1 << 20, 0
     for r in sorted(sizes, key=lambda r: -r["class"]):
         total += r["units"]
         if total > most:
             break
         least = r["class"]
-    got = able.filter(class_ >= least).select("unit", "ids", "n").toArrow()  # at most ``most`` rows of at most 75 bytes
-    return Hot(got.column("unit").combine_chunks(), got.column("ids").combine_chunks(), got.column("n").to_numpy())
+    often = fits & (class_ >= least)
+    got = table.filter(often).select("unit", "ids", "n").toArrow()  # at most ``most`` rows of at most 75 bytes
+    return Hot(got.column("unit").combine_chunks(), got.column("ids").combine_chunks(), got.column("n").to_numpy()), table.filter(~often)
 
 
 def _looked_up(hot, path: str, cut: str, batches: Iterator[pa.RecordBatch]):
@@ -251,11 +265,12 @@ def _filled(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bpe_encode(docs: DataFrame, path: str, cut: str = "byte", most_hot: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id and ``ids``, the text's token ids as little-endian unsigned 32-bit integers."""
     table = word_table(docs, path, cut, text_col)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_units(table, most_hot))
+    often, rest = hot_units(table, most_hot)
+    hot = docs.sparkSession.sparkContext.broadcast(often)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     asked = rows.select("text").mapInArrow(lambda batches: _asked(hot, path, cut, batches), "key binary, number int, unit string")
-    told = asked.join(table.select("unit", "ids"), "unit").groupBy(F.col("key").alias("asker")).agg(F.collect_set(F.struct("number", "ids")).alias("got"))
+    told = asked.join(rest.select("unit", "ids"), "unit").select(F.col("key").alias("asker"), "number", "ids").repartition("asker").groupBy("asker").agg(F.collect_set(F.struct("number", "ids")).alias("got"))
     partly = rows.mapInArrow(lambda batches: _partly(hot, path, cut, batches), f"id {kind}, key binary, packed binary, n long, bytes long, gaps binary")
     both = partly.join(told, F.col("key") == F.col("asker"), "left").select("id", "packed", "n", "bytes", "gaps", "got")
     return both.mapInArrow(lambda batches: _filled(hot, batches), f"id {kind}, ids binary").withColumnRenamed("id", id_col)

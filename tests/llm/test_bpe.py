@@ -53,7 +53,9 @@ def test_word_table(spark):
     table = word_table(df, PATH)
     n = {r.unit: r.n for r in table.collect()}
     assert n[" c"] == 3 + 39 and n["c"] == 1 and n[" b"] == 2 and table.count() == len(n)
-    assert len(hot_units(table, 1).h) == 1 and len(hot_units(table, 0).h) == 0
+    for most, units in ((1, 1), (0, 0)):
+        hot, rest = hot_units(table, most)
+        assert len(hot.h) == units and rest.count() == table.count() - units
 
 
 def test_pieces_and_broken_bytes(spark, tokenizer):
