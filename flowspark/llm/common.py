@@ -42,6 +42,14 @@ def settle_lean(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc32_of_id(col) -> "F.Column":
     return F.crc32(F.col(col).cast("string").cast("binary"))
 

@@ -28,13 +28,14 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, settle_lean, shared_dir
+from .common import forget, settle, settle_lean, shared_dir
 from .tokens import UnitTable
 from .words import KEPT, chunks, mix, span_hash, text_buffer
 
@@ -82,16 +83,37 @@ def _cell(h: np.ndarray, cells: int) -> np.ndarray:
     return (h & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, length, start, n): the phrases of a shard that are active in ``step``; length 0 for the words of a language."""
+def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(hash, length, begin, n): the phrases of a shard that are active in ``step``, each once for about ``most`` occurrences; length 0 for the words of a language."""
     since = _unpacked(reached)
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    words: dict[int, int] = {}
+    size = 0
+
+    def counted():
+        for (k, s), parts in held.items():
+            h, n = _distinct(np.concatenate(parts))
+            yield h, k, s, n
+        if words:
+            yield np.array(list(words), np.uint64), 0, 0, np.array(list(words.values()))
+
+    def sent():
+        for h, k, s, n in counted():
+            for at in range(0, len(h), 100_000):
+                part = slice(at, at + 100_000)
+                m = len(h[part])
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(m, k, np.int8)), pa.array(np.full(m, s, np.int16)), pa.array(n[part].astype(np.int64))], ["h", "length", "begin", "n"])
+        held.clear()
+        words.clear()
+
     for b in chunks(batches, limit=_CHUNK, keep=True):
         g = Grams(b, longest)
-        out = []
         if step < shards:
             langs, of = np.unique(g.lang, return_inverse=True)
-            out.append((0, 0, langs, np.bincount(of[g.row], minlength=len(langs))))
-            out.append((1, 0, *_distinct(g.h[1])))
+            for lang, n in zip(langs.tolist(), np.bincount(of[g.row], minlength=len(langs)).tolist()):
+                words[lang] = words.get(lang, 0) + n
+            held.setdefault((1, 0), []).append(g.h[1])
+            size += len(g.h[1])
         for k in range(2, longest + 1):
             if not k - 1 <= step < k * shards:
                 continue
@@ -102,21 +124,24 @@ def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.Re
             for s in range(max(k - 1, step - shards + 1), step + 1):
                 mine = at[begin == s]
                 if len(mine):
-                    out.append((k, s, *_distinct(g.h[k].take(mine))))
-        for k, s, h, n in out:
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int8)), pa.array(np.full(len(h), s, np.int16)), pa.array(n.astype(np.int64))], ["h", "length", "begin", "n"])
+                    held.setdefault((k, s), []).append(g.h[k].take(mine))
+                    size += len(mine)
+        if size >= most:
+            yield from sent()
+            size = 0
+    yield from sent()
 
 
-def _packed(cells: np.ndarray) -> tuple[str, bytes, str]:
+def _packed(cells: np.ndarray) -> tuple[str, bytes, str, tuple]:
     """For a broadcast: most cells are alike, so little is sent."""
-    return uuid.uuid4().hex, zlib.compress(cells.tobytes(), 1), cells.dtype.str
+    return uuid.uuid4().hex, zlib.compress(cells.tobytes(), 1), cells.dtype.str, cells.shape
 
 
 def _unpacked(sent) -> np.ndarray:
     """The cells, which a worker unpacks once for all its tasks."""
-    tag, raw, kind = sent.value
+    tag, raw, kind, shape = sent.value
     if KEPT.get("cells", ("",))[0] != tag:
-        KEPT["cells"] = (tag, np.frombuffer(zlib.decompress(raw), kind))
+        KEPT["cells"] = (tag, np.frombuffer(zlib.decompress(raw), kind).reshape(shape))
     return KEPT["cells"][1]
 
 
@@ -150,7 +175,7 @@ def frequent_phrases(dealt: DataFrame, least: int, longest: int, shards: int, ce
     """``h``, ``length`` and ``n`` of all words and phrases with ``n`` of at least ``least``, and the words of each language (length 0)."""
     sc = dealt.sparkSession.sparkContext
     since = np.full(cells, _NEVER, np.uint8)
-    open_, done = None, []
+    before, open_, done = None, None, []
     for step in range(longest * shards):
         reached = sc.broadcast(_packed(since))
         rows = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
@@ -158,33 +183,33 @@ def frequent_phrases(dealt: DataFrame, least: int, longest: int, shards: int, ce
         if open_ is not None:
             found = found.unionByName(open_)
         found = settle_lean(found.groupBy("h", "length", "begin").agg(F.sum("n").alias("n")))
+        if before is not None:
+            forget(before)
         over = F.col("begin") + shards - 1 <= step
-        done.append(found.filter(over & ((F.col("n") >= least) | (F.col("length") == 0))))
-        open_ = found.filter(~over)
+        done.append(settle(found.filter(over & ((F.col("n") >= least) | (F.col("length") == 0))).select("h", "length", "n")))
+        before, open_ = found, found.filter(~over)
         if step + 1 < longest * shards:
             hit = _bits(found.filter((F.col("n") >= least) & F.col("length").between(1, longest - 1)), cells)
             since = np.where(hit & (since == _NEVER), np.uint8(step), since)
         reached.unpersist()
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    return settle(every.select("h", "length", "n"))
+    forget(before)
+    return settle(reduce(DataFrame.unionByName, done))
 
 
 def _name(wanted, longest: int, batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Names of the phrases whose cells are in ``wanted``, once a task (or once for each ``most`` of them): language, words, and the hashes of their parts."""
+    """Names (hash, language, words) of the phrases whose cells are in ``wanted``, and of the languages, once a task (or once for each ``most`` of them)."""
     cells = _unpacked(wanted)
     seen = UnitTable()
     for b in chunks(batches, limit=_CHUNK, keep=True):
         g = Grams(b, longest)
-        langs = b.column(0).to_pylist()
-        raw = g.buf.tobytes()
+        langs, raw = b.column(0).to_pylist(), g.buf.tobytes()
         for k in range(1, longest + 1):
             if k == 1:  # the languages themselves
                 h, at = np.unique(g.lang, return_index=True)
             else:
                 at = np.flatnonzero(g.ok[k])
-                at = at[cells.take(_cell(g.h[k].take(at), len(cells)))]
+                for part in range(2):
+                    at = at[cells[part].take(_cell(g.h[k].take(at) >> np.uint64(32 * part), cells.shape[1]))]
                 h, first = np.unique(g.h[k].take(at), return_index=True)
                 at = at[first]
             new = seen.find(h) < 0
@@ -195,21 +220,45 @@ def _name(wanted, longest: int, batches: Iterator[pa.RecordBatch], most: int = 2
                 seen = UnitTable()
             seen.add(h, np.zeros(len(h), np.int32), np.zeros(len(h), np.int32))
             if k == 1:
-                lang, phrase, cuts, inner = [langs[a] for a in at.tolist()], [None] * len(h), ([], []), []
+                lang, phrase = [langs[a] for a in at.tolist()], [None] * len(h)
             else:
                 lang = [langs[r] for r in g.row.take(at).tolist()]
                 words = [[raw[a:z].lower() for a, z in zip(g.start.take(at + j).tolist(), g.end.take(at + j).tolist())] for j in range(k)]
                 phrase = list(map(b" ".join, zip(*words)))
-                cuts = [g.h[j].take(at) for j in range(1, k)], [g.h[k - j].take(at + j) for j in range(1, k)]
-                inner = [g.h[j].take(at + i) for j in range(2, k) for i in range(k - j + 1)]
-            lists = []
-            for parts in (*cuts, inner):
-                flat = np.stack(parts, 1).reshape(-1).view(np.int64) if parts else np.zeros(0, np.int64)
-                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * len(parts), pa.int32()), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), *lists], ["h", "lang", "phrase", "left", "right", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())], ["h", "lang", "phrase"])
 
 
-def phrases(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, shards: int = 3, cells: int = 1 << 25, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def _parts(longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each phrase the hashes of the two parts of every cut, and of all shorter phrases inside it."""
+    for b in batches:
+        g = Grams(pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["lang", "text"]), longest)
+        at = np.searchsorted(g.row, np.arange(b.num_rows))
+        size = np.diff(np.append(at, len(g.row)))
+        out: list[list] = [[[] for _ in range(b.num_rows)] for _ in range(3)]
+        for k in range(2, longest + 1):
+            rows = np.flatnonzero(size == k)
+            first = at[rows]
+            cuts = [[g.h[j].take(first) for j in range(1, k)], [g.h[k - j].take(first + j) for j in range(1, k)], [g.h[j].take(first + i) for j in range(2, k) for i in range(k - j + 1)]]
+            for column, parts in zip(out, cuts):
+                for r, x in zip(rows.tolist(), np.stack(parts, 1).view(np.int64).tolist() if parts and len(rows) else [[]] * len(rows)):
+                    column[r] = x
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.list_(pa.int64())) for x in out]], [*b.schema.names, "left", "right", "inner"])
+
+
+def _names(dealt: DataFrame, known: DataFrame, longest: int, shards: int, cells: int) -> DataFrame:
+    """``known`` with language and words.  Each shard names what those before it have not, so nearly all come from the first."""
+    sc, left, named = dealt.sparkSession.sparkContext, known.filter("length <> 1"), []
+    for shard in range(shards):
+        bits = [_bits(left.filter("length > 1").select(F.shiftright("h", 32 * part).alias("h")), cells) for part in range(2)]
+        wanted = sc.broadcast(_packed(np.stack(bits)))
+        rows = dealt.filter(F.col("shard") == shard).select("lang", "text").mapInArrow(lambda batches, w=wanted: _name(w, longest, batches), "h long, lang string, phrase string")
+        named.append(settle_lean(rows.distinct().join(left, "h")))
+        left = settle(left.join(named[-1].select("h"), "h", "left_anti"))
+        wanted.unpersist()
+    return reduce(DataFrame.unionByName, named)
+
+
+def phrases(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, shards: int = 2, cells: int = 1 << 25, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` words of each language.
 
     ``a``: occurrences of the phrase; ``l`` and ``r``: those of its two parts at
@@ -221,10 +270,9 @@ def phrases(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000,
         raise ValueError("longest, shards or cells")
     dealt = _dealt(docs, shards, lang_col, text_col)
     known = frequent_phrases(dealt, least, longest, shards, cells)
-    wanted = docs.sparkSession.sparkContext.broadcast(_packed(_bits(known.filter("length > 1"), cells)))
-    names = dealt.select("lang", "text").mapInArrow(lambda batches: _name(wanted, longest, batches), "h long, lang string, phrase string, left array<long>, right array<long>, inner array<long>")
-    named = settle(names.distinct().join(known.filter("length <> 1"), "h"))
-    found = named.filter("length > 1")
+    named = _names(dealt, known, longest, shards, cells)
+    parted = named.filter("length > 1").select("h", "lang", "phrase", "n")
+    found = settle(parted.mapInArrow(lambda batches: _parts(longest, batches), "h long, lang string, phrase string, n long, left array<long>, right array<long>, inner array<long>"))
     # Cuts: both parts occur as often as the phrase at least, so they are known.
     part = known.filter("length > 0").select(F.col("h").alias("of"), F.col("n").alias("f"))
     cut = found.select("h", F.col("n").alias("a"), F.posexplode(F.arrays_zip("left", "right")).alias("k", "cut")).select("h", "a", "k", "cut.left", "cut.right")
