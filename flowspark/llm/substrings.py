@@ -28,8 +28,6 @@ id and text are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,7 +89,9 @@ PRINT = 7
 
 
 def _narrow(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Non-negative numbers in the fewest bytes that hold them all, and a byte that tells how many."""
+    """Non-negative numbers in the fewest bytes that hold them all (none for zeros), and a byte that tells how many."""
+    if not x.any():
+        return b"0", b""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
     return kind[2].encode(), x.astype(kind).tobytes()
 
@@ -99,23 +99,26 @@ def _narrow(x: np.ndarray) -> tuple[bytes, bytes]:
 def _load(ids, sub, at, size, anchor=None, prints=None) -> bytes:
     """Columns one after the other; ids as steps from one to the next where they ascend."""
     up = len(ids) > 0 and int(ids[0]) >= 0 and bool((ids[1:] >= ids[:-1]).all())
-    cols = [_narrow(np.append(0, np.diff(ids))) if up else (b"r", ids.astype("<i8").tobytes()), _narrow(sub), _narrow(at), _narrow(size)]
+    cols = [_narrow(np.append(0, np.diff(ids))) if up else (b"r", ids.astype("<i8").tobytes()), _narrow(sub[:, 0]), _narrow(sub[:, 1]), _narrow(at), _narrow(size)]
     rest = () if anchor is None else (anchor.tobytes(), np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT]).tobytes())
     return b"".join((int(ids[0] if len(ids) else 0).to_bytes(8, "little", signed=True), *(k for k, _ in cols), *(c for _, c in cols), *rest))
 
 
 def _unload(raw: bytes, n: int, wide: bool):
     """Ids, subs, starts and sizes of ``n`` runs, and without ``wide`` their anchors and the prints of their windows."""
-    first, kinds, at = int.from_bytes(raw[:8], "little", signed=True), raw[8:12].decode(), 12
+    first, kinds, at = int.from_bytes(raw[:8], "little", signed=True), raw[8:13].decode(), 13
 
     def take(kind, m):
         nonlocal at
+        if kind == "<u0":
+            return np.zeros(m, np.uint8)
         got = np.frombuffer(raw, kind, m, at)
         at += got.nbytes
         return got
 
     ids = take("<i8", n) if kinds[0] == "r" else first + np.cumsum(take("<u" + kinds[0], n).astype(np.int64))
-    sub, start, size = take("<u" + kinds[1], n).astype(np.uint32), take("<u" + kinds[2], n).astype(np.int64), take("<u" + kinds[3], n).astype(np.int64)
+    sub = np.stack([take("<u" + kinds[k], n).astype(np.uint64) for k in (1, 2)], 1)
+    start, size = take("<u" + kinds[3], n).astype(np.int64), take("<u" + kinds[4], n).astype(np.int64)
     if wide:
         return ids, sub, start, size
     anchor = take("<u8", n)
@@ -146,7 +149,7 @@ def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
             row, first, place, anchor, h, repeat = _marked(w, ids, n, k)
             if not len(first):
                 continue
-            sub = np.fromiter((zlib.crc32(buf[x:y]) for x, y in zip(offs[:-1], offs[1:])), np.uint32, len(ids)) if subs else np.zeros(len(ids), np.uint32)
+            sub = np.stack([b.column(k).to_numpy().view(np.uint64) for k in (2, 3)], 1) if subs else np.zeros((len(ids), 2), np.uint64)
             # Of windows with one hash, those of the smallest id go out; the rest are known to be repeats.
             out = []
             start, size = _runs(row[repeat], first[repeat])
@@ -175,7 +178,7 @@ def _seeds(buckets: int, n: int, k: int, subs: bool, hot: np.ndarray):
 
 
 def _spans(ids, sub, start, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(sub.astype(np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "sub", "start", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), *[pa.array(np.ascontiguousarray(sub[:, k]).view(np.int64)) for k in (0, 1)], pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "sub1", "sub2", "start", "size"])
 
 
 def _grouped(anchor: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,23 +249,26 @@ def hot_anchors(docs: DataFrame, n: int, k: int, every: int = 64, least: int = 1
 
 
 def repeats(docs: DataFrame, n: int = 13, k: int = 5, docs_per_bucket: int = 1_000, hot_every: int = 64) -> DataFrame:
-    """Runs (id, sub, start, size) of windows, by their first words, that a smaller id has, too; ``docs`` has id (long), text and sub."""
+    """Runs (id, sub1, sub2, start, size) of windows, by their first words, that a smaller id has, too; ``docs`` has id (long), text, sub1 and sub2."""
     count, names = docs.count(), docs.filter("id is not null").select("id").distinct().count()
     buckets = spread(count, docs_per_bucket, 8)
-    seeds = docs.select("id", "text").mapInArrow(_seeds(buckets, n, k, names < count, hot_anchors(docs, n, k, hot_every)), "bucket int, kind int, n int, load binary")
+    seeds = docs.select("id", "text", *(["sub1", "sub2"] if names < count else [])).mapInArrow(_seeds(buckets, n, k, names < count, hot_anchors(docs, n, k, hot_every)), "bucket int, kind int, n int, load binary")
     seeds = seeds.repartition(min(spread(buckets, 2, 4), MOST_PARTS), "bucket").sortWithinPartitions("bucket")
-    return seeds.mapInArrow(_extend, "id long, sub long, start int, size int")
+    return seeds.mapInArrow(_extend, "id long, sub1 long, sub2 long, start int, size int")
 
 
 def substring_dedup(docs: DataFrame, n: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = 1_000, hot_every: int = 64) -> DataFrame:
     """Id, ``n_words``, ``n_removed`` and the ``text`` of the words that are kept, joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     unique = rows.count() == rows.filter("id is not null").select("id").distinct().count()
-    rows = rows.withColumn("sub", F.lit(0).cast("long") if unique else F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    found = repeats(rows, n, k, docs_per_bucket, hot_every).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    found = found.select(F.col("id").alias("_i"), F.col("sub").alias("_s"), "runs").hint("shuffle_hash")
+    # Rows with one id are told apart by 128 bits of their texts; those with one text, too, have the same runs, which count once.
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({"sub1": zero if unique else F.xxhash64("text"), "sub2": zero if unique else F.xxhash64(F.lit("row"), "text")})
+    runs = (F.collect_list if unique else F.collect_set)(F.struct("start", "size"))
+    found = repeats(rows, n, k, docs_per_bucket, hot_every).groupBy("id", "sub1", "sub2").agg(runs.alias("runs"))
+    found = found.select(F.col("id").alias("_i"), F.col("sub1").alias("_s1"), F.col("sub2").alias("_s2"), "runs").hint("shuffle_hash")
     same = F.col("id").eqNullSafe(F.col("_i")) if not unique else F.col("id") == F.col("_i")
-    both = rows.join(found, same & (F.col("sub") == F.col("_s")), "left").select("id", "text", "runs.start", "runs.size")
+    both = rows.join(found, same & (F.col("sub1") == F.col("_s1")) & (F.col("sub2") == F.col("_s2")), "left").select("id", "text", "runs.start", "runs.size")
 
     def cut(batches):
         for b in chunks(batches):
