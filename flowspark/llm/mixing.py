@@ -52,9 +52,10 @@ def word_count(text: Column) -> Column:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    rows = settle(rows.withColumn("salt", salt()))  # narrow: the texts are read once
     # Rows that are alike in id, source and text get a number, so that each has a place of its own.
-    twin = F.row_number().over(Window.partitionBy("id", "source", "h", "size").orderBy("h"))
-    rows = settle(rows.withColumn("h", F.xxhash64("h", "source", twin)))  # narrow: the texts are read once
+    rows = apart(rows, ["id", "source", "h", "size"])
+    rows = settle(rows.withColumn("h", F.xxhash64("h", "source", "twin")).drop("salt", "twin"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, repeats)
     n = spread(rows.count(), 20_000, 16)
@@ -72,8 +73,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     queue = queue.filter(F.col("v") <= (latest * (1 + 1e-9)))
     queue = settle(queue.select("id", "h", "size", "copy", "v").withColumn("t", F.floor(F.col("v") * n * 4)))
     run = running_sum(queue, [], "t", ["v", "h", "id", "copy"], "size", "upto")
-    budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    got = run.join(F.broadcast(budget)).filter("upto <= budget").groupBy("id", "h").agg(F.count(F.lit(1)).alias("got"))
+    budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    got = run.filter(F.col("upto") <= budget).groupBy("id", "h").agg(F.count(F.lit(1)).alias("got"))
     got = got.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "got")
     out = cum.join(got, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left").withColumn("copies", F.coalesce("got", F.lit(0)))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_hash")
@@ -84,17 +85,44 @@ def _few(goal: DataFrame, most: int = 100_000) -> bool:
     return len(goal.limit(most + 1).select(F.lit(1)).collect()) <= most
 
 
+def salt(ways: int = 1024) -> Column:
+    """A number that spreads rows that are alike; use it on rows that are settled with it."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("long")
+
+
+def apart(rows: DataFrame, keys: list[str], first: Column | None = None) -> DataFrame:
+    """``rows`` (settled, with ``salt``) with ``twin``: 1 and up among rows with equal ``keys``, in the order of the number ``first``.
+
+    Numbers are taken in two levels, so no key is in one task.
+    """
+    held = [f"_{k}" for k in keys]
+    often = rows.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, held)]).agg(F.count(F.lit(1)).alias("_often")).filter("_often > 1").drop("_often")
+    often = settle(often)
+    if often.isEmpty():
+        return rows.withColumn("twin", F.lit(1).cast("long"))
+    on = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held)]
+    bucket = F.col("salt") if first is None else F.pmod(first, F.lit(64)) * 1024 + F.col("salt")
+    some = rows.join(often, on, "left_semi").withColumns({"_bucket": bucket, "_one": F.lit(1)})
+    some = running_sum(some, keys, "_bucket", ["_bucket"], "_one", "twin").drop("_bucket", "_one")
+    return rows.join(often, on, "left_anti").withColumn("twin", F.lit(1).cast("long")).unionByName(some)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it, with all its columns; rows of size 0 go.
+    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it, with all its columns, whatever their names; rows of size 0 go.
 
     Rows alike in id, text and source share what is taken of them evenly.
     """
-    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col(source_col).alias("_so")).agg(F.sum("copies").cast("int").alias("_n"), F.count(F.lit(1)).cast("int").alias("_rows"))
-    plan = settle(plan.filter("_n > 0"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    both = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")) & F.col(source_col).eqNullSafe(F.col("_so")))
-    if not plan.filter("_rows > 1").isEmpty():  # a sort less where there are none
-        place = F.row_number().over(Window.partitionBy("_id", "_th", "_so").orderBy(*[c for c in docs.columns if c not in (id_col, text_col, source_col)] or ["_id"]))
-        both = both.withColumn("_place", place).withColumn("_n", F.floor(F.col("_n") / F.col("_rows")).cast("int") + (F.col("_place") <= F.col("_n") % F.col("_rows")).cast("int")).filter("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*own)
+    id_, text, source = (own[docs.columns.index(c)] for c in (id_col, text_col, source_col))
+    plan = mix_sources(rows, id_col=id_, text_col=text, source_col=source, **options)
+    plan = plan.groupBy(F.col(id_).alias("id"), F.col("text_hash").alias("hash"), F.col(source).alias("of")).agg(F.sum("copies").cast("long").alias("n"), F.count(F.lit(1)).alias("rows"))
+    plan = settle(plan.filter("n > 0"))
+    both = rows.withColumn("key", F.xxhash64(text)).join(plan, F.col(id_).eqNullSafe(F.col("id")) & (F.col("key") == F.col("hash")) & F.col(source).eqNullSafe(F.col("of")))
+    copies = both.filter("rows = 1")
+    if not plan.filter("rows > 1").isEmpty():
+        shared = settle(both.filter("rows > 1").withColumn("salt", salt()))
+        shared = apart(shared, ["id", "hash", "of"], F.xxhash64(*own))
+        share = F.floor(F.col("n") / F.col("rows")).cast("long") + (F.col("twin") <= F.col("n") % F.col("rows")).cast("long")
+        copies = copies.unionByName(shared.withColumn("n", share).filter("n > 0").select(*copies.columns))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*own).toDF(*docs.columns)
