@@ -79,7 +79,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048, cut: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (id, piece, start, length, ids_crc32) of all texts."""
+    """Pieces (id, piece, start, length, ids_crc32, and a salt) of all texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut_up(batches):
@@ -94,27 +94,26 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048,
             length = np.minimum(size, counts[row] - start)
             place = (np.cumsum(counts) - counts)[row] + start
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(place.tolist(), length.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(len(row)) % 1024)], ["id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut_up, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(cut_up, f"id {kind}, piece int, start long, length long, ids_crc32 long, salt long")
 
 
-def pack(pieces: DataFrame, size: int = 2048, few: int = 1_000_000) -> DataFrame:
-    """``pieces`` (a settled table with ``length``, 1 to ``size``) with ``sequence_id`` and ``offset``."""
+def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
+    """``pieces`` (a settled table with ``length``, 1 to ``size``, and ``salt``, which spreads equal pieces) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset", "salt")]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     places = plan(counts, size)
     table = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "_len long, _from long, _to long, _first long, offset long")
     n = spread(sum(counts.values()), 20_000, 16)
-    rows = pieces.select(*keep).withColumn("_b", F.pmod(F.xxhash64(*keep), F.lit(n)).cast("long"))
+    rows = pieces.withColumn("_b", F.pmod(F.xxhash64(*keep, "salt"), F.lit(n)).cast("long"))
     ranked = running_sum(rows.withColumn("_one", F.lit(1)), ["length"], "_b", keep, "_one", "_rank").withColumn("_rank", F.col("_rank") - 1)
-    if len(places) <= few:  # else the join deals both sides out by length
-        table = F.broadcast(table)
+    table = F.broadcast(table)  # some intervals for each pair of a length and a gap: at most size x size, whatever the input
     fits = (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return ranked.join(table, fits).select(*keep, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 2048, **options) -> DataFrame:
-    return pack(settle(token_pieces(docs, path, size=size, **options)), size)
+def pack_documents(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", **options) -> DataFrame:
+    return pack(settle(token_pieces(docs, path, size=size, id_col=id_col, **options)), size).withColumnRenamed("id", id_col)
