@@ -334,11 +334,17 @@ def _segments(coder: Encoder, end_id: int, batches: Iterator[pa.RecordBatch], mo
         yield np.concatenate(ids), np.concatenate(counts), names
 
 
+#: Parts of a set of files at most; beyond that each holds more segments.
+MOST_PARTS = 10_000
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, cut: str = "byte", docs_per_part: int = 6_000, most: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, in ascending id order, as segments of about ``most`` ids under ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = spread(docs.count(), docs_per_part)
-    rows = rows.repartitionByRange(parts, F.col("id")).sortWithinPartitions("id", F.xxhash64("text")) if parts > 1 else rows.coalesce(1).sortWithinPartitions("id", F.xxhash64("text"))
+    parts = min(spread(docs.count(), docs_per_part), MOST_PARTS)
+    by = ["id", F.xxhash64("text")]
+    apart = F.pmod(F.monotonically_increasing_id(), F.lit(1024))  # rows alike in id and text may go to several parts
+    rows = rows.repartitionByRange(parts, *by, apart).sortWithinPartitions(*by) if parts > 1 else rows.coalesce(1).sortWithinPartitions(*by)
 
     def write(batches):
         from pyspark import TaskContext
