@@ -77,9 +77,14 @@ def _packed(df: DataFrame, id_col: str, vec_col: str, scale: int, each: int) ->
             start = np.cumsum(sizes) - sizes
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                x = np.floor(scale * flat[start[at][:, None] + np.arange(dim)]) if dim else np.zeros((len(at), 0))
+                given = flat[start[at][:, None] + np.arange(dim)] if dim else np.zeros((len(at), 0))
+                whole = np.isfinite(given).all(axis=1)
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * given)
                 top = np.abs(x).max(axis=1, initial=0)
-                for large, some in ((False, top < LARGE), (True, np.isfinite(top) & (top >= LARGE))):
+                if np.isinf(top[whole]).any():
+                    raise OverflowError(f"a component times {scale} is beyond what a double holds")
+                for large, some in ((False, whole & (top < LARGE)), (True, whole & (top >= LARGE))):
                     if some.any():
                         held.setdefault((dim, large), []).append((ids[at[some]], np.zeros((int(some.sum()), 2)), x[some]))
                         if sum(len(p[0]) for p in held[dim, large]) >= each:
