@@ -39,20 +39,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     (the least by its other columns); rows without words are in no group.
     """
     small_batches(spark)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = keyed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
-    found = jaccard_join(keyed, id_col="_key").filter("n_shingles > 0").select("_key", "component_id").distinct()
-    found = settle(found.join(rows, F.col("_key") == F.col("_of")).drop("_key"))
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("_first")
-    groups = found.groupBy(F.col("component_id").alias("_group")).agg(first, F.sum("_rows").alias("_all")).filter("_all > 1").select("_group", "_first._id", "_first._of")
-    stays = F.col("f._id").eqNullSafe(F.col("g._id")) & (F.col("f._of") == F.col("g._of"))
-    fate = found.alias("f").join(groups.alias("g"), F.col("component_id") == F.col("_group")).select("f._id", "f._of", "_rows", stays.alias("_stays"))
-    fate = settle(fate.filter("not _stays or _rows > 1"))
-    same = (F.col("_key") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = keyed.join(fate, same, "left_anti").select(*docs.columns)
-    often = keyed.join(fate.filter("_stays"), same, "left_semi")
-    once = often.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.unionByName(once)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    id_, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = docs.toDF(*own).withColumn("key", F.xxhash64(id_, text))
+    rows = keyed.groupBy(F.col(id_).alias("id"), F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    found = jaccard_join(keyed, id_col="key", text_col=text).filter("n_shingles > 0").select("key", "component_id").distinct()
+    found = settle(found.join(rows, F.col("key") == F.col("of")).drop("key"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "of")).alias("first")
+    groups = found.groupBy(F.col("component_id").alias("group")).agg(first, F.sum("rows").alias("all")).filter("all > 1").select("group", "first.id", "first.of")
+    stays = F.col("f.id").eqNullSafe(F.col("g.id")) & (F.col("f.of") == F.col("g.of"))
+    fate = found.alias("f").join(groups.alias("g"), F.col("component_id") == F.col("group")).select("f.id", "f.of", "rows", stays.alias("stays"))
+    fate = settle(fate.filter("not stays or rows > 1"))
+    same = (F.col("key") == F.col("of")) & F.col(id_).eqNullSafe(F.col("id"))
+    kept = keyed.join(fate, same, "left_anti").select(*own)
+    often = keyed.join(fate.filter("stays"), same, "left_semi")
+    once = often.groupBy(id_, "key").agg(F.min(F.struct(*own)).alias("row")).select("row.*")
+    return kept.unionByName(once).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
