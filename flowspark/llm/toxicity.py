@@ -150,7 +150,8 @@ def hits(lex: Lexicon, buf: np.ndarray, offs: np.ndarray, context: int = 6) -> n
 
 
 def signals(h: np.ndarray) -> np.ndarray:
-    total = h[:, :3].sum(1)
+    """What the score weighs.  The rate is that of open hits: quoted ones have a weight of their own, 0 unless labelled rows quote."""
+    total = h[:, :2].sum(1)
     return np.column_stack([np.ones(len(h)), np.log1p(h[:, 0]), np.log1p(h[:, 1]), np.log1p(h[:, 2]), np.minimum(100 * total / np.maximum(h[:, 3], 1), 10)])
 
 

@@ -62,6 +62,20 @@ def test_mixing(spark, odd, odd_rows, empty):
     assert mix_sources(empty).count() == 0 and mixed(empty).count() == 0
 
 
+def test_alike_rows_and_clashing_names(spark):
+    """A third of the rows alike, and columns with the names that operators use inside: whole rows come back."""
+    from flowspark.llm.mixing import mix_sources, mixed
+
+    names = ["doc_id", "text", "source", "id", "key", "hash", "of", "n", "rows", "twin", "salt", "copy", "_key", "_id", "_n", "c0", "size", "taken"]
+    rows = [(None, "same words here", "hot", *(f"{c}-{k % 3}" for c in names[3:])) for k in range(120)] + [(k, f"own words {k}", f"s{k % 3}", *(f"{c}-{k}" for c in names[3:])) for k in range(240)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names)).repartition(4)
+    got, plan = Counter(map(tuple, mixed(df).collect())), mix_sources(df).collect()
+    assert set(got) <= set(rows) and sum(got.values()) == sum(r.copies for r in plan)
+    hot = sorted(n for r, n in got.items() if r[2] == "hot")
+    assert sum(hot) == sum(r.copies for r in plan if r.source == "hot") and hot[-1] - hot[0] <= 40
+    assert sorted(map(str, plan)) == sorted(map(str, mix_sources(df.repartition(7)).collect()))
+
+
 def test_mixing_levels(spark):
     from flowspark.llm.mixing import targets
 
@@ -107,6 +121,26 @@ def test_substrings(spark, odd, odd_rows, empty, unique):
     assert substring_dedup(empty).count() == 0
 
 
+def test_rows_of_one_id_with_one_crc32(spark):
+    """Two null-id rows whose texts differ and have one crc32: only the row that repeats a document loses words."""
+    import zlib
+
+    from flowspark.llm.substrings import substring_dedup
+
+    shared, own = " ".join(f"w{k}" for k in range(13)), " ".join(f"v{k}" for k in range(13))
+    rng, seen, twin = random.Random(1), {}, None
+    for _ in range(300_000):
+        t = f"{shared} {rng.getrandbits(80):x}"
+        seen[zlib.crc32(t.encode())] = t
+    while not twin:
+        other = f"{own} {rng.getrandbits(80):x}"
+        twin = seen.get(zlib.crc32(other.encode()))
+    rows = [(1, shared, "s"), (None, twin, "s"), (None, other, "s")] + [(None, f"{shared} again", "s")] * 20
+    got = [tuple(r) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted(got, key=key) == sorted(brute_repeats(rows, 13), key=key)
+
+
 def test_a_phrase_in_every_document_is_no_repeat(spark):
     """60,000 documents share five words only; all windows over them differ."""
     from pyspark.sql import functions as F
@@ -441,6 +475,21 @@ def test_quotation_and_scores(spark, odd, odd_rows, empty):
     assert {r.score for r in score_toxicity(odd, none).collect()} == {0.0}
 
 
+def test_quotation_is_no_abuse(spark):
+    """The same words, in the open and reported, by a model of the labels of sf0.1, none of which quote."""
+    from flowspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs.select("doc_id", "text"), labels)
+    a, b = sorted(w for w, n in ((w, model.lexicon.match(w)) for r in docs.join(labels.filter("toxic = 1"), "doc_id").limit(50).collect() for w in r.text.lower().split()) if n == 1 and w.isalpha())[:2]
+    prose = "They went along the river and spoke of the weather until the evening came. " * 3
+    rows = [(1, prose), (2, f'{prose}He said "you {a} and {b}" and left.'), (3, f"{prose}You {a} and {b} all the way {a}."), (4, f'{prose}The word "{a}" is old. {prose}You {a} and {b} all the way {a}.')]
+    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[2].n_quoted == 2 and got[2].n_plain == 0 and got[2].score == pytest.approx(got[1].score) and got[2].score < 0.5
+    assert got[3].score > 0.5 and got[4].score > 0.5
+
+
 def test_short_lexicon_words_and_many_ordinary_ones(spark):
     from flowspark.llm.toxicity import Lexicon, fit_toxicity
 
