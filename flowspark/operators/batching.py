@@ -41,7 +41,7 @@ class Limits:
 class _Ranges:
     """What is known of each range: a row for each, whatever the number of items."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, start: int | None):
         known = F.col("_us").isNotNull()
         seen = rows.groupBy("_part").agg(
             F.count(F.lit(1)).alias("n"),
@@ -54,7 +54,7 @@ class _Ranges:
         self.place = {r["_part"]: k for k, r in enumerate(seen)}
         self.rows = np.cumsum([0, *[r["n"] for r in seen]])
         self.sizes = np.cumsum([0, *[int(r["size"]) for r in seen]])
-        before = next((r["first"] for r in seen if r["first"] is not None), 0)
+        before = start if start is not None else next((r["first"] for r in seen if r["first"] is not None), 0)
         carried = []
         for r in seen:  # a null instant is the one before it, at the start the first known one
             carried.append(before)
@@ -180,11 +180,11 @@ def _entries(links: DataFrame, n: int, walk_limit: int) -> dict[int, int]:
     return {r["_at"]: r["_y"] for r in links.join(seen, "_src", "left_semi").collect()}
 
 
-def batch_starts(rows: DataFrame, limits: Limits, walk_limit: int = 200_000) -> DataFrame:
-    """(``_p``, ``_i``): range and place of the first item of each batch, for settled ``rows`` with ``_part``, ``_place``, ``_size`` (not negative) and ``_us`` (may be null)."""
+def batch_starts(rows: DataFrame, limits: Limits, walk_limit: int = 200_000, start: int | None = None) -> DataFrame:
+    """``start``: the instant before the first row.  Gives (``_p``, ``_i``): range and place of the first item of each batch, for settled ``rows`` with ``_part``, ``_place``, ``_size`` (not negative) and ``_us`` (may be null)."""
     spark = rows.sparkSession
     thin = rows.select("_part", "_place", "_size", "_us")
-    ranges = _Ranges(thin)
+    ranges = _Ranges(thin, start)
     if not len(ranges):
         return spark.createDataFrame([], "_p int, _i long")
     known = spark.createDataFrame([(int(p), k) for p, k in ranges.place.items()], "_of int, _at int")

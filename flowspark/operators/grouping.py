@@ -83,8 +83,8 @@ def steady(df: DataFrame, order: list[str], clock: str) -> bool:
     return not any(r["back"] for r in seen) and all(a["hi"] <= b["lo"] for a, b in zip(seen, seen[1:]))
 
 
-def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Column | None = None, clock: str | None = None) -> DataFrame:
-    """``df`` with ``batch_id``, from 0.
+def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Column | None = None, clock: str | None = None, start: int | None = None) -> DataFrame:
+    """``df`` with ``batch_id``, from 0; ``start`` is the instant (microseconds) before the first row, if one is known.
 
     Items alone: arithmetic on the row number.  Else each range of rows finds
     where batches begin, see :mod:`flowspark.operators.batching`.  A null clock
@@ -97,7 +97,7 @@ def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Co
     us = F.unix_micros(F.col(clock).cast("timestamp")) if age is not None else F.lit(None)
     bytes_ = F.greatest(F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long"), F.lit(0))
     rows = _ranged(df.withColumns({"_size": bytes_, "_us": us.cast("long")}), order)
-    starts = settled(batch_starts(rows, Limits(policy.items_limit, policy.bytes_limit, age)))
+    starts = settled(batch_starts(rows, Limits(policy.items_limit, policy.bytes_limit, age), start=start))
     parts = starts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_p", "_q")
     every = rows.select(F.col("_part").alias("_p")).distinct().join(parts, F.col("_p") == F.col("_q"), "left").drop("_q")
     base = _before(every, "_base", F.sum("_n"), F.lit(0).cast("long")).withColumnRenamed("_p", "_q")

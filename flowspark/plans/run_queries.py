@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import queue
 import threading
 import uuid
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError, StageError
 from ..functions.shared import settled, shared_dir
 from ..operators.grouping import numbered
+from ..operators.stages import Stage
 from ..policies import BatchPolicy, ErrorPolicy, LineOverflow, WindowPolicy
 from ..sinks import ChannelSink, FnSink, NullSink, TableSink, TeeSink, VecSink, WriterSink
 from ..sources import ByteLinesSource, ChainSource, ChannelSource, FnSource, IterSource, ReaderSource, TableSource
-from ..streaming import Step, StepRunner, StreamWindows
+from ..streaming import Step, StepRunner, StreamBatches, StreamStage, StreamWindows
 from .pipe import Pipe, ThreadedDriver
-from .queries import _K, _cents, _events, _n, _parsed, _session, _table, _tumbling
+from .queries import _K, _cents, _events, _greedy, _n, _parsed, _session, _table, _tumbling
 
 #: Rows that the sources on the driver read: fixed values.
 WORDS = (("alpha", 3), ("beta", 1), ("gamma", 2))
@@ -244,6 +246,46 @@ def stream_session_keyed(spark, d):
     return _streamed(spark, d, WindowPolicy.session(timedelta(hours=6)), ["user_id"])
 
 
+def stream_batches(spark, d):
+    """Batches by count and age over four micro-batches: those of the table."""
+    out, state = _folder(spark), _folder(spark)
+    schema = _table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value").schema
+    policy = BatchPolicy().max_items(10).max_age(timedelta(hours=1))
+    batches = StreamBatches(spark, state, schema, ["event_id"], policy, clock="ts", aggregates=(_n(), F.min("event_id").alias("first"), F.sum(_cents()).alias("cents")), emit=lambda df, no: df.write.mode("append").parquet(out))
+    for no, part in enumerate(_slices(spark, d)):
+        batches(part, no)
+    batches.finish()
+    return spark.read.parquet(out).select("batch_id", "n", "first", "cents")
+
+
+class _Visits(Stage):
+    """Per key: each row with the number and the sum so far, and a last row for the whole stream."""
+
+    def __init__(self):
+        self.n = self.cents = 0
+
+    def process(self, row):
+        self.n, self.cents = self.n + 1, self.cents + math.floor(row["value"] * 100)
+        yield {"event_id": row["event_id"], "n": self.n, "cents": self.cents}
+
+    def flush(self):
+        yield {"event_id": None, "n": self.n, "cents": self.cents}
+
+
+def stream_stage(spark, d):
+    """A custom stage for each user over four micro-batches, begun anew from its state before each."""
+    out, state = _folder(spark), _folder(spark)
+    schema = _table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value").schema
+
+    def stage():
+        return StreamStage(spark, state, schema, ["event_id"], _Visits(), "event_id long, n long, cents long", ["user_id"], lambda df, no: df.write.mode("append").parquet(out))
+
+    for no, part in enumerate(_slices(spark, d)):
+        stage()(part, no)
+    stage().finish()
+    return spark.read.parquet(out).select("user_id", "event_id", "n", "cents")
+
+
 def stream_steps(spark, d):
     """Three files: a step takes the first, and ``finish`` the rest."""
     path, out, checkpoint = _folder(spark), _folder(spark), _folder(spark)
@@ -258,7 +300,7 @@ def stream_steps(spark, d):
     return settled(spark.read.parquet(out).select("s_suppkey", "taken_by"))
 
 
-QUERIES = {f.__name__: f for f in (iter_source, from_iter, channel_source, fn_source, chain_source, byte_lines, line_overflow_skip, line_overflow_error, utf8_lossy, tee_sink, writer_sink, vec_sink, fn_sink, channel_sink, fail_fast, dead_letter_sink, run_drivers, events_observed, config_errors, stream_tumbling, stream_tumbling_keyed, stream_session_keyed, stream_steps)}
+QUERIES = {f.__name__: f for f in (iter_source, from_iter, channel_source, fn_source, chain_source, byte_lines, line_overflow_skip, line_overflow_error, utf8_lossy, tee_sink, writer_sink, vec_sink, fn_sink, channel_sink, fail_fast, dead_letter_sink, run_drivers, events_observed, config_errors, stream_tumbling, stream_tumbling_keyed, stream_session_keyed, stream_batches, stream_stage, stream_steps)}
 
 _VALUES = "(VALUES (CAST(0 AS BIGINT), 'alpha', CAST(3 AS BIGINT)), (1, 'beta', 1), (2, 'gamma', 2)) v(seq, word, n)"
 _LINE = "doc_id || coalesce(chr(9) || regexp_replace(text, '[\\r\\n]', ' ', 'g'), '')"
@@ -289,5 +331,9 @@ ORACLE_SQL = {
     "stream_tumbling": _tumbling("1 HOUR"),
     "stream_tumbling_keyed": _tumbling("6 HOUR", "event_type,"),
     "stream_session_keyed": _session("6 HOUR", "user_id,"),
+    "stream_batches": _greedy("", "events", "CAST(floor(value * 100) AS BIGINT)", "(w.c >= 10 OR w.t - w.opened >= 3600000000)", "event_id", "epoch_us(ts)", "min(id) AS first, CAST(sum(size) AS BIGINT) AS cents"),
+    "stream_stage": """WITH e AS (SELECT event_id, user_id, CAST(floor(value * 100) AS BIGINT) AS c FROM events)
+        SELECT user_id, event_id, row_number() OVER w AS n, CAST(sum(c) OVER w AS BIGINT) AS cents FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+        UNION ALL SELECT user_id, NULL, count(*), CAST(sum(c) AS BIGINT) FROM e GROUP BY user_id""",
     "stream_steps": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'step' ELSE 'finish' END AS taken_by FROM supplier",
 }

@@ -1,4 +1,6 @@
+from .batches import StreamBatches
+from .stages import StreamStage
 from .steps import Step, StepRunner
-from .windows import StreamWindows, idle_for
+from .windows import StreamWindows
 
-__all__ = ["Step", "StepRunner", "StreamWindows", "idle_for"]
+__all__ = ["Step", "StepRunner", "StreamBatches", "StreamStage", "StreamWindows"]

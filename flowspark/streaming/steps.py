@@ -9,7 +9,6 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import Cancelled, Closed, StageError
-from .windows import StreamWindows, idle_for
 
 
 class Step(Enum):
@@ -89,8 +88,8 @@ class StepRunner:
     def tick(self, instant: datetime | None = None) -> None:
         """Let the body see that time has passed: to ``instant``, or by the idle time."""
         self._open()
-        if isinstance(self.body, StreamWindows):
-            self.body.tick(instant) if instant is not None else idle_for(self.body, self.idle or timedelta(0))
+        if instant is None and hasattr(self.body, "idle"):
+            self.body.idle(self.idle or timedelta(0))
         elif hasattr(self.body, "tick"):
             self.body.tick(instant)
         else:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..errors import StageError
 from ..operators import grouping
 from ..policies import WindowPolicy, WindowSpec, micros
+from .state import StateLog, Version
 
-_META = "no long, anchor long, now long"
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -34,7 +34,7 @@ class StreamWindows:
     """
 
     def __init__(self, spark: SparkSession, state: str, schema, order: list[str], clock: str, spec: WindowPolicy | WindowSpec, keys: list[str] = (), aggregates: tuple[Column, ...] = (), emit: Callable[[DataFrame, int], None] = lambda df, no: None):
-        self.spark, self.state, self.order, self.clock, self.keys = spark, state.rstrip("/"), list(order), clock, list(keys)
+        self.spark, self.log, self.order, self.clock, self.keys = spark, StateLog(spark, state), list(order), clock, list(keys)
         self.spec, self.aggregates, self.emit = WindowSpec.of(spec), aggregates, emit
         self.spec.validate("window")
         self.schema = spark.createDataFrame([], schema).schema
@@ -42,30 +42,23 @@ class StreamWindows:
 
     # -- state ----------------------------------------------------------------
 
-    def _meta(self, before: int | None = None):
-        """The newest record, or the newest before a micro-batch; None at the start."""
-        rows = self._read("meta", _META)
-        if rows is None:
-            return None
-        rows = rows if before is None else rows.filter(F.col("no") < before)
-        return rows.orderBy(F.desc("no")).first()
-
-    def _read(self, name: str, schema) -> DataFrame | None:
-        """A table under ``state``, or None if it is not there yet."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.schema(schema).parquet(f"{self.state}/{name}")
-
-    def _open_rows(self, meta) -> DataFrame:
+    def _open_rows(self, version: Version | None) -> DataFrame:
         kept = [*self.schema.fields, type(self.schema.fields[0])("at", self.schema[self.clock].dataType)]
-        empty = self.spark.createDataFrame([], type(self.schema)(kept))
-        return empty if meta is None else self._read(f"rows-{meta['no']}", empty.schema)
+        schema = type(self.schema)(kept)
+        return self.spark.createDataFrame([], schema) if version is None else self.log.read(version, "open", schema)
+
+    def _sent(self, version: Version | None) -> None:
+        """What the version closed goes out, if it has not yet."""
+        if version is not None and not version.emitted:
+            self.emit(self.spark.read.parquet(f"{self.log.path}/{version.name}/closed"), version.no)
+            self.log.done(version)
 
     # -- running ---------------------------------------------------------------
 
     def __call__(self, df: DataFrame, no: int) -> None:
-        meta = self._meta(no)
+        base = self.log.latest(no)
+        self._sent(base)
+        meta = base.record if base else None
         us = F.unix_micros(F.col(self.clock).cast("timestamp"))
         first = df.agg(F.min_by(us, F.struct(*self.order))).first()[0]
         if first is None:
@@ -74,37 +67,34 @@ class StreamWindows:
         if meta is not None:
             rows = rows.withColumn("at", F.greatest("at", self._instant(F.lit(meta["now"]))))
         now = rows.agg(F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()[0]
-        self._step(self._open_rows(meta).unionByName(rows.select(*self.columns, "at")), meta, meta["anchor"] if meta is not None else first, now, no)
+        anchor = meta["anchor"] if meta is not None else first
+        closed, left = self._parted(self._open_rows(base).unionByName(rows.select(*self.columns, "at")), anchor, None if meta is None else meta["now"], now)
+        self._keep(no, closed, left, anchor, now)
 
     def tick(self, instant: datetime) -> None:
         """Time has come to ``instant`` without rows."""
-        meta = self._meta()
-        if meta is not None and (now := micros(instant - _EPOCH)) > meta["now"]:
-            closed, left = self._parted(self._open_rows(meta), meta["anchor"], meta["now"], now)
-            self.emit(closed, meta["no"])
-            self._keep(left, meta["anchor"], now, meta["no"])
+        base = self.log.latest()
+        self._sent(base)
+        if base is not None and (now := micros(instant - _EPOCH)) > base.record["now"]:
+            closed, left = self._parted(self._open_rows(base), base.record["anchor"], base.record["now"], now)
+            self._keep(base.no, closed, left, base.record["anchor"], now)
+
+    def idle(self, wait: timedelta) -> None:
+        """Time has gone on by ``wait`` past the last row or tick."""
+        base = self.log.latest()
+        if base is not None:
+            self.tick(_EPOCH + timedelta(microseconds=base.record["now"]) + wait)
 
     def finish(self) -> None:
         """Close what is open."""
-        meta = self._meta()
-        if meta is not None:
-            closed, left = self._parted(self._open_rows(meta), meta["anchor"], meta["now"], None)
-            self.emit(closed, meta["no"])
-            self._keep(left, meta["anchor"], meta["now"], meta["no"])
-
-    def _step(self, rows: DataFrame, meta, anchor: int, now: int, no: int) -> None:
-        closed, left = self._parted(rows, anchor, None if meta is None else meta["now"], now)
-        self._keep(left, anchor, now, no)
-        self.emit(closed, no)
-
-    def _keep(self, rows: DataFrame, anchor: int, now: int, no: int) -> None:
-        rows = grouping.settled(rows)  # it may be read from the table that it replaces
-        rows.write.mode("overwrite").parquet(f"{self.state}/rows-{no}")
-        old = self._read("meta", _META)
-        meta = self.spark.createDataFrame([(no, anchor, now)], _META)
-        if old is not None:
-            meta = meta.union(grouping.settled(old.filter(F.col("no") != no)))
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{self.state}/meta")
+        base = self.log.latest()
+        self._sent(base)
+        if base is not None:
+            closed, left = self._parted(self._open_rows(base), base.record["anchor"], base.record["now"], None)
+            self._keep(base.no, closed, left, base.record["anchor"], base.record["now"])
+
+    def _keep(self, no: int, closed: DataFrame, left: DataFrame, anchor: int, now: int) -> None:
+        self._sent(self.log.keep(no, {"closed": closed, "open": left}, {"anchor": anchor, "now": now}))
 
     def _instant(self, us: Column) -> Column:
         return F.timestamp_micros(us).cast(self.schema[self.clock].dataType)
@@ -134,10 +124,3 @@ class StreamWindows:
         step, past = micros(policy.step or policy.size), us("at") - F.lit(anchor)
         last = F.lit(anchor) + past - F.pmod(past, F.lit(step)) + F.lit(micros(policy.size))  # the end of a row's last window
         return closed, rows.filter(last > now)
-
-
-def idle_for(windows: StreamWindows, wait: timedelta) -> None:
-    """One idle tick: time goes on by ``wait`` past the last row."""
-    meta = windows._meta()
-    if meta is not None:
-        windows.tick(_EPOCH + timedelta(microseconds=meta["now"]) + wait)
