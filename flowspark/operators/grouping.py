@@ -63,18 +63,24 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.sum(value).over(_upto())).drop("_part", "_place", "_p", "_base")
 
 
+def _instant(first, df: DataFrame, clock: str) -> Column:
+    """The first known instant, for rows before it; where none is known, the epoch."""
+    return F.coalesce(F.lit(first), F.timestamp_micros(F.lit(0))).cast(df.schema[clock].dataType)
+
+
 def clamped(df: DataFrame, order: list[str], clock: str, name: str = "at") -> DataFrame:
-    """``df`` with ``name``: the running maximum of ``clock`` along ``order``; time never runs back."""
+    """``df`` with ``name``: the running maximum of ``clock`` along ``order``; time never runs back, and stands still at nulls."""
     rows = _ranged(df, order)
     parts = rows.groupBy(F.col("_part").alias("_p")).agg(F.max(clock).alias("_m"))
     base = _before(parts, "_base", F.max("_m"), F.lit(None))
-    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.greatest(F.max(clock).over(_upto()), "_base")).drop("_part", "_place", "_p", "_base")
+    first = rows.agg(F.min_by(clock, F.when(F.col(clock).isNotNull(), F.struct("_part", "_place")))).first()[0]  # for nulls before any instant
+    return rows.join(base, F.col("_part") == F.col("_p")).withColumn(name, F.coalesce(F.greatest(F.max(clock).over(_upto()), "_base"), _instant(first, df, clock))).drop("_part", "_place", "_p", "_base")
 
 
 def steady(df: DataFrame, order: list[str], clock: str) -> bool:
     """Whether ``clock`` is never null and never runs back along ``order``; reads those columns only."""
     if order[0] == clock:
-        return True
+        return df.filter(F.col(clock).isNull()).isEmpty()
     rows = _ranged(df.select(*order, F.col(clock).alias("_c")), order)
     back = F.col("_c") < F.lag("_c").over(Window.partitionBy("_part").orderBy("_place"))
     rows = rows.withColumn("_back", F.coalesce(back, F.lit(False)) | F.col("_c").isNull())
@@ -84,26 +90,29 @@ def steady(df: DataFrame, order: list[str], clock: str) -> bool:
 
 
 def with_batch_id(df: DataFrame, order: list[str], policy: BatchPolicy, size: Column | None = None, clock: str | None = None, start: int | None = None) -> DataFrame:
-    """``df`` with ``batch_id``, from 0; ``start`` is the instant (microseconds) before the first row, if one is known.
+    """``df`` with the batch's number (``BATCH``), from 0; ``start`` is the instant (microseconds) before the first row, if one is known.
 
     Items alone: arithmetic on the row number.  Else each range of rows finds
     where batches begin, see :mod:`flowspark.operators.batching`.  A null clock
     is the instant before it; a null size is 0.
     """
+    shield = _Shield(df)
+    order, given = shield.to(*order), df
+    clock = None if clock is None else shield.to(clock)[0]
     if policy.bytes_limit is None and policy.age_limit is None:
-        rows = numbered(df, order, "_no")
-        return rows.withColumn("batch_id", F.floor(F.col("_no") / policy.items_limit).cast("long")).drop("_no")
+        rows = numbered(shield.df, order, "_no")
+        return shield.back(rows.withColumn(BATCH, F.floor(F.col("_no") / policy.items_limit).cast("long")).drop("_no"))
     age = None if policy.age_limit is None else min(micros(policy.age_limit), _EVER)
     us = F.unix_micros(F.col(clock).cast("timestamp")) if age is not None else F.lit(None)
-    bytes_ = F.greatest(F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long"), F.lit(0))
-    rows = _ranged(df.withColumns({"_size": bytes_, "_us": us.cast("long")}), order)
+    sized = given.withColumn("__size", F.greatest(F.coalesce(size if size is not None else F.lit(0), F.lit(0)).cast("long"), F.lit(0))).withColumnsRenamed(shield.names)
+    rows = _ranged(sized.withColumnRenamed("__size", "_size").withColumn("_us", us.cast("long")), order)
     starts = settled(batch_starts(rows, Limits(policy.items_limit, policy.bytes_limit, age), start=start))
     parts = starts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_p", "_q")
     every = rows.select(F.col("_part").alias("_p")).distinct().join(parts, F.col("_p") == F.col("_q"), "left").drop("_q")
     base = _before(every, "_base", F.sum("_n"), F.lit(0).cast("long")).withColumnRenamed("_p", "_q")
     flagged = rows.join(starts, (F.col("_part") == F.col("_p")) & (F.col("_place") == F.col("_i")), "left")
     counted = flagged.join(base, F.col("_part") == F.col("_q"))
-    return counted.withColumn("batch_id", (F.col("_base") + F.count("_i").over(_upto()) - 1).cast("long")).drop("_part", "_place", "_size", "_us", "_p", "_i", "_q", "_base")
+    return shield.back(counted.withColumn(BATCH, (F.col("_base") + F.count("_i").over(_upto()) - 1).cast("long")).drop("_part", "_place", "_size", "_us", "_p", "_i", "_q", "_base"))
 
 
 def _most_recent(lists: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -163,6 +172,34 @@ def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, nam
     return counted.drop("_part", "_place", "_p", "_base", "_new", *[f"_k{j}" for j in range(len(keys))])
 
 
+#: Columns that name a group.  Next to the user's columns they have two lines in front.
+GROUP = ("at", "lru", "session", "chunk", "window_start", "window_end")
+BATCH = "__batch"
+
+
+def inner(name: str) -> str:
+    return f"__{name}"
+
+
+def outer(by: list[str]) -> dict[str, str]:
+    """What the columns of a group are called once it is aggregated."""
+    return {inner(c): c for c in GROUP if inner(c) in by} | ({BATCH: "batch_id"} if BATCH in by else {})
+
+
+class _Shield:
+    """The user's columns under other names, for code that has columns of its own; ``back`` gives theirs back."""
+
+    def __init__(self, df: DataFrame):
+        self.names = {c: f"__u{k}" for k, c in enumerate(df.columns) if c.startswith("_") or c in GROUP or c == "batch_id"}
+        self.df = df.withColumnsRenamed(self.names)
+
+    def to(self, *columns: str) -> list[str]:
+        return [self.names.get(c, c) for c in columns]
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({u: c for c, u in self.names.items()})
+
+
 @dataclass(frozen=True)
 class Windowed:
     """A row for each item and window; ``by`` names the group, ``bounds`` what only a whole group tells (starts and ends of sessions)."""
@@ -173,37 +210,51 @@ class Windowed:
     split: bool = False  # some groups were cut at the cap on items
 
     def finished(self, out: DataFrame) -> DataFrame:
-        """After aggregation: a part of a session begins when the part before it was full."""
+        """After aggregation: group columns under their own names; a part of a session begins when the part before it was full."""
+        out = out.withColumnsRenamed(outer(self.by))
         if not (self.split and "window_start" in self.bounds):
             return out
-        past = Window.partitionBy(*[c for c in self.by if c != "chunk"]).orderBy("chunk")
+        names = outer(self.by)
+        past = Window.partitionBy(*[names.get(c, c) for c in self.by if c != inner("chunk")]).orderBy("chunk")
         return out.withColumn("window_start", F.coalesce(F.lag("window_end").over(past), "window_start"))
 
 
 def with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec, keys: list[str] = (), monotone: bool = False, anchor: int | None = None) -> Windowed:
-    """Windows of ``df``: columns ``at``, ``lru``, ``session``, ``chunk``, and for grids ``window_start`` and ``window_end``.
+    """Windows of ``df``, by the columns ``at``, ``lru``, ``session``, ``chunk``, and for grids ``window_start`` and ``window_end`` (as :func:`inner` calls them).
 
     ``monotone``: the clock is known never to run back, so it is not looked at.
     ``anchor``: microseconds of the instant that grids start at, if that is not
-    the first row's.
+    the first row's.  A null clock is the instant before it, and before the
+    first known one that one.
+    """
+    shield = _Shield(df)
+    got = _with_windows(shield.df, shield.to(*order), *shield.to(clock), spec, shield.to(*keys), monotone, anchor)
+    rows = shield.back(got.rows.withColumnsRenamed({c: inner(c) for c in GROUP if c in got.rows.columns}))
+    users = {u: c for c, u in shield.names.items()}
+    by = [inner(c) if c in GROUP else users.get(c, c) for c in got.by]
+    bounds = {"window_start": F.min(inner("at")), "window_end": F.max(inner("at"))} if spec.policy.kind == "session" else {}
+    return Windowed(rows, by, bounds, got.split)
+
+
+def _with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec, keys: list[str], monotone: bool, anchor: int | None) -> Windowed:
+    """Windows of ``df``: columns ``at``, ``lru``, ``session``, ``chunk``, and for grids ``window_start`` and ``window_end``.
     """
-    keys, policy = list(keys), spec.policy
+    policy = spec.policy
     rows = df.withColumn("at", F.col(clock)) if monotone or steady(df, order, clock) else clamped(df, order, clock)
     evicts = bool(keys) and spec.keys_limit is not None and _may_evict(df, keys, spec.keys_limit)
     rows = _lru_chunks(rows, order, keys, spec.keys_limit, "lru") if evicts else rows.withColumn("lru", F.lit(0).cast("long"))
     us = F.unix_micros(F.col("at").cast("timestamp"))
     kind = df.schema[clock].dataType
-    bounds: dict[str, Column] = {}
 
     def instant(col: Column) -> Column:
         return F.timestamp_micros(col).cast(kind)
 
     if policy.kind == "session":
         rows = _sessions(rows, [*keys, "lru"] if keys else [], us, min(micros(policy.size), _EVER))
-        by, bounds = [*keys, "lru", "session"], {"window_start": F.min("at"), "window_end": F.max("at")}
+        by = [*keys, "lru", "session"]
     else:
         if anchor is None:
-            anchor = df.agg(F.min_by(F.unix_micros(F.col(clock).cast("timestamp")), F.struct(*order))).first()[0] or 0
+            anchor = df.agg(F.min_by(F.unix_micros(F.col(clock).cast("timestamp")), F.when(F.col(clock).isNotNull(), F.struct(*order)))).first()[0] or 0
         by, step, size = [*keys, "lru", "session", "window_start", "window_end"], micros(policy.step or policy.size), micros(policy.size)
         rows = rows.withColumn("session", F.lit(0).cast("long"))
         if anchor + size > _LAST_INSTANT and policy.kind == "tumbling":  # never closes by time: one window, up to the last instant
@@ -218,7 +269,7 @@ def with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec,
     rows, split = _capped(rows, by, order, spec.items_limit, df)
     if split and evicts and policy.kind == "sliding":
         raise StageError("window", "sliding windows where both caps, on items and on keys, are hit")
-    return Windowed(rows, [*by, "chunk"], bounds, split)
+    return Windowed(rows, [*by, "chunk"], split=split)
 
 
 def _capped(rows: DataFrame, by: list[str], order: list[str], most: int | None, items: DataFrame) -> tuple[DataFrame, bool]:
@@ -276,7 +327,7 @@ def _may_evict(rows: DataFrame, keys: list[str], most: int) -> bool:
 
 
 def group_columns(keys: list[str]) -> list[str]:
-    return [*keys, "lru", "session", "window_start", "window_end", "chunk"]
+    return [*keys, *[inner(c) for c in ("lru", "session", "window_start", "window_end", "chunk")]]
 
 
 def packed(order: list[str], columns: list[str]) -> Column:

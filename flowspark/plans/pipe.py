@@ -285,8 +285,8 @@ class Pipe:
         name = self.next_stage or default
         pipe = self._checked(lambda: policy.validate(name, size is not None))
         if pipe.error:
-            return Grouped(pipe, pipe.df.withColumn("batch_id", F.lit(0).cast("long")), ["batch_id"])
-        return Grouped(pipe, grouping.with_batch_id(self.df, list(self.order), policy, size, clock or self.clock), ["batch_id"])
+            return Grouped(pipe, pipe.df.withColumn(grouping.BATCH, F.lit(0).cast("long")), [grouping.BATCH])
+        return Grouped(pipe, grouping.with_batch_id(self.df, list(self.order), policy, size, clock or self.clock), [grouping.BATCH])
 
     def window(self, spec: WindowPolicy | WindowSpec, clock: str | None = None, monotone: bool = False) -> "Grouped":
         return self.window_by_key([], spec, clock, monotone)
@@ -332,7 +332,8 @@ class Grouped:
         bounds = self.windowed.bounds if self.windowed else {}
         first = F.min(F.struct(*self.pipe.order)).alias("first_at")
         out = self.df.groupBy(*self.by).agg(*aggregates, *[c.alias(n) for n, c in bounds.items()], first)
-        return self.pipe._to(self.windowed.finished(out) if self.windowed else out, order=("first_at",), clock=None)
+        out = self.windowed.finished(out) if self.windowed else out.withColumnsRenamed(grouping.outer(self.by))
+        return self.pipe._to(out, order=("first_at",), clock=None)
 
     def items(self, *columns: str) -> Pipe:
         """An array of structs in order, as ``items``, and ``n``."""

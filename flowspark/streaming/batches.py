@@ -16,7 +16,7 @@ from .state import StateLog, Version
 
 _EPOCH = datetime(1970, 1, 1)
 #: Columns of this module next to the user's.
-_TURN, _FULL = "__turn", "__batch"
+_TURN, _FULL = "__turn", grouping.BATCH
 _LAST = 1 << 62
 
 
@@ -72,7 +72,7 @@ class StreamBatches:
         # A row behind the last: where it begins a batch, the last one is closed.
         nothing = self.spark.createDataFrame([(*(None for _ in self.columns), _LAST)], self._with(_TURN))
         size = None if self.size is None else F.when(F.col(_TURN) == _LAST, F.lit(0)).otherwise(self.size)
-        got = settled(grouping.with_batch_id(rows.unionByName(nothing), [_TURN, *self.order], self.policy, size, self.clock, record["opened"]).withColumnRenamed("batch_id", _FULL))
+        got = settled(grouping.with_batch_id(rows.unionByName(nothing), [_TURN, *self.order], self.policy, size, self.clock, record["opened"]))
         open_id = got.filter(F.col(_TURN) == _LAST).first()[_FULL]
         got = got.filter(F.col(_TURN) < _LAST)
         closed = got.filter(F.col(_FULL) < open_id).withColumn("batch_id", F.col(_FULL) + record["closed"])

@@ -22,6 +22,8 @@ from ..policies import WindowPolicy, WindowSpec, micros
 from .state import StateLog, Version
 
 _EPOCH = datetime(1970, 1, 1)
+#: The clamped clock, next to the user's columns.
+_AT = "__clock"
 
 
 class StreamWindows:
@@ -43,7 +45,7 @@ class StreamWindows:
     # -- state ----------------------------------------------------------------
 
     def _open_rows(self, version: Version | None) -> DataFrame:
-        kept = [*self.schema.fields, type(self.schema.fields[0])("at", self.schema[self.clock].dataType)]
+        kept = [*self.schema.fields, type(self.schema.fields[0])(_AT, self.schema[self.clock].dataType)]
         schema = type(self.schema)(kept)
         return self.spark.createDataFrame([], schema) if version is None else self.log.read(version, "open", schema)
 
@@ -63,12 +65,12 @@ class StreamWindows:
         first = df.agg(F.min_by(us, F.struct(*self.order))).first()[0]
         if first is None:
             return
-        rows = grouping.clamped(df.select(*self.columns), self.order, self.clock)
+        rows = grouping.clamped(df.select(*self.columns), self.order, self.clock, _AT)
         if meta is not None:
-            rows = rows.withColumn("at", F.greatest("at", self._instant(F.lit(meta["now"]))))
-        now = rows.agg(F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()[0]
+            rows = rows.withColumn(_AT, F.greatest(_AT, self._instant(F.lit(meta["now"]))))
+        now = rows.agg(F.max(F.unix_micros(F.col(_AT).cast("timestamp")))).first()[0]
         anchor = meta["anchor"] if meta is not None else first
-        closed, left = self._parted(self._open_rows(base).unionByName(rows.select(*self.columns, "at")), anchor, None if meta is None else meta["now"], now)
+        closed, left = self._parted(self._open_rows(base).unionByName(rows.select(*self.columns, _AT)), anchor, None if meta is None else meta["now"], now)
         self._keep(no, closed, left, anchor, now)
 
     def tick(self, instant: datetime) -> None:
@@ -105,22 +107,22 @@ class StreamWindows:
         policy = self.spec.policy
         if self.keys and self.spec.keys_limit is not None and grouping._may_evict(rows, self.keys, self.spec.keys_limit):
             raise StageError("window", "more keys than the cap: evicting needs all rows, so run a pipe over a table")
-        got = grouping.with_windows(rows, self.order, "at", self.spec, self.keys, True, anchor)
+        got = grouping.with_windows(rows, self.order, _AT, self.spec, self.keys, True, anchor)
         out = got.finished(got.rows.groupBy(*got.by).agg(*self.aggregates, *[c.alias(n) for n, c in got.bounds.items()]))
         if now is None and policy.kind == "session":
             return out, rows.limit(0)
         us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
         if policy.kind == "session":
-            group = [c for c in got.by if c != "chunk"]
-            ends = got.rows.groupBy(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(group)]).agg((F.lit(now) - F.max(us("at")) > micros(policy.size)).alias("_shut"))
-            on = [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(group)]
+            group, names = [c for c in got.by if c != grouping.inner("chunk")], grouping.outer(got.by)
+            ends = got.rows.groupBy(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(group)]).agg((F.lit(now) - F.max(us(_AT)) > micros(policy.size)).alias("_shut"))
+            on, after = ([F.col(n.get(c, c)).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(group)] for n in ({}, names))
             shut = ends.filter("_shut").drop("_shut")
-            return out.join(shut, on, "left_semi"), got.rows.join(shut, on, "left_anti").select(*rows.columns)
+            return out.join(shut, after, "left_semi"), got.rows.join(shut, on, "left_anti").select(*rows.columns)
         end = us("window_end")
         closed = out if now is None else out.filter(end <= now)
         closed = closed if before is None else closed.filter(end > before)  # the others closed earlier
         if now is None:
             return closed, rows.limit(0)
-        step, past = micros(policy.step or policy.size), us("at") - F.lit(anchor)
+        step, past = micros(policy.step or policy.size), us(_AT) - F.lit(anchor)
         last = F.lit(anchor) + past - F.pmod(past, F.lit(step)) + F.lit(micros(policy.size))  # the end of a row's last window
         return closed, rows.filter(last > now)

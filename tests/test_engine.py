@@ -625,3 +625,41 @@ def test_idle_ticks_close_windows(spark, tmp_path):
     assert runner.step() is Step.IDLE and sorted(got) == [(1, 2, 2, (0,)), (2, 5, 5, (1,))]  # 31 s
     runner.finish()
     assert len(got) == 2
+
+
+# -- names and nulls ----------------------------------------------------------------
+
+
+def test_columns_with_the_names_of_groups(spark):
+    """The user's columns keep their values next to the engine's, in windows and in batches."""
+    names = ["at", "lru", "session", "chunk", "window_start", "window_end", "batch_id", "_part", "_place", "_no", "_us", "_size", "_k", "_n"]
+    rows = [(T0 + k * S, k % 2, *[7 * k + j for j in range(len(names))]) for k in range(12)]
+    pipe = Pipe.from_iter(spark, rows, "ts timestamp_ntz, key int, " + ", ".join(f"`{n}` int" for n in names), "ts")
+    sums = [F.sum(n).alias(f"sum{j}") for j, n in enumerate(names)]
+    want = [sum(7 * k + j for k in range(12)) for j in range(len(names))]
+    for grouped in (
+        pipe.window(WindowPolicy.tumbling(5 * S)),
+        pipe.window_by_key("key", WindowPolicy.session(3 * S).max_items(4).max_keys(1)),
+        pipe.window_by_key("chunk", WindowPolicy.tumbling(5 * S)),
+        pipe.batch(BatchPolicy().max_items(5)),
+        pipe.batch_bytes(BatchPolicy().max_bytes(20).max_age(4 * S), F.col("_size")),
+    ):
+        got = grouped.agg(*sums).df.agg(*[F.sum(f"sum{j}") for j in range(len(names))]).first()
+        assert list(got) == want
+    whole = pipe.window(WindowPolicy.tumbling(100 * S)).items(*names).df.first()["items"]
+    assert [tuple(x) for x in whole] == [r[2:] for r in rows]
+
+
+def test_null_clocks(spark):
+    """A null clock is the instant before it; before the first known instant it is that one, and no row is lost."""
+    pairs = [(None, 0), (0, 1), (None, 2), (7, 3), (None, 4), (3, 5), (12, 6), (None, 7)]
+    filled = [0, 0, 0, 7, 7, 7, 12, 12]
+    pipe = Pipe.from_iter(spark, [(None if t is None else T0 + t * S, n) for t, n in pairs], "ts timestamp_ntz, n int", "ts")
+    for spec in (WindowPolicy.tumbling(5 * S), WindowPolicy.session(4 * S), WindowPolicy.sliding(6 * S, 3 * S)):
+        known = Pipe.from_iter(spark, [(T0 + t * S, n) for t, (_, n) in zip(filled, pairs)], "ts timestamp_ntz, n int", "ts")
+        a, b = ([(r.window_start, [x.n for x in r["items"]]) for r in p.window(spec).items("n").df.orderBy("window_start").collect()] for p in (pipe, known))
+        assert a == b and sorted({n for _, g in a for n in g}) == list(range(8))
+    by_clock = Pipe.from_df(pipe.df.drop("seq"), "ts", "ts").window(WindowPolicy.tumbling(5 * S)).agg(F.count(F.lit(1)).alias("n")).df
+    assert sum(r.n for r in by_clock.collect()) == 8
+    nothing = Pipe.from_iter(spark, [(None, 1), (None, 2)], "ts timestamp_ntz, n int", "ts").window(WindowPolicy.tumbling(5 * S)).agg(F.count(F.lit(1)).alias("n")).df
+    assert [r.n for r in nothing.collect()] == [2]
