@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import StageError
 from ..functions.shared import settled
 from ..policies import BatchPolicy, WindowSpec, micros
 from .batching import Limits, batch_starts
+from .emission import MARK, arranged, named_keys, place
 
 _IN_PART = (1 << 33) - 1
 #: Microseconds of the last instant that timestamps hold, and a span longer than any.
@@ -121,8 +123,8 @@ def _most_recent(lists: DataFrame, keys: list[str], most: int) -> DataFrame:
     return one.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_seen")))).filter(F.col("_rank") <= most)
 
 
-def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, name: str) -> DataFrame:
-    """``name`` counts up each time a key comes back after it was the least recent of more than ``most`` keys.
+def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``name`` counts up each time a key comes back after it was the least recent of more than ``most`` keys; and where each (key, ``lru``) was put out.
 
     Each range partition replays its own rows, beginning with the ``most`` keys
     last seen before it.  Those come from a scan over the ranges' own lists, in
@@ -151,25 +153,31 @@ def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, nam
                 if p != now:
                     now, used = p, OrderedDict()
                 k = tuple(key)
-                new = k not in used
+                new, gone = k not in used, None
                 if not new:
                     used.move_to_end(k)
                 else:
                     if len(used) >= most:
-                        used.popitem(last=False)
+                        gone = used.popitem(last=False)[0]
                     used[k] = None
                 if i >= 0:
-                    out.append((p, i, int(new)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32()))], ["_p", "_i", "_new"])
+                    out.append((p, i, int(new), None if gone is None else {f"k{j}": x for j, x in enumerate(gone)}))
+            struct = pa.struct([(f"k{j}", c.type) for j, c in enumerate(b.columns[2:])])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), struct))], ["_p", "_i", "_new", "_gone"])
 
-    seen = both.mapInArrow(replay, "_p int, _i long, _new int")
+    fields = T.StructType([T.StructField(f"k{j}", df.schema[k].dataType) for j, k in enumerate(keys)])
+    full = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType()), T.StructField("_new", T.IntegerType()), T.StructField("_gone", fields)])
+    seen = both.mapInArrow(replay, full)
     rows = settled(rows.join(seen, (F.col("_part") == F.col("_p")) & (F.col("_place") == F.col("_i"))).drop("_p", "_i"))
+    gone = rows.filter("_gone is not null").select(F.col("_gone").alias("key"), place(order).alias("pos"))
+    gone = gone.withColumn("lru", (F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1).cast("long"))  # a key's n-th time out ends its n-th time in
+    rows = rows.drop("_gone")
     sums = rows.groupBy(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.sum("_new").alias("_s"))
     past = Window.partitionBy(*[f"_k{j}" for j in range(len(keys))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(past), F.lit(0))).drop("_s")
     on = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]]
     counted = rows.join(sums, on).withColumn(name, (F.col("_base") + F.sum("_new").over(_upto(*keys)) - 1).cast("long"))
-    return counted.drop("_part", "_place", "_p", "_base", "_new", *[f"_k{j}" for j in range(len(keys))])
+    return counted.drop("_part", "_place", "_p", "_base", "_new", *[f"_k{j}" for j in range(len(keys))]), gone
 
 
 #: Columns that name a group.  Next to the user's columns they have two lines in front.
@@ -208,6 +216,29 @@ class Windowed:
     by: list[str]
     bounds: dict[str, Column] = field(default_factory=dict)
     split: bool = False  # some groups were cut at the cap on items
+    evicted: DataFrame | None = None  # where keys were put out
+    spec: WindowSpec | None = None
+    order: list[str] = field(default_factory=list)
+    keys: list[str] = field(default_factory=list)
+
+    def marks(self) -> dict[str, Column]:
+        """Aggregates of a group from which :meth:`marked` makes what tells when it comes out."""
+        due = F.max(F.unix_micros(F.col(inner("at")).cast("timestamp"))) if self.spec.policy.kind == "session" else F.lit(None).cast("long")
+        return {"__first": F.min(place(self.order)), "__final": F.max(place(self.order)), "__items": F.count(F.lit(1)), "__due": due}
+
+    def marked(self, out: DataFrame) -> DataFrame:
+        """After aggregation, before :meth:`finished`: ``emission.MARK`` instead of the marks."""
+        policy = self.spec.policy
+        if policy.kind == "session":
+            due = F.col("__due") + min(micros(policy.size), _EVER) + 1
+        else:
+            due = F.unix_micros(F.col(inner("window_start")).cast("timestamp")) + min(micros(policy.size), _EVER)
+        ticket = F.min("__first").over(Window.partitionBy(*[c for c in self.by if c != inner("chunk")])) if self.split else F.col("__first")
+        mark = F.struct(due.alias("due"), F.col("__final").alias("final"), F.col("__items").alias("n"), ticket.alias("ticket"), F.col(inner("chunk")).alias("chunk"), F.col(inner("lru")).alias("lru"), named_keys(self.keys).alias("key"))
+        return out.withColumn(MARK, mark).drop("__first", "__final", "__items", "__due")
+
+    def arranged(self, out: DataFrame) -> DataFrame:
+        return arranged(out, self.rows, self.order, inner("at"), self.spec.items_limit, self.evicted)
 
     def finished(self, out: DataFrame) -> DataFrame:
         """After aggregation: group columns under their own names; a part of a session begins when the part before it was full."""
@@ -233,7 +264,7 @@ def with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec,
     users = {u: c for c, u in shield.names.items()}
     by = [inner(c) if c in GROUP else users.get(c, c) for c in got.by]
     bounds = {"window_start": F.min(inner("at")), "window_end": F.max(inner("at"))} if spec.policy.kind == "session" else {}
-    return Windowed(rows, by, bounds, got.split)
+    return Windowed(rows, by, bounds, got.split, got.evicted, spec, list(order), list(keys))
 
 
 def _with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec, keys: list[str], monotone: bool, anchor: int | None) -> Windowed:
@@ -242,7 +273,7 @@ def _with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec,
     policy = spec.policy
     rows = df.withColumn("at", F.col(clock)) if monotone or steady(df, order, clock) else clamped(df, order, clock)
     evicts = bool(keys) and spec.keys_limit is not None and _may_evict(df, keys, spec.keys_limit)
-    rows = _lru_chunks(rows, order, keys, spec.keys_limit, "lru") if evicts else rows.withColumn("lru", F.lit(0).cast("long"))
+    rows, evicted = _lru_chunks(rows, order, keys, spec.keys_limit, "lru") if evicts else (rows.withColumn("lru", F.lit(0).cast("long")), None)
     us = F.unix_micros(F.col("at").cast("timestamp"))
     kind = df.schema[clock].dataType
 
@@ -269,7 +300,7 @@ def _with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec,
     rows, split = _capped(rows, by, order, spec.items_limit, df)
     if split and evicts and policy.kind == "sliding":
         raise StageError("window", "sliding windows where both caps, on items and on keys, are hit")
-    return Windowed(rows, [*by, "chunk"], split=split)
+    return Windowed(rows, [*by, "chunk"], split=split, evicted=evicted)
 
 
 def _capped(rows: DataFrame, by: list[str], order: list[str], most: int | None, items: DataFrame) -> tuple[DataFrame, bool]:

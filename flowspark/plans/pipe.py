@@ -91,6 +91,7 @@ class Pipe:
     observers: tuple[Callable[[Event], None], ...] = ()
     error: ConfigError | None = None
     idle: timedelta | None = None
+    late: Callable[[DataFrame], DataFrame] | None = None  # turns the mark of window groups into their place, once something reads the order
 
     # -- sources ------------------------------------------------------------
 
@@ -152,6 +153,10 @@ class Pipe:
     def _to(self, df: DataFrame, **more) -> "Pipe":
         return replace(self, df=df, next_stage=None, **more)
 
+    def in_order(self) -> "Pipe":
+        """The same with order columns that sort: groups of windows in the order in which they come out."""
+        return self if self.late is None else replace(self, df=self.late(self.df), late=None)
+
     @property
     def columns(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.order]
@@ -191,11 +196,15 @@ class Pipe:
 
     def chain(self, other: "Pipe") -> "Pipe":
         """All rows of this pipe, then all of the other."""
+        if self.late or other.late:
+            return self.in_order().chain(other.in_order())
         both = self.df.withColumn("_src", F.lit(0)).unionByName(other.df.withColumn("_src", F.lit(1)))
         return self._to(both, order=("_src", *self.order), source_df=None if self.source_df is None else both)
 
     def stage(self, stage: Stage, schema: str) -> "Pipe":
         """A stateful stage over all rows in order: one task, see :mod:`flowspark.operators.stages`.  What it raises falls under the error policy."""
+        if self.late:
+            return self.in_order().stage(stage, schema)
         rows = run_stage(self.df, list(self.order), stage, schema, self.policy is ErrorPolicy.DEAD_LETTER)
         return replace(self, order=("out_no",), clock=None)._split("stage", rows)
 
@@ -210,6 +219,8 @@ class Pipe:
         return self._try("try_map_ref", name, expr, error, fails, True)
 
     def _try(self, default: str, name: str, expr: Column, error: str, fails: Column | None, keep: bool) -> "Pipe":
+        if self.late:
+            return self.in_order()._try(default, name, expr, error, fails, keep)
         bad = fails if fails is not None else expr.isNull()
         whole = F.to_json(F.struct(*self.columns)) if self.columns else F.lit(None).cast("string")
         given = whole if keep and self.policy is ErrorPolicy.DEAD_LETTER else F.lit(None).cast("string")
@@ -218,6 +229,8 @@ class Pipe:
 
     def try_map_py(self, fn: Callable[[dict], dict], schema: str, retry: RetryPolicy | None = None) -> "Pipe":
         """Rows from a Python function that may raise, tried as often as ``retry`` says; effects of a task that Spark runs again are repeated."""
+        if self.late:
+            return self.in_order().try_map_py(fn, schema, retry)
         default = "try_map_ref" if retry is None else "try_map_retry"
         name = self.next_stage or default
         if retry is not None:
@@ -282,6 +295,8 @@ class Pipe:
     batch_bytes_with = batch_bytes
 
     def _batch(self, policy: BatchPolicy, size: Column | None, clock: str | None, default: str) -> "Grouped":
+        if self.late:
+            return self.in_order()._batch(policy, size, clock, default)
         name = self.next_stage or default
         pipe = self._checked(lambda: policy.validate(name, size is not None))
         if pipe.error:
@@ -294,6 +309,8 @@ class Pipe:
     window_with = window
 
     def window_by_key(self, keys: list[str] | str, spec: WindowPolicy | WindowSpec, clock: str | None = None, monotone: bool = False) -> "Grouped":
+        if self.late:
+            return self.in_order().window_by_key(keys, spec, clock, monotone)
         keys = [keys] if isinstance(keys, str) else list(keys)
         name, spec = self.next_stage or "window", WindowSpec.of(spec)
         pipe = self._checked(lambda: spec.validate(name))
@@ -329,11 +346,12 @@ class Grouped:
     windowed: grouping.Windowed | None = None
 
     def agg(self, *aggregates: Column) -> Pipe:
-        bounds = self.windowed.bounds if self.windowed else {}
-        first = F.min(F.struct(*self.pipe.order)).alias("first_at")
-        out = self.df.groupBy(*self.by).agg(*aggregates, *[c.alias(n) for n, c in bounds.items()], first)
-        out = self.windowed.finished(out) if self.windowed else out.withColumnsRenamed(grouping.outer(self.by))
-        return self.pipe._to(out, order=("first_at",), clock=None)
+        if self.windowed is None:
+            out = self.df.groupBy(*self.by).agg(*aggregates, F.min(F.struct(*self.pipe.order)).alias("first_at"))
+            return self.pipe._to(out.withColumnsRenamed(grouping.outer(self.by)), order=("first_at",), clock=None)
+        w = self.windowed
+        out = self.df.groupBy(*self.by).agg(*aggregates, *[c.alias(n) for n, c in {**w.bounds, **w.marks()}.items()])
+        return self.pipe._to(w.finished(w.marked(out)), order=(grouping.MARK,), clock=None, late=w.arranged)
 
     def items(self, *columns: str) -> Pipe:
         """An array of structs in order, as ``items``, and ``n``."""
@@ -345,6 +363,7 @@ class Pipeline:
     """A finished pipe with its sink; runs once."""
 
     def __init__(self, pipe: Pipe, sink: Sink):
+        pipe = pipe.in_order()
         self.pipe, self._sink, self._stats, self._done, self._failed = pipe, sink, RunStats(), False, False
         self._cancel: CancelHandle | None = None
 
