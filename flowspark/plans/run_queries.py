@@ -20,7 +20,7 @@ from ..sinks import ChannelSink, FnSink, NullSink, TableSink, TeeSink, VecSink,
 from ..sources import ByteLinesSource, ChainSource, ChannelSource, FnSource, IterSource, ReaderSource, TableSource
 from ..streaming import Step, StepRunner, StreamBatches, StreamStage, StreamWindows
 from .pipe import Pipe, ThreadedDriver
-from .queries import _K, _cents, _events, _greedy, _n, _parsed, _session, _table, _tumbling
+from .queries import _C, _K, _T0, _cents, _events, _greedy, _n, _parsed, _session, _table, _tumbling
 
 #: Rows that the sources on the driver read: fixed values.
 WORDS = (("alpha", 3), ("beta", 1), ("gamma", 2))
@@ -246,6 +246,11 @@ def stream_session_keyed(spark, d):
     return _streamed(spark, d, WindowPolicy.session(timedelta(hours=6)), ["user_id"])
 
 
+def stream_max_keys(spark, d):
+    """At most 20 users have open windows; the least recent one is put out, over micro-batches as over the table."""
+    return _streamed(spark, d, WindowPolicy.tumbling(timedelta(days=1)).max_keys(20), ["user_id"])
+
+
 def stream_batches(spark, d):
     """Batches by count and age over four micro-batches: those of the table."""
     out, state = _folder(spark), _folder(spark)
@@ -300,7 +305,7 @@ def stream_steps(spark, d):
     return settled(spark.read.parquet(out).select("s_suppkey", "taken_by"))
 
 
-QUERIES = {f.__name__: f for f in (iter_source, from_iter, channel_source, fn_source, chain_source, byte_lines, line_overflow_skip, line_overflow_error, utf8_lossy, tee_sink, writer_sink, vec_sink, fn_sink, channel_sink, fail_fast, dead_letter_sink, run_drivers, events_observed, config_errors, stream_tumbling, stream_tumbling_keyed, stream_session_keyed, stream_batches, stream_stage, stream_steps)}
+QUERIES = {f.__name__: f for f in (iter_source, from_iter, channel_source, fn_source, chain_source, byte_lines, line_overflow_skip, line_overflow_error, utf8_lossy, tee_sink, writer_sink, vec_sink, fn_sink, channel_sink, fail_fast, dead_letter_sink, run_drivers, events_observed, config_errors, stream_tumbling, stream_tumbling_keyed, stream_session_keyed, stream_max_keys, stream_batches, stream_stage, stream_steps)}
 
 _VALUES = "(VALUES (CAST(0 AS BIGINT), 'alpha', CAST(3 AS BIGINT)), (1, 'beta', 1), (2, 'gamma', 2)) v(seq, word, n)"
 _LINE = "doc_id || coalesce(chr(9) || regexp_replace(text, '[\\r\\n]', ' ', 'g'), '')"
@@ -331,6 +336,11 @@ ORACLE_SQL = {
     "stream_tumbling": _tumbling("1 HOUR"),
     "stream_tumbling_keyed": _tumbling("6 HOUR", "event_type,"),
     "stream_session_keyed": _session("6 HOUR", "user_id,"),
+    "stream_max_keys": f"""WITH a AS (SELECT event_id, user_id, ts, value, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+        d AS (SELECT a.event_id, count(DISTINCT b.user_id) AS others FROM a JOIN events b ON b.event_id > a.prev AND b.event_id < a.event_id GROUP BY a.event_id),
+        c AS (SELECT a.*, sum(CASE WHEN coalesce(d.others, 0) >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a.event_id) AS lru FROM a LEFT JOIN d USING (event_id)),
+        w AS (SELECT user_id, lru, time_bucket(INTERVAL 1 DAY, ts, {_T0}) AS window_start, count(*) AS n, {_C} FROM c GROUP BY ALL)
+        SELECT user_id, window_start, window_start + INTERVAL 1 DAY AS window_end, n, cents FROM w""",
     "stream_batches": _greedy("", "events", "CAST(floor(value * 100) AS BIGINT)", "(w.c >= 10 OR w.t - w.opened >= 3600000000)", "event_id", "epoch_us(ts)", "min(id) AS first, CAST(sum(size) AS BIGINT) AS cents"),
     "stream_stage": """WITH e AS (SELECT event_id, user_id, CAST(floor(value * 100) AS BIGINT) AS c FROM events)
         SELECT user_id, event_id, row_number() OVER w AS n, CAST(sum(c) OVER w AS BIGINT) AS cents FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)

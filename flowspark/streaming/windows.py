@@ -16,8 +16,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StageError
 from ..operators import grouping
+from ..operators.emission import named_keys
 from ..policies import WindowPolicy, WindowSpec, micros
 from .state import StateLog, Version
 
@@ -31,8 +31,8 @@ class StreamWindows:
 
     ``aggregates`` are those of a group, as for a pipe's ``agg``.  A window
     closes when a row or :meth:`tick` brings time to its end, or, for sessions,
-    further than the idle time past its last row; :meth:`finish` closes the
-    rest.  Caps on keys need all rows and are refused once there are more keys.
+    further than the idle time past its last row, or when its key is put out for
+    a new one at the cap on keys; :meth:`finish` closes the rest.
     """
 
     def __init__(self, spark: SparkSession, state: str, schema, order: list[str], clock: str, spec: WindowPolicy | WindowSpec, keys: list[str] = (), aggregates: tuple[Column, ...] = (), emit: Callable[[DataFrame, int], None] = lambda df, no: None):
@@ -104,25 +104,31 @@ class StreamWindows:
     def _parted(self, rows: DataFrame, anchor: int, before: int | None, now: int | None) -> tuple[DataFrame, DataFrame]:
         """The windows that close between two instants (all, if ``now`` is None), and the rows of those that stay open."""
         rows = grouping.settled(rows)
-        policy = self.spec.policy
-        if self.keys and self.spec.keys_limit is not None and grouping._may_evict(rows, self.keys, self.spec.keys_limit):
-            raise StageError("window", "more keys than the cap: evicting needs all rows, so run a pipe over a table")
-        got = grouping.with_windows(rows, self.order, _AT, self.spec, self.keys, True, anchor)
-        out = got.finished(got.rows.groupBy(*got.by).agg(*self.aggregates, *[c.alias(n) for n, c in got.bounds.items()]))
+        policy, gone = self.spec.policy, "__gone"
+        got = grouping.with_windows(rows, [_AT, *self.order], _AT, self.spec, self.keys, True, anchor)
+        marked = got.rows.withColumn(gone, F.lit(False))
+        if got.evicted is not None:  # a live key has rows here, so the least recent one is known
+            put_out = got.evicted.select(F.col("key").alias("__key"), F.col("lru").alias("__put"), F.lit(True).alias("__out"))
+            on = named_keys(self.keys).eqNullSafe(F.col("__key")) & (F.col(grouping.inner("lru")) == F.col("__put"))
+            marked = grouping.settled(got.rows.join(put_out, on, "left").withColumn(gone, F.coalesce("__out", F.lit(False))).drop("__key", "__put", "__out"))
+        out = got.finished(marked.groupBy(*got.by).agg(*self.aggregates, *[c.alias(n) for n, c in got.bounds.items()], F.max(gone).alias(gone)))
         if now is None and policy.kind == "session":
-            return out, rows.limit(0)
+            return out.drop(gone), rows.limit(0)
         us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
         if policy.kind == "session":
             group, names = [c for c in got.by if c != grouping.inner("chunk")], grouping.outer(got.by)
-            ends = got.rows.groupBy(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(group)]).agg((F.lit(now) - F.max(us(_AT)) > micros(policy.size)).alias("_shut"))
-            on, after = ([F.col(n.get(c, c)).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(group)] for n in ({}, names))
-            shut = ends.filter("_shut").drop("_shut")
-            return out.join(shut, after, "left_semi"), got.rows.join(shut, on, "left_anti").select(*rows.columns)
+            ends = marked.groupBy(*[F.col(c).alias(f"__e{k}") for k, c in enumerate(group)]).agg((F.max(gone) | (F.lit(now) - F.max(us(_AT)) > micros(policy.size))).alias("__shut"))
+            on, after = ([F.col(n.get(c, c)).eqNullSafe(F.col(f"__e{k}")) for k, c in enumerate(group)] for n in ({}, names))
+            shut = ends.filter("__shut").drop("__shut")
+            return out.join(shut, after, "left_semi").drop(gone), marked.join(shut, on, "left_anti").select(*rows.columns)
         end = us("window_end")
-        closed = out if now is None else out.filter(end <= now)
-        closed = closed if before is None else closed.filter(end > before)  # the others closed earlier
+        closed = out if now is None else out.filter((end <= now) | F.col(gone))
+        closed = (closed if before is None else closed.filter(end > before)).drop(gone)  # the others closed earlier
         if now is None:
             return closed, rows.limit(0)
         step, past = micros(policy.step or policy.size), us(_AT) - F.lit(anchor)
         last = F.lit(anchor) + past - F.pmod(past, F.lit(step)) + F.lit(micros(policy.size))  # the end of a row's last window
-        return closed, rows.filter(last > now)
+        if got.evicted is None:
+            return closed, rows.filter(last > now)
+        once = us(grouping.inner("window_end")) == last  # sliding: a row is in several windows
+        return closed, marked.filter(once & (last > now) & ~F.col(gone)).select(*rows.columns)

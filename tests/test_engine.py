@@ -593,7 +593,7 @@ def stream_windows(spark, tmp_path, spec, keys, got):
     return StreamWindows(spark, str(tmp_path / "state"), SCHEMA, ["n"], "ts", spec, keys, (F.collect_list("n").alias("ns"),), emit)
 
 
-@pytest.mark.parametrize("kind,options,keyed", [("tumbling", dict(size=10, most=3), True), ("sliding", dict(size=9, step=4), True), ("session", dict(size=4, most=2), True), ("session", dict(size=3), False)])
+@pytest.mark.parametrize("kind,options,keyed", [("tumbling", dict(size=10, most=3), True), ("sliding", dict(size=9, step=4), True), ("session", dict(size=4, most=2), True), ("session", dict(size=3), False), ("tumbling", dict(size=14, keys=2), True), ("session", dict(size=9, keys=2), True), ("sliding", dict(size=10, step=4, keys=2), True)])
 def test_streams_equal_tables(spark, tmp_path, kind, options, keyed):
     """Micro-batches of any cut give the windows of the whole: one grid, one clock for all keys, late rows and all."""
     from flowspark.streaming import StepRunner
