@@ -771,3 +771,18 @@ def test_near_copies_keeps_one_row_a_group(spark, odd, odd_rows):
     for k, (i, t, _) in enumerate(odd_rows):
         groups[find(k)].append((i is None, i or 0, t))
     assert Counter((r.doc_id, r.text) for r in near(spark, odd, "").collect()) == Counter((None if x else i, t) for x, i, t in map(min, groups.values()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Whole rows come back from the near-copies stage, whatever the columns are called."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    names = ["key", "of", "id", "rows", "group", "first", "stays", "_key", "_id", "_of", "c0", "component_id", "n_shingles"]
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))
+    base = text()
+    texts = [base, base, base + " more"] + [text() for _ in range(6)] + [None, ""]
+    rows = [(k, t, *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [r for r in rows if r[0] not in (1, 2)]
