@@ -107,14 +107,14 @@ class Pipe:
         return cls.from_df(spark.createDataFrame(numbered, "seq long, " + schema), "seq", clock)
 
     @classmethod
-    def from_source(cls, source, spark: SparkSession, clock: str | None = None) -> "Pipe":
-        """From an object with ``read(spark)``, a DataFrame, and ``order``, its order columns."""
+    def from_source(cls, source, spark: SparkSession, clock: str | None = None, source_id: str = "source") -> "Pipe":
+        """From an object with ``read(spark)``, a DataFrame, and ``order``, its order columns; what it raises comes under ``source_id``."""
         try:
-            return cls.from_df(source.read(spark), source.order, clock)
+            return cls.from_df(source.read(spark), source.order, clock).source_id(source_id)
         except FlowError:
             raise
         except Exception as e:
-            raise SourceError("source", e) from e
+            raise SourceError(source_id, e) from e
 
     # -- settings -----------------------------------------------------------
 

@@ -663,3 +663,17 @@ def test_null_clocks(spark):
     assert sum(r.n for r in by_clock.collect()) == 8
     nothing = Pipe.from_iter(spark, [(None, 1), (None, 2)], "ts timestamp_ntz, n int", "ts").window(WindowPolicy.tumbling(5 * S)).agg(F.count(F.lit(1)).alias("n")).df
     assert [r.n for r in nothing.collect()] == [2]
+
+
+def test_source_id(spark):
+    from flowspark.errors import SourceError
+
+    class Broken:
+        order = ["n"]
+
+        def read(self, spark):
+            raise OSError("no such table")
+
+    with pytest.raises(SourceError) as e:
+        Pipe.from_source(Broken(), spark, source_id="orders feed")
+    assert e.value.stage == "orders feed" and Pipe.from_source(IterSource([(1,)], "n int"), spark, source_id="feed").source == "feed"
