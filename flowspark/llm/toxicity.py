@@ -237,7 +237,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and the counts of hits; the model is bounded by its lexicon."""
+    """``docs`` with ``score`` (0 to 1) and the counts of hits, which take the place of columns of those names; the model is bounded by its lexicon."""
     from pyspark.sql import types as T
 
     names = ["score", "n_plain", "n_near", "n_quoted"]
