@@ -120,7 +120,7 @@ def _scan(reached, step: int, shards: int, longest: int, batches: Iterator[pa.Re
             at = np.flatnonzero(g.ok[k])
             part = g.h[k - 1]
             first, second = since.take(_cell(part.take(at), len(since))), since.take(_cell(part.take(at + 1), len(since)))
-            begin = np.maximum(first, second).astype(np.int64) + 1
+            begin = np.maximum(np.maximum(first, second).astype(np.int64) + 1, k - 1)  # a cell shared with shorter phrases may be reached sooner
             for s in range(max(k - 1, step - shards + 1), step + 1):
                 mine = at[begin == s]
                 if len(mine):

@@ -64,6 +64,13 @@ def test_counts_are_whole(spark):
     assert known == Counter((len(p), a) for p, a in f.items() if a >= 10)
 
 
+def test_cells_shared_with_words(spark):
+    """A phrase whose cell a frequent word has reached first is still counted inside longer ones."""
+    rows = [("en", f"w{k} w{k} w{k}. " * 11) for k in range(600)]
+    got = sorted(map(tuple, phrases(spark.createDataFrame(rows, "lang string, text string"), cells=1 << 15).collect()))
+    assert got == brute(rows, 10, 3, 2000) and len(got) == 600
+
+
 def test_large_counts_and_edges(spark, empty):
     assert phrases(empty).count() == 0
     long = "x y z " * 40_000  # one very long text
