@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_dir
 from ..operators.grouping import numbered
 from ..operators.stages import Stage
-from ..policies import BatchPolicy, ErrorPolicy, RetryPolicy, WindowPolicy
+from ..policies import BatchPolicy, ErrorPolicy, RetryPolicy, WindowPolicy, WindowSpec
 from ..sinks import NullSink
 from .pipe import Pipe
 
@@ -156,8 +156,14 @@ def log_shipper(spark, d):
     return blobs.select("batch_id", "n", F.array_join("items.text", "\n").alias("blob"))
 
 
+def whole(spec) -> WindowSpec:
+    """``spec`` without the default caps on items and keys, as the SQL has none."""
+    return WindowSpec.of(spec).max_items(None).max_keys(None)
+
+
 def _window(pipe, spec, keys=(), clock=None):
-    return pipe.window_by_key(list(keys), spec, clock)
+    """Windows with the caps of ``spec``, where it has any."""
+    return pipe.window_by_key(list(keys), spec if isinstance(spec, WindowSpec) else whole(spec), clock)
 
 
 def _sums(grouped, *keys):
@@ -189,11 +195,11 @@ def window_session_keyed(spark, d):
 
 
 def window_max_items(spark, d):
-    return _window(_events(spark, d), WindowPolicy.tumbling(DAY).max_items(50)).agg(_n(), F.min("event_id").alias("first")).df.select("window_start", "chunk", "n", "first")
+    return _window(_events(spark, d), whole(WindowPolicy.tumbling(DAY)).max_items(50)).agg(_n(), F.min("event_id").alias("first")).df.select("window_start", "chunk", "n", "first")
 
 
 def window_max_keys(spark, d):
-    grouped = _window(_events(spark, d), WindowPolicy.tumbling(DAY).max_keys(20), ["user_id"])
+    grouped = _window(_events(spark, d), whole(WindowPolicy.tumbling(DAY)).max_keys(20), ["user_id"])
     return grouped.agg(_n(), F.min("event_id").alias("first")).df.select("user_id", "window_start", "lru", "n", "first")
 
 

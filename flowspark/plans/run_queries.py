@@ -20,7 +20,7 @@ from ..sinks import ChannelSink, FnSink, NullSink, TableSink, TeeSink, VecSink,
 from ..sources import ByteLinesSource, ChainSource, ChannelSource, FnSource, IterSource, ReaderSource, TableSource
 from ..streaming import Step, StepRunner, StreamBatches, StreamStage, StreamWindows
 from .pipe import Pipe, ThreadedDriver
-from .queries import _C, _K, _T0, _cents, _events, _greedy, _n, _parsed, _session, _table, _tumbling
+from .queries import _C, _K, _T0, _cents, _events, _greedy, _n, _parsed, _session, _table, _tumbling, whole
 
 #: Rows that the sources on the driver read: fixed values.
 WORDS = (("alpha", 3), ("beta", 1), ("gamma", 2))
@@ -235,20 +235,20 @@ def _streamed(spark, d, spec, keys=()) -> DataFrame:
 
 
 def stream_tumbling(spark, d):
-    return _streamed(spark, d, WindowPolicy.tumbling(timedelta(hours=1)))
+    return _streamed(spark, d, whole(WindowPolicy.tumbling(timedelta(hours=1))))
 
 
 def stream_tumbling_keyed(spark, d):
-    return _streamed(spark, d, WindowPolicy.tumbling(timedelta(hours=6)), ["event_type"])
+    return _streamed(spark, d, whole(WindowPolicy.tumbling(timedelta(hours=6))), ["event_type"])
 
 
 def stream_session_keyed(spark, d):
-    return _streamed(spark, d, WindowPolicy.session(timedelta(hours=6)), ["user_id"])
+    return _streamed(spark, d, whole(WindowPolicy.session(timedelta(hours=6))), ["user_id"])
 
 
 def stream_max_keys(spark, d):
     """At most 20 users have open windows; the least recent one is put out, over micro-batches as over the table."""
-    return _streamed(spark, d, WindowPolicy.tumbling(timedelta(days=1)).max_keys(20), ["user_id"])
+    return _streamed(spark, d, whole(WindowPolicy.tumbling(timedelta(days=1))).max_keys(20), ["user_id"])
 
 
 def stream_batches(spark, d):
