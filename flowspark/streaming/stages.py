@@ -50,41 +50,73 @@ class StreamStage:
         self.shown = [*self.keys, _NO, *(f.name for f in made)]
 
     def _ran(self, base: Version | None, rows: DataFrame, call: str) -> DataFrame:
+        """Each key's state and then its rows in order, in one task as a stream: neither keys nor rows of a key are held together."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, by, order, template = to_arrow_schema(self.out), self.by, self.order, pickle.dumps(self.stage)
         columns, policy = self.columns, self.policy
 
-        def run(table: pa.Table, state: pa.Table) -> pa.Table:
-            held = state.column(_STATE)[0].as_py() if state.num_rows else template
-            stage = pickle.loads(held)
-            key = {c: (table if table.num_rows else state).column(c)[0].as_py() for c in by}
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[dict] = []
+            now, key, stage, held, count, stopped = None, {}, None, template, 0, False
 
             def made(make: Callable[[], Iterator[dict]], row: dict | None) -> bool:
+                nonlocal count
                 try:
                     for r in make():
-                        out.append({**key, _NO: len(out), **r})
+                        out.append({**key, _NO: count, **r})
+                        count += 1
                 except Exception as e:
                     given = json.dumps(row, default=str) if row is not None else None
-                    out.append({**key, _NO: len(out), _ERR: str(e), _TYPE: type(e).__name__, _INPUT: given})
+                    out.append({**key, _NO: count, _ERR: str(e), _TYPE: type(e).__name__, _INPUT: given})
+                    count += 1
                     return policy is not ErrorPolicy.FAIL_FAST
                 return True
 
-            if table.num_rows:
-                for row in table.sort_by([(c, "ascending") for c in order]).select(columns).to_pylist():
-                    if not made(lambda: stage.process(row), row):  # noqa: B023
-                        break
-            if call == "tick":
-                made(stage.tick, None)
-            elif call == "finish":
-                made(stage.flush, None)
-            out.append({**key, _STATE: held if not table.num_rows and not call else pickle.dumps(stage)})
-            return pa.Table.from_pylist(out, arrow)
+            def ended() -> None:
+                nonlocal stage
+                if call and stage is None:
+                    stage = pickle.loads(held)
+                if call == "tick":
+                    made(stage.tick, None)
+                elif call == "finish":
+                    made(stage.flush, None)
+                out.append({**key, _STATE: held if stage is None else pickle.dumps(stage)})
+
+            for b in batches:
+                *values, states = (c.to_pylist() for c in b.columns)
+                firsts, rows = list(zip(*values[: len(by)])), list(zip(*values[len(by) :]))
+                for first, row, state in zip(firsts, rows, states):
+                    if first != now and (now is None or repr(first) != repr(now)):  # NaN is one key
+                        if now is not None:
+                            ended()
+                        now, key = first, dict(zip(by, first))
+                        stage, held, count, stopped = None, template if state is None else state, 0, False
+                    if state is None and not stopped:
+                        if stage is None:
+                            stage = pickle.loads(held)
+                        item = dict(zip(columns, row))
+                        stopped = not made(lambda: stage.process(item), item)  # noqa: B023
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(out, arrow)
+                        out.clear()
+            if now is not None:
+                ended()
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
 
         rows = rows if self.keys else rows.withColumn(_ALL, F.lit(0))
         held = self.spark.createDataFrame([], self.held) if base is None else self.log.read(base, "state", self.held)
-        return rows.groupBy(*self.by).cogroup(held.groupBy(*self.by)).applyInArrow(run, self.out)
+        names, owns = [f"k{j}" for j in range(len(by))], [f"u{j}" for j in range(len(columns))]
+        some = rows.select(*[F.col(c).alias(k) for c, k in zip(by, names)], *[F.col(c).alias(u) for c, u in zip(columns, owns)], F.lit(None).cast("binary").alias("state"))
+        before = held.select(*[F.col(c).alias(k) for c, k in zip(by, names)], *[F.lit(None).cast(self.schema[c].dataType).alias(u) for c, u in zip(columns, owns)], F.col(_STATE).alias("state"))
+        both = some.unionByName(before)
+        for f, k in zip(self.out, names):
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                both = both.withColumn(k, F.col(k) + F.lit(0).cast(f.dataType))  # -0.0 and 0.0 are one key
+        at = dict(zip(columns, owns))
+        both = both.repartition(*names).sortWithinPartitions(*names, F.col("state").isNull(), *[F.asc_nulls_last(at[c]) for c in order])
+        return both.mapInArrow(run, self.out)
 
     def _sent(self, version: Version | None) -> None:
         if version is not None and not version.emitted:

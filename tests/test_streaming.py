@@ -128,6 +128,37 @@ def test_stage_goes_on_from_its_state(spark, tmp_path, keys):
         assert [x for _, x in got] == ["0+1", "2+3", "tick 1", "left [4] after 1 ticks"]
 
 
+def test_stage_over_many_keys_and_odd_ones(spark, tmp_path):
+    """States come before their keys' rows, each key once a call: also null, NaN and both zeros, and keys apart by a microsecond."""
+    got, us = [], timedelta(microseconds=1)
+    schema = "k double, t timestamp_ntz, s string, __state int"
+
+    def body():
+        return StreamStage(spark, str(tmp_path), schema, ["s"], Odd(), "out string", ["k", "t"], lambda df, no: got.extend((str(r.k), r.t, r.out_no, r.out) for r in df.collect()))
+
+    keys = [(k, T0 + j * us) for k in [*map(float, range(1, 40)), None, float("nan"), 0.0] for j in range(2)]
+    for no in range(2):
+        rows = [(-k if k == 0 and no else k, t, s, no) for k, t in keys[no:] for s in ("b", None, "a")]
+        body()(spark.createDataFrame(rows, schema), no)
+    plan = body()._ran(None, spark.createDataFrame(rows, schema), "")._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan  # no group of its own in Python for each key
+    body().finish()
+    first, name = keys[0], lambda k: str(k) if k != 0 else "0.0"
+    assert sorted(got) == sorted((name(k), t, 0, " ".join(["a0 b0 None0"] + ["a1 b1 None1"] * ((k, t) != first))) for k, t in keys)
+
+
+class Odd(Stage):
+    def __init__(self):
+        self.seen = []
+
+    def process(self, row):
+        self.seen.append(f"{row['s']}{row['__state']}")
+        return iter(())
+
+    def flush(self):
+        yield {"out": " ".join(self.seen)}
+
+
 def test_stage_policies(spark, tmp_path):
     rows = frame(spark, [(0, 0, "a"), (1, 0, "bad"), (2, 0, "a")])
     for policy in ErrorPolicy:
