@@ -65,12 +65,17 @@ class StreamWindows:
         first = df.agg(F.min_by(us, F.struct(*self.order))).first()[0]
         if first is None:
             return
-        rows = grouping.clamped(df.select(*self.columns), self.order, self.clock, _AT)
+        rows = df.select(*self.columns)
+        if grouping.steady(rows, self.order, self.clock):
+            rows = rows.withColumn(_AT, F.col(self.clock))
+        else:
+            rows = grouping.clamped(rows, self.order, self.clock, _AT)
         if meta is not None:
             rows = rows.withColumn(_AT, F.greatest(_AT, self._instant(F.lit(meta["now"]))))
-        now = rows.agg(F.max(F.unix_micros(F.col(_AT).cast("timestamp")))).first()[0]
+        rows = grouping.settled(self._open_rows(base).unionByName(rows.select(*self.columns, _AT)))
+        now = rows.agg(F.max(F.unix_micros(F.col(_AT).cast("timestamp")))).first()[0]  # open rows came earlier
         anchor = meta["anchor"] if meta is not None else first
-        closed, left = self._parted(self._open_rows(base).unionByName(rows.select(*self.columns, _AT)), anchor, None if meta is None else meta["now"], now)
+        closed, left = self._parted(rows, anchor, None if meta is None else meta["now"], now)
         self._keep(no, closed, left, anchor, now)
 
     def tick(self, instant: datetime) -> None:
@@ -102,8 +107,7 @@ class StreamWindows:
         return F.timestamp_micros(us).cast(self.schema[self.clock].dataType)
 
     def _parted(self, rows: DataFrame, anchor: int, before: int | None, now: int | None) -> tuple[DataFrame, DataFrame]:
-        """The windows that close between two instants (all, if ``now`` is None), and the rows of those that stay open."""
-        rows = grouping.settled(rows)
+        """The windows of ``rows`` (a table) that close between two instants (all, if ``now`` is None), and the rows of those that stay open."""
         policy, gone = self.spec.policy, "__gone"
         got = grouping.with_windows(rows, [_AT, *self.order], _AT, self.spec, self.keys, True, anchor)
         marked = got.rows.withColumn(gone, F.lit(False))
@@ -111,6 +115,8 @@ class StreamWindows:
             put_out = got.evicted.select(F.col("key").alias("__key"), F.col("lru").alias("__put"), F.lit(True).alias("__out"))
             on = named_keys(self.keys).eqNullSafe(F.col("__key")) & (F.col(grouping.inner("lru")) == F.col("__put"))
             marked = grouping.settled(got.rows.join(put_out, on, "left").withColumn(gone, F.coalesce("__out", F.lit(False))).drop("__key", "__put", "__out"))
+        elif policy.kind == "session" and now is not None:
+            marked = grouping.settled(marked)  # read four times
         out = got.finished(marked.groupBy(*got.by).agg(*self.aggregates, *[c.alias(n) for n, c in got.bounds.items()], F.max(gone).alias(gone)))
         if now is None and policy.kind == "session":
             return out.drop(gone), rows.limit(0)
