@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,18 +142,19 @@ def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, nam
         earlier = recent.withColumn("_part", F.col("_part") + step).filter(F.col("_part") < n)
         recent, step = settled(_most_recent(recent.unionByName(earlier), keys, most)), 2 * step
     before = recent.select((F.col("_part") + 1).alias("_part"), (-F.col("_rank")).cast("long").alias("_place"), *keys).filter(F.col("_part") < n)
-    both = before.unionByName(rows.select("_part", "_place", *keys)).repartition(n, "_part").sortWithinPartitions("_part", "_place")
+    rest = [c for c in df.columns if c not in keys]
+    both = before.unionByName(rows.select("_part", "_place", *keys, *rest), allowMissingColumns=True)
+    both = both.select("_part", "_place", *keys, *rest).repartition(n, "_part").sortWithinPartitions("_part", "_place")
 
     def replay(batches):
         used: OrderedDict = OrderedDict()
         now = None
         for b in batches:
             parts, places = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for p, i, *key in zip(parts, places, *(c.to_pylist() for c in b.columns[2:])):
+            news, outs = [], []
+            for p, i, k in zip(parts, places, zip(*(c.to_pylist() for c in b.columns[2 : 2 + len(keys)]))):
                 if p != now:
                     now, used = p, OrderedDict()
-                k = tuple(key)
                 new, gone = k not in used, None
                 if not new:
                     used.move_to_end(k)
@@ -161,14 +163,16 @@ def _lru_chunks(df: DataFrame, order: list[str], keys: list[str], most: int, nam
                         gone = used.popitem(last=False)[0]
                     used[k] = None
                 if i >= 0:
-                    out.append((p, i, int(new), None if gone is None else {f"k{j}": x for j, x in enumerate(gone)}))
-            struct = pa.struct([(f"k{j}", c.type) for j, c in enumerate(b.columns[2:])])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), struct))], ["_p", "_i", "_new", "_gone"])
+                    news.append(int(new))
+                    outs.append(None if gone is None else {f"k{j}": x for j, x in enumerate(gone)})
+            struct = pa.struct([(f"k{j}", c.type) for j, c in enumerate(b.columns[2 : 2 + len(keys)])])
+            own = b.filter(pc.greater_equal(b.column(1), 0)) if len(news) < b.num_rows else b
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(news, pa.int32()), pa.array(outs, struct)], [*own.schema.names, "_new", "_gone"])
 
     fields = T.StructType([T.StructField(f"k{j}", df.schema[k].dataType) for j, k in enumerate(keys)])
-    full = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType()), T.StructField("_new", T.IntegerType()), T.StructField("_gone", fields)])
-    seen = both.mapInArrow(replay, full)
-    rows = settled(rows.join(seen, (F.col("_part") == F.col("_p")) & (F.col("_place") == F.col("_i"))).drop("_p", "_i"))
+    kinds = {f.name: T.StructField(f.name, f.dataType) for f in rows.schema.fields}
+    full = T.StructType([*(kinds[c] for c in ["_part", "_place", *keys, *rest]), T.StructField("_new", T.IntegerType()), T.StructField("_gone", fields)])
+    rows = settled(both.mapInArrow(replay, full))
     gone = rows.filter("_gone is not null").select(F.col("_gone").alias("key"), place(order).alias("pos"))
     gone = gone.withColumn("lru", (F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1).cast("long"))  # a key's n-th time out ends its n-th time in
     rows = rows.drop("_gone")
@@ -297,17 +301,19 @@ def _with_windows(df: DataFrame, order: list[str], clock: str, spec: WindowSpec,
             rows = rows.withColumn("_k", F.explode(F.sequence(last - (size - 1) // step, last)) if step < size else last)
             rows = rows.withColumn("_start", F.lit(anchor) + F.col("_k") * step).filter(us - F.col("_start") < size)
             rows = rows.withColumns({"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + size)}).drop("_k", "_start")
-    rows, split = _capped(rows, by, order, spec.items_limit, df)
+    rows, split = _capped(rows, by, order, spec.items_limit, df, keys)
     if split and evicts and policy.kind == "sliding":
         raise StageError("window", "sliding windows where both caps, on items and on keys, are hit")
     return Windowed(rows, [*by, "chunk"], split=split, evicted=evicted)
 
 
-def _capped(rows: DataFrame, by: list[str], order: list[str], most: int | None, items: DataFrame) -> tuple[DataFrame, bool]:
+def _capped(rows: DataFrame, by: list[str], order: list[str], most: int | None, items: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
     """``rows`` with ``chunk``; only groups of more than ``most`` rows are numbered, in range partitions."""
     whole = rows.withColumn("chunk", F.lit(0).cast("long"))
     if most is None or items.count() <= most:  # no item is in a group twice
         return whole, False
+    if keys and items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] <= most:  # nor is a group of two keys
+        return whole, False
     named = [f"_g{k}" for k in range(len(by))]
     large = rows.groupBy(*[F.col(c).alias(g) for c, g in zip(by, named)]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
     large = settled(large)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark import BatchPolicy, ErrorPolicy, StageError, WindowPolicy
+from flowspark.operators import grouping
 from flowspark.operators.stages import Stage
 from flowspark.streaming import StreamBatches, StreamStage, StreamWindows
 from flowspark.streaming.state import StateLog
@@ -174,6 +175,22 @@ def test_stage_policies(spark, tmp_path):
             assert [d[:3] for d in dead] == ([("pairs", "bad row", "ValueError")] if policy is ErrorPolicy.DEAD_LETTER else [])
 
 
+@pytest.mark.parametrize("spec", [WindowPolicy.session(3 * S), WindowPolicy.tumbling(5 * S).max_keys(2)])
+def test_a_call_works_out_its_windows_once(spark, tmp_path, monkeypatch, spec):
+    """A steady clock is not clamped; sessions are not found again for each reader; keys are replayed with their rows, without a join back."""
+    plans, kept, got, settled = [], [], [], grouping.settled
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(grouping, "settled", lambda df: (plans.append(plan(df)), settled(df))[1])
+    monkeypatch.setattr(grouping, "clamped", lambda *_: pytest.fail("the clock is steady"))
+    body = StreamWindows(spark, str(tmp_path), SCHEMA, ["n"], "ts", spec, ["s"], (F.count(F.lit(1)).alias("c"),), lambda df, no: got.extend(r.c for r in df.collect()))
+    keep = body._keep
+    monkeypatch.setattr(body, "_keep", lambda no, closed, left, *more: (kept.extend((plan(closed), plan(left))), keep(no, closed, left, *more)))
+    body(frame(spark, [(k, k, "abc"[k % 3]) for k in range(20)]), 0)
+    assert not any("Window [" in p for p in kept) and not any("MapInArrow" in p and "Join" in p for p in plans)
+    body.finish()
+    assert sum(got) == 20
+
+
 def test_a_crash_between_writes_loses_nothing(spark, tmp_path):
     """Windows: state written but not marked, marked but not emitted; old versions go."""
     got, broken = [], {1}
