@@ -80,15 +80,20 @@ class _Model:
         self.q1[self.c] = self.s1 + ((np.where(right1, _MOST, _LEAST) - self.s1) >> 5)
         own = ids << _C2
         for t, i, e, c, good in ((self.t1, self.i1, self.e1, self.c1, good1), (self.t2, self.i2, self.e2, self.c2, right2)):
-            k = (c << np.uint32(1)) + good
-            t[i] = np.where(_STAYS.take(k), e ^ c, own) | _NEXT.take(k)
+            k = c << _C2
+            k += good.view(np.uint8) * _C2
+            v = np.where(k, e, own)  # an id stays unless it was wrong at confidence 0
+            v &= ~_C
+            np.right_shift(_NEXT, k, out=k)
+            k &= _C
+            v |= k
+            t[i] = v
         self.b = (self.a >> np.uint32(5)) * _K3
         self.a = ids * _K1
 
 
-#: Confidence 0 to 3, doubled, plus whether the id was right: the next confidence, and whether the id stays.
-_NEXT = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.uint32)
-_STAYS = np.array([False, True, True, True, True, True, True, True])
+#: The next confidence in two bits each, by confidence (0 to 3), doubled, plus whether the id was right.
+_NEXT = np.uint32(sum(n << 2 * k for k, n in enumerate((0, 1, 0, 2, 1, 3, 2, 3))))
 _C, _C2 = np.uint32(3), np.uint32(2)
 _K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35), np.uint32(0x85EBCA6B)
 #: Between these the shares stay, so that order 0 always has one.
@@ -157,10 +162,12 @@ class _Coder:
         for k in (48, 32, 16, 0):
             self.out[lanes, self.at] = ((self.low >> _U(k)) & _U(0xFFFF)).astype(np.uint32)
             self.at += 1
-        while (c := self.out[:, 1:] >> np.uint32(16)).any():
-            self.out[:, :-1] += c
-            self.out[:, 1:] &= np.uint32(0xFFFF)
-        return [self.out[k, 1 : self.at[k]].astype("<u2").tobytes() for k in range(len(lanes))]
+        out = self.out[:, : int(self.at.max(initial=1))]  # about half: a step rarely fills the two digits that it may
+        while (c := out[:, 1:] >> np.uint32(16)).any():
+            out[:, :-1] += c
+            out[:, 1:] &= np.uint32(0xFFFF)
+        digits = out.astype("<u2")
+        return [digits[k, 1:n].tobytes() for k, n in enumerate(self.at.tolist())]
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,9 +319,9 @@ def decode_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | Non
             c[rare], r[rare], x[rare] = cr, rr, plain
         out[t] = x
         m.update(x, right2, right1, p1 == x)
-    lanes = out.T
+    lanes = np.ascontiguousarray(out.T).astype("<u4", copy=False)
     for k in range(n):
-        if zlib.crc32(np.ascontiguousarray(lanes[k, : size[k]]).astype("<u4").tobytes()) != head[k, 2]:
+        if zlib.crc32(lanes[k, : size[k]]) != head[k, 2]:
             raise ValueError(f"block {k} is damaged")
     return lanes.reshape(-1)[:total] if n else np.zeros(0, np.uint32), counts, [int(d) if ok else None for ok, d in zip(known, names)]
 

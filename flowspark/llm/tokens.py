@@ -20,12 +20,14 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 
 from .words import KEPT, WS, Words, span_hash
 
 
+_ID = attrgetter("id")
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _POINT = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum()])
 #: Units that are one word to the tokenizer's pattern and that its normalizer leaves alone but for the case.
@@ -152,7 +154,7 @@ class Encoder:
         letters = "\n".join(words[k] for k in known).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n")
         tokenize = self.model.tokenize
         for k, t in zip(known, letters):
-            out[k] = [x.id for x in tokenize(t)]
+            out[k] = list(map(_ID, tokenize(t)))
         odd = [k for k, t in enumerate(words) if t is None]
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
